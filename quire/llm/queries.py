@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, html_text, toxicity
+from quire.llm import bpe, fingerprint, html_text, secrets, toxicity
 from quire.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -22,12 +22,40 @@ def _held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(secrets.default_samples(docs)))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[n(k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
+        F.sha2(secrets.joined(F.col("spans"), base_only=True), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
         table(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256")
     )
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = fingerprint.with_next(fingerprint.fingerprint(docs, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
+    rows = rows.select("doc_id", "text", "fingerprint", "next_fingerprint", fingerprint.edited(F.col("text"), F.col("next_text")).alias("edit"))
+    rows = fingerprint.fingerprint(rows, "edit", "edited_fingerprint")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edit", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprint.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprint.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(labels.where(~_held_out()), docs)
@@ -39,5 +67,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op7_toxicity": op7_toxicity, "op10_html_text": op10_html_text}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secrets, op3_byte_bpe, op6_fingerprint, op7_toxicity, op10_html_text)
+}
 ORACLES: dict[str, str] = {}

@@ -152,7 +152,7 @@ def fit(
         cols = [pa.array([m.index.astype(np.int32).tobytes()]), pa.array([m.weight.tobytes()]), pa.array([m.bias])]
         yield pa.RecordBatch.from_arrays(cols, names=["i", "w", "b"])
 
-    row = sample.mapInArrow(vectors, schema).coalesce(1).mapInArrow(learn, "i binary, w binary, b double").first()
+    row = sample.mapInArrow(vectors, schema).repartition(1).mapInArrow(learn, "i binary, w binary, b double").first()
     if row is None:
         return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
     return Model(np.frombuffer(row.i, np.int32), np.frombuffer(row.w, np.float32), row.b)
