@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, fingerprint, html_text, secrets, toxicity
-from quire.llm.common import table
+from quire.llm import bpe, fingerprint, html_text, mixing, rollup, secrets, toxicity
+from quire.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOXIC_AT = 0.3
@@ -34,6 +34,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.sample(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", *mixing.DIMS, F.col("tok").cast("long").alias("tok"), F.round("p", 6).alias("p"), "kept")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
         table(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256")
@@ -63,12 +68,44 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, long ones are counted anew by another tokenizer version, short Spanish ones go; the
+    second batch is delivered twice."""
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "n_chars", rollup.word_count(F.col("text")).alias("words"), rollup.byte_count(F.col("text")).alias("quads"))
+    change = lambda op, version, tokens: [F.lit(op).alias("op"), F.lit(version).alias("version"), tokens.alias("tokens")]
+    old = [F.lit("words-1").alias("old_version"), F.col("words").alias("old_tokens")]
+    none = F.lit(None).cast("long")
+    batches = {
+        1: docs.select("source", "lang", *change("insert", "words-1", F.col("words")), F.lit(None).cast("string").alias("old_version"), none.alias("old_tokens")),
+        2: docs.where("n_chars >= 2000").select("source", "lang", *change("revise", "bytes-1", F.col("quads")), *old),
+        3: docs.where("lang = 'es' AND n_chars < 500").select("source", "lang", *change("delete", None, none), *old),
+    }
+    totals = rollup.Rollup(spark, shared_dir(spark, "token-rollup"))
+    for n in (1, 2, 3, 2):
+        totals.apply(n, batches[n])
+    return totals.totals()
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op3_byte_bpe, op6_fingerprint, op7_toxicity, op10_html_text)
+    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op6_fingerprint, op7_toxicity, op9_token_rollup, op10_html_text)
+}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.oracle(),
+    "op9_token_rollup": r"""
+WITH d AS (
+  SELECT source, lang, n_chars, CAST(ceil(coalesce(octet_length(encode(text)), 0) / 4) AS BIGINT) AS quads,
+    CASE WHEN trim(coalesce(text, ''), E' \t\n\r\f') = '' THEN 0 ELSE len(string_split_regex(trim(text, E' \t\n\r\f'), '[ \t\n\r\f]+')) END AS words
+  FROM documents),
+s AS (
+  SELECT source, lang, 'words-1' AS version, 1 AS docs, words AS tokens FROM d
+  UNION ALL SELECT source, lang, 'words-1', -1, -words FROM d WHERE n_chars >= 2000
+  UNION ALL SELECT source, lang, 'bytes-1', 1, quads FROM d WHERE n_chars >= 2000
+  UNION ALL SELECT source, lang, 'words-1', -1, -words FROM d WHERE lang = 'es' AND n_chars < 500)
+SELECT source, lang, version, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM s
+GROUP BY source, lang, version HAVING sum(docs) <> 0 OR sum(tokens) <> 0""",
 }
-ORACLES: dict[str, str] = {}
