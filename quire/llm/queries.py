@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, fingerprint, html_text, mixing, rollup, secrets, toxicity
+from quire.llm import ann, bpe, fingerprint, html_text, mixing, rollup, secrets, toxicity, warc
 from quire.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -45,6 +45,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = fingerprint.with_next(fingerprint.fingerprint(docs, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
@@ -68,6 +74,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in, long ones are counted anew by another tokenizer version, short Spanish ones go; the
     second batch is delivered twice."""
@@ -92,7 +103,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op6_fingerprint, op7_toxicity, op9_token_rollup, op10_html_text)
+    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text)
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
