@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, fingerprint, html_text, mixing, rollup, secrets, toxicity, warc
+from quire.llm import ann, bpe, fingerprint, html_text, mixing, neardup, rollup, secrets, toxicity, warc
 from quire.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -51,6 +51,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = fingerprint.with_next(fingerprint.fingerprint(docs, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
@@ -103,7 +107,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text)
+    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op5_near_dup, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text)
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
