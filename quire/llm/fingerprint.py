@@ -18,6 +18,8 @@ BINS, BITS, WORDS = 128, 4, 5
 #: Probes of an empty bin in the order of its hash, before all full bins are looked through.
 PROBES = 6
 BIN_SHIFT = 54  # a key is the bin above 54 bits of value
+#: Groups of consecutive ids up to which their table (three numbers a row) is broadcast.
+BROADCAST_GROUPS = 200_000
 SPACE = " \t\n\r\x0b\x0c"
 
 
@@ -103,7 +105,8 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], per_group: int = 400)
     above = tops.select("_g", "_top", F.lead("_g").over(chain).alias("_to"), F.min("_g").over(Window.partitionBy()).alias("_least"))
     # The largest row of a group is the guest of the group above; the largest of all is the guest of the lowest group.
     guests = above.select("_g", "_top", F.coalesce("_to", "_least").alias("_to"))
-    marked = rows.join(guests, "_g")
+    groups = (hi - lo) // width + 2
+    marked = rows.join(F.broadcast(guests) if groups <= BROADCAST_GROUPS else guests, "_g")
     dealt = marked.select(
         *df.columns,
         F.explode(F.when(F.col(id_col).eqNullSafe(F.col("_top")), F.array(F.struct(F.col("_g").alias("g"), F.lit(0).alias("guest")), F.struct(F.col("_to").alias("g"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("_g").alias("g"), F.lit(0).alias("guest"))))).alias("_d"),
