@@ -13,12 +13,12 @@ RANKS = "byte_bpe_50k.tiktoken"
 TOXIC_AT = 0.3
 
 
-def _ranks() -> bytes:
+def ranks() -> bytes:
     with open(public_tokenizers.path(RANKS), "rb") as f:
         return f.read()
 
 
-def _held_out(doc_id: str = "doc_id") -> Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
@@ -41,7 +41,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(
-        table(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256")
+        table(spark, sf_dir, "documents"), ranks(), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256")
     )
 
 
@@ -73,9 +73,9 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(labels.where(~_held_out()), docs)
+    model = toxicity.fit(labels.where(~held_out()), docs)
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
