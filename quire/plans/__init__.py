@@ -1 +1 @@
-
+from quire.plans import scans  # noqa: F401
