@@ -1 +1 @@
-from quire.plans import scans  # noqa: F401
+from quire.plans import scans, texts, trees  # noqa: F401
