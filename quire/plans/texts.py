@@ -98,14 +98,24 @@ def fn_generation(d: Data) -> DataFrame:
     return d.part.select("p_partkey", Y.generation(a, b, "p_name").alias("generation"))
 
 
-@query(f"SELECT page_id, md5({CHAIN('html', HTML5)}) AS html, md5({CHAIN('html', XML5)}) AS xml FROM pages")
+@query(f"SELECT page_id, md5({CHAIN('html', HTML5)}) AS escaped FROM pages")
 def fn_html_escape(d: Data) -> DataFrame:
-    return _md5(d.pages.select("page_id", S.html_escape("html").alias("html"), S.xml_escape("html").alias("xml")), "html", "xml")
+    return _md5(d.pages.select("page_id", S.html_escape("html").alias("escaped")), "escaped")
 
 
-@query("""SELECT doc_id, md5(replace(text, '"', '""')) AS csv, md5(substr(to_json(text), 2, length(to_json(text)) - 2)) AS json FROM documents""".replace("to_json(text)", "CAST(to_json(text) AS VARCHAR)"))
+@query(f"SELECT page_id, md5({CHAIN('html', XML5)}) AS escaped FROM pages")
+def fn_xml_escape(d: Data) -> DataFrame:
+    return _md5(d.pages.select("page_id", S.xml_escape("html").alias("escaped")), "escaped")
+
+
+@query("SELECT doc_id, md5(substr(CAST(to_json(text) AS VARCHAR), 2, length(CAST(to_json(text) AS VARCHAR)) - 2)) AS escaped FROM documents")
 def fn_json_escape(d: Data) -> DataFrame:
-    return _md5(d.documents.select("doc_id", S.csv_escape("text").alias("csv"), S.json_escape("text").alias("json")), "csv", "json")
+    return _md5(d.documents.select("doc_id", S.json_escape("text").alias("escaped")), "escaped")
+
+
+@query("""SELECT doc_id, md5(replace(text, '"', '""')) AS escaped FROM documents""")
+def fn_csv_escape(d: Data) -> DataFrame:
+    return _md5(d.documents.select("doc_id", S.csv_escape("text").alias("escaped")), "escaped")
 
 
 TEXSQL = CHAIN(
@@ -114,9 +124,14 @@ TEXSQL = CHAIN(
 )
 
 
-@query(f"SELECT doc_id, md5({TEXSQL}) AS tex, md5({CHAIN('text', [(chr(92), chr(92) * 2), ('{', chr(92) + '{'), ('}', chr(92) + '}')])}) AS rtf FROM documents")
+@query(f"SELECT doc_id, md5({TEXSQL}) AS escaped FROM documents")
 def fn_tex_escape(d: Data) -> DataFrame:
-    return _md5(d.documents.select("doc_id", S.tex_escape("text").alias("tex"), S.rtf_escape("text").alias("rtf")), "tex", "rtf")
+    return _md5(d.documents.select("doc_id", S.tex_escape("text").alias("escaped")), "escaped")
+
+
+@query(f"SELECT page_id, md5({CHAIN('html', [(chr(92), chr(92) * 2), ('{', chr(92) + '{'), ('}', chr(92) + '}')])}) AS escaped FROM pages")
+def fn_rtf_escape(d: Data) -> DataFrame:
+    return _md5(d.pages.select("page_id", S.rtf_escape("html").alias("escaped")), "escaped")
 
 
 @query(
@@ -142,6 +157,11 @@ def fn_strip_tags(d: Data) -> DataFrame:
     return _md5(d.pages.select("page_id", S.squeeze(S.strip_tags("html")).alias("text")), "text")
 
 
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\n\n\n+', '\n\n', 'g'), '^\\s+', '', 'g'), '\\s+$', '', 'g')) AS text FROM documents")
+def fn_squeeze(d: Data) -> DataFrame:
+    return _md5(d.documents.select("doc_id", S.squeeze("text").alias("text")), "text")
+
+
 @query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '#' ELSE {CHAIN('url', HTML5)} END AS href FROM pages")
 def fn_safe_href(d: Data) -> DataFrame:
     raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("javascript:"), "url")).otherwise(F.concat(F.lit("  "), "url"))
