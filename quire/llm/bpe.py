@@ -15,15 +15,17 @@ import heapq
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
-import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quire.llm.worker import blocks, memory
+
 #: Bound on distinct pre-tokens that a Python worker remembers between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -146,27 +148,24 @@ class MergeReplay:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_workers: dict[str, tuple] = {}
-
-
 def _worker(data: bytes, pattern: str) -> tuple:
     """Tables and word memory of this Python worker, built once for each vocabulary."""
-    key = hashlib.sha256(data + pattern.encode()).hexdigest()
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = (MergeReplay(parse_ranks(data)), regex.compile(pattern), {})
-    return _workers[key]
+    key, kept = hashlib.sha256(data + pattern.encode()).hexdigest(), memory("bpe")
+    if key not in kept:
+        kept.clear()
+        kept[key] = (MergeReplay(parse_ranks(data)), regex.compile(pattern), {})
+    return kept[key]
 
 
-def _learn(replay: MergeReplay, memory: dict, pieces: list[list[str]]) -> None:
+def _learn(replay: MergeReplay, known: dict, pieces: list[list[str]], with_ids: bool = True) -> None:
     words = set().union(*pieces)
-    new = list(words.difference(memory))
-    if len(memory) + len(new) > CACHE_WORDS:  # go on with the words of this block
-        kept = {w: memory[w] for w in words if w in memory}
-        memory.clear()
-        memory.update(kept)
+    new = list(words.difference(known))
+    if len(known) + len(new) > CACHE_WORDS:  # go on with the words of this block
+        kept = {w: known[w] for w in words if w in known}
+        known.clear()
+        known.update(kept)
     for w, ids in zip(new, replay.encode_words([w.encode() for w in new]), strict=True):
-        memory[w] = (" ".join(map(str, ids)), len(ids), replay.decode(ids), array("i", ids))
+        known[w] = (" ".join(map(str, ids)), len(ids), replay.decode(ids), array("i", ids) if with_ids else None)
 
 
 def encode(
@@ -198,14 +197,16 @@ def encode(
     arrow = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, matcher, memory = _worker(packed.value, pattern)
+        replay, matcher, known = _worker(packed.value, pattern)
+        if "ids" in made and any(x[3] is None for x in islice(known.values(), 1)):
+            known.clear()
         for whole in batches:
-            for batch in _blocks(whole, text_col):
+            for batch in blocks(whole, text_col):
                 pieces = [matcher.findall(t or "") for t in batch.column(text_col).to_pylist()]
-                _learn(replay, memory, pieces)
+                _learn(replay, known, pieces, "ids" in made)
                 cols: dict[str, list] = {c: [] for c in made}
                 for ws in pieces:
-                    got = [memory[w] for w in ws]
+                    got = [known[w] for w in ws]
                     if "n_tokens" in cols:
                         cols["n_tokens"].append(sum([x[1] for x in got]))
                     if "ids" in cols:
@@ -237,16 +238,3 @@ def decode(df: DataFrame, ranks: bytes, id_col: str = "doc_id", ids_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(out, pa.binary())], names=[id_col, "decoded"])
 
     return rows.mapInArrow(run, schema)
-
-
-def _blocks(batch: pa.RecordBatch, text_col: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``most`` text bytes, or one row: bounds what a worker holds as Python objects."""
-    sizes = pa.compute.binary_length(batch.column(text_col)).to_pylist()
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + (n or 0) > most:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n or 0
-    if start < len(sizes):
-        yield batch.slice(start)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quire.llm.worker import blocks
+
 #: Lines in a window; window sum at which text surges; share of the page's largest sum that is enough on short pages.
 WINDOW, SURGE, SURGE_SHARE = 3, 86, 0.5
 
@@ -120,7 +122,7 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
     schema = T.StructType([rows.schema[c] for c in passed] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in blocks(whole, html_col)):
             texts = [main_text(p) if p else "" for p in b.column(html_col).to_pylist()]
             arrays = [b.column(c) for c in passed] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*passed, "text", "n_chars"])

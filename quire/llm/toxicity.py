@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.worker import blocks, memory
+
 #: log2 of the number of hashed coordinates: bounds the model, and so the broadcast.
 BITS = 20
 #: Labelled rows used for fitting, taken in the order of a hash of their id, and passes over them.
-MAX_FIT_ROWS, EPOCHS = 12_000, 2
+MAX_FIT_ROWS, EPOCHS = 8_000, 2
 STEMS = (4, 5)
 WORD = re.compile(r"\w+")
 MASK = np.uint64((1 << BITS) - 1)
@@ -45,24 +47,27 @@ class Model:
         return w
 
 
-_codes: dict[str, int] = {}
-_stems: dict[str, tuple[int, ...]] = {}
+#: Bound on words that a Python worker remembers.
+MEMORY_WORDS = 150_000
 
 
-def _learn_words(words: set[str]) -> None:
-    """64-bit codes and stem coordinates of words not seen before; forgets all when the memory's bound is met."""
-    new = words.difference(_codes)
-    if len(_codes) + len(new) > 400_000:
-        _codes.clear()
-        _stems.clear()
+def _learn_words(words: set[str]) -> tuple[dict[str, int], dict[str, tuple[int, ...]]]:
+    """64-bit codes and stem coordinates of words; forgets all when the memory's bound is met."""
+    kept = memory("toxicity")
+    codes, stems = kept.setdefault("codes", {}), kept.setdefault("stems", {})
+    new = words.difference(codes)
+    if len(codes) + len(new) > MEMORY_WORDS:
+        codes.clear()
+        stems.clear()
         new = words
     for w in new:
         raw = w.encode()
-        _codes[w] = zlib.crc32(raw) << 31 ^ zlib.crc32(raw[::-1], 77)
-        _stems[w] = tuple([_stem_code(w[:k]) for k in STEMS if len(w) >= k])
+        codes[w] = zlib.crc32(raw) << 31 ^ zlib.crc32(raw[::-1], 77)
+        stems[w] = tuple([_stem_code(w[:k]) for k in STEMS if len(w) >= k])
+    return codes, stems
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _stem_code(stem: str) -> int:
     return zlib.crc32(stem.encode(), 1) & ((1 << BITS) - 1)
 
@@ -73,15 +78,15 @@ def coordinates(text: str | None) -> np.ndarray:
     if not words:
         return np.empty(0, np.int64)
     distinct = set(words)
-    _learn_words(distinct)
-    seq = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    codes, stems_of = _learn_words(distinct)
+    seq = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
     parts = [seq * MIX[0]]
     if len(seq) > 1:
         parts.append(seq[:-1] * MIX[1] + seq[1:] * MIX[2])
     if len(seq) > 2:
         parts.append(seq[:-2] * MIX[3] + seq[2:] * MIX[1])
     grams = ((np.concatenate(parts) >> np.uint64(40)) & MASK).astype(np.int64)
-    stems = np.fromiter(chain.from_iterable(map(_stems.__getitem__, distinct)), np.int64)
+    stems = np.fromiter(chain.from_iterable(map(stems_of.__getitem__, distinct)), np.int64)
     return np.concatenate([grams, stems])
 
 
@@ -139,7 +144,7 @@ def fit(
     sample = texts.join(F.broadcast(chosen), "_id")  # at most max_rows rows of two numbers
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in blocks(whole, "_text")):
             xs = [features(t).astype(np.int32).tobytes() for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(xs, pa.binary())], names=["_id", "_y", "_x"])
 
@@ -167,7 +172,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = sent.value.dense(), sent.value.bias
-        for b in batches:
+        for b in (x for whole in batches for x in blocks(whole, text_col)):
             s = []
             for t in b.column(text_col).to_pylist():
                 x = coordinates(t)
