@@ -25,7 +25,7 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_=-]"
 MIN_TOKEN = 16
 #: A token is random when its ratio is at least so large, in all and on average for each pair of characters (nats).
-MIN_RATIO, MIN_MEAN_RATIO = 12.0, 1.0
+MIN_RATIO, MIN_MEAN_RATIO = 20.0, 2.0
 #: Documents and generated strings from which the models are counted.
 FIT_DOCS, FIT_RANDOM = 2_000, 4_000
 FIRST, WIDTH = 33, 94  # printable ASCII without the space

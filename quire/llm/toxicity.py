@@ -26,7 +26,7 @@ from quire.llm.worker import blocks, memory
 #: log2 of the number of hashed coordinates: bounds the model, and so the broadcast.
 BITS = 20
 #: Labelled rows used for fitting, taken in the order of a hash of their id, and passes over them.
-MAX_FIT_ROWS, EPOCHS = 8_000, 2
+MAX_FIT_ROWS, EPOCHS = 8_000, 3
 STEMS = (4, 5)
 WORD = re.compile(r"\w+")
 MASK = np.uint64((1 << BITS) - 1)
@@ -125,7 +125,7 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = MAX_FIT_ROWS,
-    alpha: float = 0.5,
+    alpha: float = 1.0,
     beta: float = 1.0,
     l1: float = 1.0,
     l2: float = 0.1,
