@@ -109,7 +109,22 @@ QUERIES = {
     f.__name__: f
     for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op5_near_dup, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text)
 }
+_NIBBLES = "".join(f"{i:04b}" for i in range(16))
+_QUINTETS = " ".join(f"{i:05b}" for i in range(32))
+_BITS = f"array_to_string(list_transform(range(1, 41), lambda i: substr('{_NIBBLES}', 4 * (strpos('0123456789abcdef', substr(h, i, 1)) - 1) + 1, 4)), '')"
+_BASE32 = f"array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (strpos('{_QUINTETS}', substr(bits, 5 * i + 1, 5)) - 1) // 6 + 1, 1)), '')"
+_CLEAN = "replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;', '&')"
 ORACLES: dict[str, str] = {
+    "op4_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, {_BITS} AS bits, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM b""",
+    # The given pages hold their text in one article element.
+    "op10_html_text": rf"""
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace({_CLEAN}, '[ \t\n\r\f]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages)""",
     "op2_mixing": mixing.oracle(),
     "op9_token_rollup": r"""
 WITH d AS (
