@@ -13,9 +13,11 @@ EPOCH_2001 = 978_307_200
 PREFIXES = ("yyyy-MM-dd", "yyyyMMdd", "yyyy-MM", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy-MM-dd HHmm")
 LONG = ("MMMM d, yyyy 'at' h:mm:ss a", "MMM d, yyyy 'at' h:mm:ss a", "MMMM d, yyyy, h:mm:ss a", "MMM d, yyyy, h:mm:ss a")
 FORMATS = {
-    "iso": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "rfc822": "EEE, dd MMM yyyy HH:mm:ss +0000", "compact": "yyyyMMdd'T'HHmmss'Z'", "org": "yyyy-MM-dd EEE HH:mm",
-}
-FORMATS["rfc822"] = "EEE, dd MMM yyyy HH:mm:ss '+0000'"
+    "iso": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+    "rfc822": "EEE, dd MMM yyyy HH:mm:ss '+0000'",
+    "compact": "yyyyMMdd'T'HHmmss'Z'",
+    "org": "yyyy-MM-dd EEE HH:mm",
+}
 
 
 def from_epoch(seconds: Column | str) -> Column:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from quire.functions.strings import c, trimmed
 from quire.functions.types import is_file
 
-#: Dimension tables whose size is bounded by their meaning (accounts, folders): broadcast up to so many rows.
-SMALL_DIM = 200_000
-
 # Account types.
 ACCOUNT_TYPES = {0: "On My Mac", 1: "Exchange", 2: "IMAP", 3: "iCloud", 4: "Google"}
 

@@ -1,7 +1,8 @@
 """Folder trees: paths, closure, recursive totals, merging of namesakes, selections.
 
-Trees are walked level by level with self-joins whose lineage is one plan: depth is bounded by MAX_DEPTH and a folder
-that is its own ancestor ends the walk, so cycles do no harm.
+Trees are walked by a recursive CTE: depth is bounded by MAX_DEPTH, and a folder that is its own ancestor ends the walk,
+so cycles do no harm. Spark bounds the rows of a recursion; trees whose closure has more than a million rows need a
+larger ``spark.sql.cteRecursionRowLimit``.
 """
 
 from __future__ import annotations

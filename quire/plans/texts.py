@@ -308,7 +308,21 @@ def to_adoc(d: Data) -> DataFrame:
     return _shown(d, "asciidoc")
 
 
-@query()
+_TEX = markup.sql(
+    markup.sql(
+        markup.sql(TEXSQL.replace("replace(text,", f"replace({_BODY},"), [*markup.TEX, markup.TAIL[0]]),
+        [("\\&lt;", "<"), ("\\&gt;", ">"), ("\\&quot;", '"'), ("\\&\\#39;", "'"), ("\\&nbsp;", "~"), ("\\&amp;", "\\&")],
+    ),
+    markup.TAIL[1:],
+)
+
+
+@query(
+    _digest(
+        f"""'\\documentclass{{article}}' || chr(10) || '\\usepackage[utf8]{{inputenc}}' || chr(10) || '\\usepackage{{ulem}}' || chr(10) || '\\usepackage{{hyperref}}' || chr(10) || '\\title{{' || replace(title, '&', '\\&')
+        || '}}' || chr(10) || '\\author{{}}' || chr(10) || '\\date{{' || strftime(created, '%Y-%m-%d') || '}}' || chr(10) || '\\begin{{document}}' || chr(10) || {_TEX} || chr(10) || '\\end{{document}}' || chr(10)"""
+    )
+)
 def to_tex(d: Data) -> DataFrame:
     return _shown(d, "latex")
 
@@ -318,7 +332,18 @@ def to_rtf(d: Data) -> DataFrame:
     return _shown(d, "rtf")
 
 
-@query()
+_LINES = f"""list_filter(list_transform(string_split({markup.sql(_BODY, [*markup.BREAKS, ("</p>", chr(10)), ("</li>", chr(10)), ("~</h[1-6]>", chr(10))])}, chr(10)),
+  lambda x: {UNESCAPE.format(x="regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '^[[:space:]]+|[[:space:]]+$', '', 'g')")}), lambda x: x <> '')"""
+_RFC = "'%a, %d %b %Y %H:%M:%S +0000'"
+
+
+@query(
+    _digest(
+        f"""'<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<opml version="2.0">' || chr(10) || '  <head>' || chr(10) || '    <title>' || {CHAIN("title", XML5)} || '</title>' || chr(10) || '    <dateCreated>' || strftime(created, {_RFC})
+        || '</dateCreated>' || chr(10) || '    <dateModified>' || strftime(modified, {_RFC}) || '</dateModified>' || chr(10) || '  </head>' || chr(10) || '  <body>' || chr(10) || array_to_string(list_transform(
+        CASE WHEN len({_LINES}) > 0 THEN {_LINES} ELSE [''] END, lambda x: '    <outline text="' || {CHAIN("x", XML5)} || '" />'), chr(10)) || chr(10) || '  </body>' || chr(10) || '</opml>'"""
+    )
+)
 def to_opml(d: Data) -> DataFrame:
     return _shown(d, "opml")
 
@@ -338,7 +363,13 @@ def to_enex(d: Data) -> DataFrame:
     return _shown(d, "evernote")
 
 
-@query()
+@query(
+    _digest(
+        f"""'<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<meta charset="UTF-8">' || chr(10) || '<title>' || {CHAIN("title", HTML5)} || '</title>' || chr(10) || '<meta name="created" content="'
+        || strftime(created, '%Y-%m-%dT%H:%M:%S.000Z') || '">' || chr(10) || '<meta name="modified" content="' || strftime(modified, '%Y-%m-%dT%H:%M:%S.000Z') || '">' || chr(10)
+        || '<style>body {{ font-family: sans-serif; font-size: 14px; }}</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || {PAGE_BODY} || chr(10) || '</body>' || chr(10) || '</html>'"""
+    )
+)
 def to_html_page(d: Data) -> DataFrame:
     return _shown(d, "html")
 
