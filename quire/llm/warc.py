@@ -24,6 +24,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.common import qualified
+
 #: Compressed bytes after which a file is closed; deflate level; uncompressed bytes a partition is planned for.
 ROLL_BYTES, LEVEL, PART_BYTES = 64 << 20, 4, 24 << 20
 MIN_REVISIT_BYTES = 0
@@ -79,6 +81,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     are repeated ids, for a record's name is made of it. Other columns are left out. An empty table gives no file.
     """
     spark = pages.sparkSession
+    path = qualified(spark, path)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.lit(1).alias("mark"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.lit(None).cast("long").alias("refers_to")
     )
@@ -135,6 +138,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 def commit(spark: SparkSession, path: str) -> DataFrame:
     """Give the manifest's files their final names; may be repeated after a failure. Left-over attempts stay below
     ``_temporary`` and are never read. One row for each file comes back, none for records."""
+    path = qualified(spark, path)
     manifest = spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}/manifest")
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +195,7 @@ class _Members(io.RawIOBase):
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the committed archives (see ``ROWS``), each file streamed by one task."""
+    path = qualified(spark, path)
     files = spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}/manifest").select("name")
     n = max(1, files.count())
 
