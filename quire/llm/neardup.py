@@ -4,9 +4,12 @@ Texts are lower-cased words without punctuation; k-mers are five-word shingles l
 of SKETCHES hash functions the ORDERED least k-mers are taken and kept in the order in which they stand in the text:
 two texts share a sketch when the same k-mers are least and their order agrees. Texts with equal words are one class
 from the start and only their first one goes on. Texts that share a sketch meet in a bucket: all pairs in a bucket of
-at most SMALL, and a pair with the bucket's first text in any bucket. Members of larger buckets meet again in buckets
-of two neighbouring sketches, where the same holds. Pairs are verified on their whole texts by an alignment within the
-band that the threshold allows; classes are the connected components of what was verified.
+at most SMALL, and a pair with the bucket's first text in any bucket. Pairs are verified on their whole texts by an
+alignment within the band that the threshold allows; classes are the connected components of what was verified.
+
+Members of larger buckets that are not in one class by then go through an exact join on their shingles, the rarest
+first: as many of each text as any text that is alike must share one of (a prefix filter). Pairs within a class are not
+tried again, so a large class costs no square of its size.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ SEEDS = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 POWERS = _rng.integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
 ODD = np.uint64(0xBF58476D1CE4E5B9)
 
+#: Cells in which occurrences of shingles are counted; cells of at most RARE count as equal. They only order shingles.
+CELLS, RARE = 1 << 20, 4
+
 #: Bound on words that a Python worker remembers.
 MEMORY_WORDS = 150_000
 
@@ -67,11 +73,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sketches(codes: np.ndarray) -> list[int]:
-    """Order MinHash sketches of a text, none for one without words."""
+def labelled(codes: np.ndarray) -> np.ndarray:
+    """Mixed codes of a text's shingles, each labelled with its occurrence, in the order of the text."""
     s = shingles(codes)
     if not len(s):
-        return []
+        return s
     order = np.argsort(s, kind="stable")
     same = np.concatenate([[False], s[order[1:]] == s[order[:-1]]])
     if same.any():  # label repeated k-mers with their occurrence
@@ -79,7 +85,14 @@ def sketches(codes: np.ndarray) -> list[int]:
         label = np.empty(len(s), np.uint64)
         label[order] = (np.arange(len(s)) - first).astype(np.uint64)
         s = s + label * np.uint64(0x9E3779B97F4A7C15)
-    s = _mixed(s)
+    return _mixed(s)
+
+
+def sketches(codes: np.ndarray) -> list[int]:
+    """Order MinHash sketches of a text, none for one without words."""
+    s = labelled(codes)
+    if not len(s):
+        return []
     out = []
     for seed in SEEDS:
         h = _mixed(s ^ seed)
@@ -145,32 +158,28 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, words binary, sketches array<long>")
 
 
-def _bucket_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, id, after): pairs (a, b), a < b, to be tried, and (after, id) of the members of large buckets."""
+def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (id, sketches): distinct pairs (a, b), a < b, to be tried, and the distinct ids in large buckets."""
+    keyed = firsts.select("id", F.inline(F.transform("sketches", lambda s, j: F.struct(F.xxhash64(j, s).alias("key")))))
     sizes = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = keyed.join(sizes, "key")
     star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     few = members.where(f"n > 2 AND n <= {SMALL}").select("key", "id")
     pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
-    return star.unionByName(pairs), members.where(f"n > {SMALL}").select("after", "id")
+    return star.unionByName(pairs).distinct(), members.where(f"n > {SMALL}").select("id").distinct()
 
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of (id, sketches). A row of a bucket carries the key of the two sketches that it and
-    the next one make, not all of them."""
-    n = F.size("sketches")
-    keys = F.transform("sketches", lambda s, j: F.struct(F.xxhash64(j, s).alias("key"), F.xxhash64(j, s, F.get("sketches", F.pmod(j + 1, n))).alias("after")))
-    first, large = _bucket_pairs(firsts.select("id", F.inline(keys)))
-    second, _ = _bucket_pairs(large.select(F.col("after").alias("key"), "id", F.lit(0).cast("long").alias("after")))
-    return first.unionByName(second).distinct()
+def tried_texts(pairs: DataFrame, large: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, large) of the texts in pairs; ``large`` for those in large buckets, which are in pairs all."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("large")).unionByName(large.select("id", F.lit(True).alias("large")))
+    # The ids grow with the corpus, so they are never broadcast, also where they are few.
+    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).hint("shuffle_merge")
+    return materialize(all_texts.join(ids.groupBy("id").agg(F.max("large").alias("large")), "id").dropDuplicates(["id"]), "texts")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose whole texts reach ``threshold``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # The ids grow with the corpus, so they are never broadcast, also where they are few.
-    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).hint("shuffle_merge")
-    texts = materialize(all_texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = texts.select("id", "text")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +195,75 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, thre
     return both.mapInArrow(run, "a long, b long")
 
 
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """Occurrences of shingles in (id, text), summed in CELLS cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CELLS, np.int64)
+        for b in (x for whole in batches for x in blocks(whole, "text")):
+            for t in b.column(1).to_pylist():
+                np.add.at(sums, (labelled(word_codes(t)) % np.uint64(CELLS)).astype(np.int64), 1)
+        at = np.flatnonzero(sums)
+        for i in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(sums[at[i : i + (1 << 16)]])], names=["cell", "n"])
+
+    found = texts.select("id", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n > {RARE}").toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def least_sizes(n: int, threshold: float) -> tuple[int, int]:
+    """Of a text of ``n`` shingles, how many of the rarest have one in common with any text alike that is not shorter,
+    and with any text alike. (A little more than enough, so that rounding loses none.)"""
+    return n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-6)) + 1, n - int(np.ceil(threshold * n - 1e-6)) + 1
+
+
+def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
+    """(id, n: shingles of the text, short: rarest ones to meet texts that are not shorter, keys: the rarest in order)."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(shingle_counts(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in (x for whole in batches for x in blocks(whole, "text")):
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                codes = word_codes(t)
+                if len(codes) < K:  # alike only if equal
+                    continue
+                s = labelled(codes)
+                short, most = least_sizes(len(s), threshold)
+                order = np.lexsort((s, counts[(s % np.uint64(CELLS)).astype(np.int64)]))[:most]
+                rows.append((i, len(s), short, s[order].view(np.int64)))
+            ids, sizes, shorts, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
+            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shorts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "short", "keys"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, short long, keys array<long>")
+
+
+def rest_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of (id, text) that can reach ``threshold`` and are not in one class of ``labels``.
+
+    A key whose texts are all in one class is done. Elsewhere the texts outside of the key's largest class meet all texts
+    of the key, and thereby each pair of classes meets.
+    """
+    rows = rare_shingles(texts, threshold).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = materialize(rows, "rare-shingles")
+    keyed = rows.select("id", "label", "n", "short", F.posexplode("keys").alias("at", "key"))
+    parts = keyed.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.expr("at < short")).alias("opens"))
+    several = parts.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels"), F.max("opens").alias("opens"))
+    met = materialize(keyed.join(several.where("labels > 1 AND opens").select("key", "main"), "key"), "met")
+    outside = met.where("label <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "short", "at")])
+    both = outside.join(met, "key").where("x_label <> label")
+    both = both.where(F.expr("IF(x_n <= n, x_at < x_short, true) AND IF(n <= x_n, at < short, true)"))
+    # Shingles from the shared one on, at most, must be as many as the two texts need in common.
+    need = threshold / (1 + threshold) * (F.col("n") + F.col("x_n")) - 1e-6
+    both = both.where((F.least("n", "x_n") >= threshold * F.greatest("n", "x_n") - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) + F.least("at", "x_at") >= need))
+    return both.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) of every node of (a, b): the least id of its component.
 
@@ -213,8 +291,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """
     sigs = materialize(signatures(docs, id_col, text_col), "signatures")
     firsts = materialize(sigs.groupBy("words").agg(F.min("id").alias("id"), F.any_value("sketches").alias("sketches")), "firsts")
-    pairs = materialize(candidates(firsts.where("id IS NOT NULL AND size(sketches) > 0").select("id", "sketches")), "pairs")
-    edges = materialize(verified(pairs, docs, id_col, text_col, threshold), "verified")
-    labels = components(edges)
-    named = firsts.select("words", "id").join(labels, "id", "left").select("words", F.coalesce("label", "id").alias("class_id"))
+    pairs, large = candidates(firsts.where("id IS NOT NULL AND size(sketches) > 0").select("id", "sketches"))
+    pairs, large = materialize(pairs, "pairs"), materialize(large, "large")
+    texts = tried_texts(pairs, large, docs, id_col, text_col)
+    labels = components(materialize(verified(pairs, texts, threshold), "verified"))
+    if large.head(1):
+        rest = materialize(rest_candidates(texts.where("large"), labels, threshold), "rest")
+        label = lambda c: labels.toDF(c, f"l{c}")
+        more = verified(rest, texts, threshold).join(label("a"), "a", "left").join(label("b"), "b", "left")
+        # Classes of classes: each stands for its label.
+        joined = components(materialize(more.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct(), "joined")).toDF("first", "joined")
+        named = firsts.select("words", "id").join(labels, "id", "left").withColumn("first", F.coalesce("label", "id"))
+        named = named.join(joined, "first", "left").select("words", F.coalesce("joined", "first").alias("class_id"))
+    else:
+        named = firsts.select("words", "id").join(labels, "id", "left").select("words", F.coalesce("label", "id").alias("class_id"))
     return sigs.select(F.col("id").alias(id_col), "words").join(named, "words").select(id_col, "class_id")

@@ -292,3 +292,25 @@ def test_successor_of_every_row(spark, n):
 
 def test_pattern_needs_no_special_case():
     assert "".join(regex.findall(public_tokenizers.PATTERN, "a  b\n\n c<|endoftext|>'s")) == "a  b\n\n c<|endoftext|>'s" and ann.BLOCK_DIMS > 0
+
+
+@pytest.mark.parametrize("share", [300, 340])
+def test_near_copies_behind_a_frequent_passage(spark, share):
+    """Pairs of near copies of which most is a passage that over 1,000 unlike texts have too."""
+    rng = random.Random(share)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts, planted = fresh(share + 4), {}, []
+    for i in range(1000):
+        texts[i] = passage + fresh(400 - share)
+    for i in rng.sample(range(1000), 120):
+        own, edits = list(texts[i]), set(rng.sample(range(len(passage), len(texts[i])), 5))
+        n = 1000 + len(planted)
+        texts[n] = [fresh(1)[0] if k in edits else w for k, w in enumerate(own)]
+        planted.append((i, n))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    codes = {i: neardup.word_codes(" ".join(t)) for i, t in texts.items()}
+    alike = {(a, b) for a, b in planted if neardup.similarity(codes[a], codes[b]) >= 0.8}
+    assert len(alike) == len(planted)
+    assert {(a, b) for a, b in planted if got[a] == got[b]} == alike
+    assert all(got[i] == i for i in range(1000))
