@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,19 +22,34 @@ from quire.llm.worker import blocks
 WINDOW, SURGE, SURGE_SHARE = 3, 86, 0.5
 
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp")
-DROP = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "figure", "object"}
+DROP = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol",
     "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "menu",
 }
 VOID = {"br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track"}
+#: Whole class tokens, ids and roles of boilerplate: a word of it, by itself or with words of layout around it.
 ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo|sidebar|side|menu|nav|navbar|navigation|"
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sub|post|entry|article|user|reader|cookie)[-_])*"
+    r"(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo|side-?bar|side|menu|nav|navbar|navigation|"
     r"breadcrumbs?|footer|header|masthead|comments?|disqus|replies|cookies?|consent|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|social|share|sharing|related|recommended|widget|toolbar|pagination)(?:$|[\s_-]|\d)",
+    r"newsletter|subscribe|signup|social|share|sharing|related|recommended|widgets?|toolbar|pagination|"
+    r"contentinfo|complementary|search)"
+    r"(?:[-_]?\d+|[-_](?:bar|box|lists?|items?|links?|buttons?|btn|icons?|slot|unit|container|wrapper|wrap|block|section|"
+    r"area|banner|widgets?|posts?|articles?|stories|form|nav|menu|inner|top|bottom|left|right|thread|notice|signup))*",
     re.I,
 )
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose end tag may be left out: what ends them when it starts, and what they can't reach out of.
+IMPLIED = {
+    "li": (("li",), {"ul", "ol", "menu"}),
+    "dd": (("dd", "dt"), {"dl"}),
+    "dt": (("dd", "dt"), {"dl"}),
+    "td": (("td", "th"), {"tr", "table"}),
+    "th": (("td", "th"), {"tr", "table"}),
+    "tr": (("tr",), {"table"}),
+}
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -41,59 +57,102 @@ TAG = re.compile(
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+
+
+def named_boilerplate(name: str, attrs: str) -> bool:
+    """Do the class, id or role of a tag name boilerplate? Ids of headings are anchors."""
+    for key, a, b, c in ATTR.findall(attrs) if "=" in attrs else ():
+        key = key.lower()
+        if key in ("class", "role") or key == "id" and name not in HEADINGS:
+            if any(ROLE.fullmatch(x) for x in (a or b or c).split()):
+                return True
+    return False
 
 
 def page_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text of a block, or "" for a dropped one; whether it stands in an article; mostly links?) in page order."""
-    out: list[tuple[str, bool, bool]] = []
+    """(text of a block, or "" for a dropped one; whether it stands in an article; mostly links?) in page order.
+
+    Elements that attributes name as boilerplate stay if they hold most of the text that no other rule drops.
+    """
+    out: list[tuple[str, bool, bool, tuple[int, ...]]] = []
     piece: list[str] = []
-    drop, depth, inside, link, linked = "", 0, 0, False, 0
+    stack: list[tuple[str, int]] = []  # open elements: name, and 0 or the number of the named boilerplate
+    opened: Counter[str] = Counter()
+    regions: list[int] = []
+    numbers, dropping, linked = 0, 0, 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html_lib.unescape("".join(piece)).split())
         piece.clear()
-        out.append(("" if drop else text, inside > 0, 2 * linked > len(text)))
+        out.append((text, opened["article"] + opened["main"] > 0, 2 * linked > len(text), tuple(regions)))
         linked = 0
 
+    def pop() -> None:
+        nonlocal dropping
+        name, number = stack[-1]
+        if name in BLOCK or name in DROP or number:
+            end_line()
+        stack.pop()
+        opened[name] -= 1
+        if number:
+            regions.pop()
+        dropping -= name in DROP
+
+    def end(names: tuple[str, ...], bounds: set[str]) -> None:
+        """End the innermost open element of ``names``, with what is open in it."""
+        if any(opened[x] for x in names):
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in names or stack[k][0] in bounds), -1)
+            if k >= 0 and stack[k][0] in names:
+                while len(stack) > k:
+                    pop()
+
     at = 0
     for m in TAG.finditer(page):
-        if not drop and m.start() > at:
+        if not dropping and m.start() > at:
             piece.append(page[at : m.start()])
-            linked += link * (m.start() - at)
+            linked += (opened["a"] > 0) * (m.start() - at)
         at = m.end()
         if (name := m["name"]) is None:
             continue
-        name, close = name.lower(), bool(m["close"])
+        name, close, attrs = name.lower(), bool(m["close"]), m["attrs"]
         if name == "br":
             piece.append(" ")
             continue
-        if name == "a":
-            link = not close
-        if drop:
-            if name == drop and not m["attrs"].endswith("/"):
-                depth += -1 if close else 1
-            elif close and name in ("body", "html"):
-                depth = 0
-            if depth <= 0:
+        if close:
+            if name in BLOCK:
                 end_line()
-                drop, depth = "", 0
+            # A cell or item that is left open ends with its list or table; an inline end tag does not reach out of a block.
+            end((name,), set() if name in BLOCK or name in DROP else BLOCK)
             continue
         if name in BLOCK or name in DROP:
+            end(("p",), {"table", "td", "th", "caption", "button", "object"})
+            if name in IMPLIED:
+                end(*IMPLIED[name])
             end_line()
-        if name in ("article", "main") and not m["attrs"].endswith("/"):
-            inside = max(0, inside + (-1 if close else 1))
-            continue
-        if close or name in VOID or name in ("html", "body"):
+        if name == "a":
+            end(("a",), BLOCK)
+        if name in VOID or name in ("html", "body") or attrs.endswith("/"):
             continue
-        if name in DROP or "=" in m["attrs"] and any(ROLE.search(a or b or c) for a, b, c in NAMED.findall(m["attrs"])):
+        number = 0
+        if not dropping and named_boilerplate(name, attrs):
             end_line()
-            drop, depth = name, 1
-    if not drop and at < len(page):
+            numbers += 1
+            number = numbers
+            regions.append(number)
+        stack.append((name, number))
+        opened[name] += 1
+        dropping += name in DROP
+    if not dropping and at < len(page):
         piece.append(page[at:])
     end_line()
-    return out
+    sizes: Counter[int] = Counter()
+    for text, _, _, of in out:
+        for number in of:
+            sizes[number] += len(text)
+    most = sum(len(text) for text, *_ in out) / 2
+    return [("" if any(sizes[x] <= most for x in of) else text, inside, links) for text, inside, links, of in out]
 
 
 def main_text(page: str) -> str:

@@ -129,3 +129,16 @@ def test_rollup(spark, tmp_path):
     with pytest.raises(Exception, match="unknown op"):
         r.apply(4, spark.createDataFrame([("drop", "a", "en", "1", 1, None, None, "x")], schema))
     assert r.apply(4, one)
+
+
+def test_html_names_of_boilerplate():
+    long = "A sentence of the page's own text that is long enough to count for a line of it. " * 2
+    body = f"<p>{long}</p><p>{long}</p>"
+    want = "\n".join([long.strip()] * 2)
+    for name in ('class="page no-sidebar"', 'class="main with-sidebar"', 'class="site has-header-image"', 'class="social"', "id=side-effects", "id='related-work'", 'data-x="?id=menu"'):
+        assert html_text.main_text(f"<body><div {name}>{body}</div></body>") == want
+    assert html_text.main_text(f"<body>{body}<section id='side-effects'><p>{long}</section><div class='social-history'>{long}</div></body>") == "\n".join([long.strip()] * 4)
+    # Without the optional end tag, what is named ends with its next sibling or its parent.
+    assert html_text.main_text(f"<body>{body}<p class=notice>gone<p>{long}<ul><li class=share>gone<li>{long}</ul><p>{long}</body>") == "\n".join([long.strip()] * 5)
+    assert html_text.main_text(f"<body>{body}<figure><img><figcaption>{long}</figcaption></figure><div class='ad-slot'>{long}</div></body>") == "\n".join([long.strip()] * 3)
+    assert html_text.main_text(f"<body>{body}<article class='comment'>{long}</article></body>") == want
