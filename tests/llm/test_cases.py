@@ -142,3 +142,14 @@ def test_html_names_of_boilerplate():
     assert html_text.main_text(f"<body>{body}<p class=notice>gone<p>{long}<ul><li class=share>gone<li>{long}</ul><p>{long}</body>") == "\n".join([long.strip()] * 5)
     assert html_text.main_text(f"<body>{body}<figure><img><figcaption>{long}</figcaption></figure><div class='ad-slot'>{long}</div></body>") == "\n".join([long.strip()] * 3)
     assert html_text.main_text(f"<body>{body}<article class='comment'>{long}</article></body>") == want
+
+
+def test_html_windows_decide_on_every_page():
+    long = "A sentence of the page's own text that is long enough to count for a line of it. " * 2
+    line = long.strip()
+    links = "".join(f"<p><a href=/{i}>a link of a list {i}</a></p>" for i in range(8))
+    # The body stands beside several article elements, and what follows a dive is no text.
+    page = f"<body><div><p>{long}</p><p>short</p><p>{long}</p></div><article><p>{long}</p></article><article><p>{long}</p></article>{links}<p>end</p></body>"
+    assert html_text.main_text(page) == "\n".join([line, "short", line, line, line])
+    assert html_text.main_text(f"<body><p>skip</p>{links}<div><p>{long}</p><p>x</p></div>{links}<p>{long}</p>{links}<p>end</p></body>") == "\n".join([line, "x", line])
+    assert html_text.main_text(f"<body><article><p>{long}</p></article><article class='comment'><p>one comment</p></article></body>") == line
