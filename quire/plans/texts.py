@@ -571,7 +571,7 @@ def sink_partitioned(d: Data) -> DataFrame:
     "notes attachments",
 )
 def sink_concat(d: Data) -> DataFrame:
-    return _md5(sinks.concatenated(_content(d)), "content")
+    return sinks.concatenated_digests(_content(d))
 
 
 @query(

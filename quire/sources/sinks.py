@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.dates import formatted
 
@@ -70,6 +75,36 @@ def concatenated(notes: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     return good.groupBy("account", "folder_path").agg(F.array_join(F.transform(rows, lambda r: r["content"]), separator).alias("content"), F.count("*").alias("notes"))
 
 
+def concatenated_digests(notes: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
+    """``concatenated`` with the MD5 of each folder's text in place of the text, which is never put together: a folder's
+    rows stream through one task in the order of their paths, since the digest of a text goes from its start to its end."""
+    rows = notes.where("content IS NOT NULL").select("account", "folder_path", "rel_path", "content")
+    rows = rows.repartition("account", "folder_path").sortWithinPartitions("account", "folder_path", "rel_path", "content")
+    schema = T.StructType([rows.schema["account"], rows.schema["folder_path"], T.StructField("content", T.StringType()), T.StructField("notes", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, md5, n = None, None, 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([folder[0]], account), pa.array([folder[1]], place), pa.array([md5.hexdigest()]), pa.array([n], pa.int64())], names=schema.names)
+
+        for b in batches:
+            account, place = b.column(0).type, b.column(1).type
+            for a, f, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                if folder != (a, f):
+                    if folder is not None:
+                        yield row()
+                    folder, md5, n = (a, f), hashlib.md5(), 0
+                else:
+                    md5.update(separator.encode())
+                md5.update(text.as_buffer())
+                n += 1
+        if folder is not None:
+            yield row()
+
+    return rows.mapInArrow(run, schema)
+
+
 def write_concatenated(notes: DataFrame, path: str, separator: str = "\n\n---\n\n") -> None:
     """The whole corpus as ordered text files, a note after another; never one giant row."""
     notes.where("content IS NOT NULL").orderBy("rel_path").select("content").write.mode("overwrite").option("lineSep", separator).text(path)

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from quire import plans, registry  # noqa: F401  plans fill the registry
 from quire.operators import hierarchy, links, paths, richtext, sync, tables
 from quire.sources import sinks, stores
 from quire.streaming import feed
@@ -138,3 +139,13 @@ def test_manifest_switches_versions(spark, tmp_path):
     for n in (1, 2, 3):
         sinks.write_manifest(spark.createDataFrame([(n, T0, "p")], schema), path)
     assert [r.note_id for r in stores.manifest(spark, path).collect()] == [3]
+
+
+def test_concatenated_texts_are_never_one_row(spark, capsys):
+    rows = [("A", f"F{i % 3}", None if i % 7 == 3 else f"p{i * 37 % 101:03}", None if i % 5 == 4 else f"té{i}" * (i % 4)) for i in range(100)] + [(None, None, "p", "x")]
+    notes = spark.createDataFrame(rows, "account string, folder_path string, rel_path string, content string")
+    want = sinks.concatenated(notes).withColumn("content", F.md5("content"))
+    assert sorted(sinks.concatenated_digests(notes).collect(), key=str) == sorted(want.collect(), key=str)
+    assert sinks.concatenated_digests(notes.limit(0)).count() == 0
+    registry.QUERIES["sink_concat"](spark, "/root/testdata/sf0.001").explain()
+    assert "collect_list" not in capsys.readouterr().out
