@@ -22,10 +22,12 @@ HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"[A-Za-z0-9+/_=-]"
-MIN_TOKEN = 16
+#: Characters of a token, and of the parts between its separators; least length of either.
+TOKEN, PART, SEPARATORS, MIN_TOKEN = r"[A-Za-z0-9+/_=-]", r"[A-Za-z0-9+]", "/_=-", 16
+#: Hits whose offsets are summed in one go.
+BLOCK = 256
 #: A token is random when its ratio is at least so large, in all and on average for each pair of characters (nats).
-MIN_RATIO, MIN_MEAN_RATIO = 20.0, 2.0
+MIN_RATIO, MIN_MEAN_RATIO = 16.0, 1.25
 #: Documents and generated strings from which the models are counted.
 FIT_DOCS, FIT_RANDOM = 2_000, 4_000
 FIRST, WIDTH = 33, 94  # printable ASCII without the space
@@ -42,18 +44,27 @@ def _hits(text: Column, pattern: str, kind: int, ok) -> Column:
         F.split(text, pattern, -1), found,
         lambda gap, hit: F.struct(F.length(gap).alias("g"), F.coalesce(F.length(hit), F.lit(0)).alias("h"), (hit.isNotNull() & F.coalesce(ok(hit), F.lit(False))).alias("ok")),
     )
-    spans = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + x["h"]).alias("at"),
-            F.when(
-                x["ok"],
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["g"] + x["h"]).alias("end")))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    # Offsets are sums of what stands before: within blocks of BLOCK hits, and of whole blocks. One run over all hits would
+    # copy the spans found so far for each of them.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda k: F.slice(parts, k * BLOCK + 1, BLOCK))
+    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["g"] + x["h"]))
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def spans_of(block: Column, start: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(start.alias("at"), F.array().cast(SPANS).alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["g"] + x["h"]).alias("at"),
+                F.when(
+                    x["ok"],
+                    F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["g"] + x["h"]).alias("end")))),
+                ).otherwise(a["out"]).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    spans = F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), spans_of))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
 
 
@@ -79,7 +90,8 @@ def ratio(token: Column, model: list[float]) -> Column:
 def fit(samples: DataFrame, token_col: str = "token", label_col: str = "random") -> list[float]:
     """Ratio table from labelled tokens (label true: random). Null tokens and labels take no part.
 
-    Pairs of characters are counted on the executors; at most 94 x 94 counts come back.
+    Pairs of characters are counted on the executors; at most 94 x 94 counts come back. Pairs with a separator tell
+    nothing: paths have them as keys do.
     """
     t = F.col(token_col)
     pairs = (
@@ -94,19 +106,21 @@ def fit(samples: DataFrame, token_col: str = "token", label_col: str = "random")
     for a in chars:
         rows = [counts.get(a + b, (0, 0)) for b in chars]
         nr, no = (sum(x[k] for x in rows) for k in (0, 1))
-        out += [math.log((r + 0.1) / (nr + 0.1 * WIDTH)) - math.log((o + 0.1) / (no + 0.1 * WIDTH)) for r, o in rows]
+        logs = [math.log((r + 0.1) / (nr + 0.1 * WIDTH)) - math.log((o + 0.1) / (no + 0.1 * WIDTH)) for r, o in rows]
+        out += [0.0 if a in SEPARATORS or b in SEPARATORS else x for b, x in zip(chars, logs, strict=True)]
     return out
 
 
 def default_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, fit_random: int = FIT_RANDOM) -> DataFrame:
-    """Labelled samples (token, random): hashed counters written in three alphabets are random; tokens of at most
+    """Labelled samples (token, random): hashed counters written in seven alphabets are random; tokens of at most
     ``fit_docs`` documents, first by a hash of their id, are ordinary unless a base rule holds for the text."""
     spark = docs.sparkSession
     h = F.sha2(F.col("id").cast("string"), 256)
-    upper = F.translate(F.substring(h, 1, 32), "0123456789abcdef", "QWERTZ234567YXCV")
-    drawn = spark.range(0, fit_random, 1, 1).select(
-        F.explode(F.array(F.substring(h, 1, 40), upper, F.regexp_replace(F.base64(F.unhex(h)), "=", ""))).alias("token"), F.lit(True).alias("random")
-    )
+    mixed = F.regexp_replace(F.base64(F.unhex(h)), "=", "")
+    plain = F.regexp_replace(mixed, "[+/]", "")
+    letters = F.regexp_replace(plain, "[0-9]", "")
+    kinds = (F.substring(h, 1, 40), F.upper(F.substring(h, 1, 40)), mixed, F.lower(plain), F.upper(plain), F.lower(letters), F.upper(letters))
+    drawn = spark.range(0, fit_random, 1, 1).select(F.explode(F.array(*kinds)).alias("token"), F.lit(True).alias("random"))
     ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(fit_docs).distinct()
     text = F.col("_text")
     words = (
@@ -122,17 +136,21 @@ def scan(df: DataFrame, model: list[float], id_col: str = "doc_id", text_col: st
     """``id_col``, the columns of ``keep`` and ``spans``: array<struct<start, kind, end>> by start, then kind.
 
     ``kind`` is an index into ``KINDS``; offsets are code points, the end exclusive. The Markov models add tokens of
-    at least ``MIN_TOKEN`` characters, with a letter, that no base span touches. Null and empty texts have no spans;
-    repeated rows stay; other columns are left behind.
+    at least ``MIN_TOKEN`` characters, with a letter, that no base span touches, and such parts of other tokens between
+    ``/ _ = -``, so that an ordinary prefix does not hide a key. Null and empty texts have no spans; repeated rows stay;
+    other columns are left behind.
     """
-    keep = tuple(c for c in dict.fromkeys([id_col, *keep]) if c not in ("spans", "_base", "_more"))
+    keep = tuple(c for c in dict.fromkeys([id_col, *keep]) if c not in ("spans", "_base", "_more", "_parts"))
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = df.select(*keep, F.col(text_col).alias("_text"))
     ok = lambda m: (
         m.rlike("[A-Za-z]") & (ratio(m, model) >= MIN_RATIO) & (ratio(m, model) >= MIN_MEAN_RATIO * (F.length(m) - 1))
     )
-    found = rows.select(*keep, base_spans(text).alias("_base"), _hits(text, f"{TOKEN}{{{MIN_TOKEN},}}", 3, ok).alias("_more"))
-    free = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    more = lambda piece: _hits(text, f"{piece}{{{MIN_TOKEN},}}", 3, ok)
+    found = rows.select(*keep, base_spans(text).alias("_base"), more(TOKEN).alias("_more"), more(PART).alias("_parts"))
+    apart = lambda xs, ys: F.filter(xs, lambda m: ~F.exists(ys, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    found = found.select(*keep, "_base", apart(F.col("_more"), F.col("_base")).alias("_more"), apart(F.col("_parts"), F.col("_base")).alias("_parts"))
+    free = F.concat("_more", apart(F.col("_parts"), F.col("_more")))
     return found.select(*keep, F.sort_array(F.concat("_base", free)).alias("spans"))
 
 
