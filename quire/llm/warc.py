@@ -1,9 +1,9 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-partitioned by id and sorted; each task streams its range into gzip members, rolls files by
-compressed size, and regenerates every header and digest. What a task writes has a temporary name of its own, so
-attempts never meet; a manifest table names the files of the attempts that Spark accepted, and the commit gives
-exactly those their final names. The range bounds, and so the shards, depend on the rows alone.
+Records are sorted by id and cut into shards at fixed places of the sorted ids, so that shards depend on the rows alone;
+each is streamed by one task into gzip members, which rolls files by compressed size and regenerates every header and
+digest. What a task writes has a temporary name of its own, so attempts never meet; a manifest table names the files of
+the attempts that Spark accepted, and the commit gives exactly those their final names.
 
 Payloads are shuffled once. Which of equal payloads is the response is worked out on ids and digests; the answers
 travel to the payloads as marker rows that sort right before them, so that no join has to move payloads again.
@@ -14,20 +14,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import math
 import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import qualified
+from quire.llm.common import materialize, qualified
+from quire.llm.worker import blocks
 
-#: Compressed bytes after which a file is closed; deflate level; uncompressed bytes a partition is planned for.
-ROLL_BYTES, LEVEL, PART_BYTES = 64 << 20, 4, 24 << 20
+#: Compressed bytes after which a file is closed; deflate level; shards are the root of the payload's bytes over SHARD_BYTES,
+#: so that their number and their size both grow with the root of the table.
+ROLL_BYTES, LEVEL, SHARD_BYTES = 64 << 20, 4, 1 << 20
 MIN_REVISIT_BYTES = 0
 URN = "urn:quire:page:"
 DATE = "1970-01-01T00:00:00Z"
@@ -40,16 +45,21 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def urn(page_id: int | None, sha: str, copy: int = 0) -> str:
+    """Name of a record: its id (none for null), its payload's digest, and a number for all but the first that repeat both."""
+    return f"{URN}{'' if page_id is None else page_id}:{sha}" + (f":{copy}" if copy else "")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, copy: int = 0, refers_to: str | None = None) -> bytes:
     """One WARC/1.1 record; a revisit carries the digest and length of the payload that its response holds."""
-    kind = "response" if refers_to is None else "revisit"
-    url = "".join(c for c in url or f"{URN}{page_id}" if c >= " " and c != "\x7f")
+    kind, sha = "response" if refers_to is None else "revisit", digest(payload)
+    url = "".join(c for c in url or urn(page_id, sha, copy) if c >= " " and c != "\x7f")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{URN}{page_id}>", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}",
-        f"WARC-Payload-Digest: sha1:{digest(payload)}", f"Quire-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{urn(page_id, sha, copy)}>", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}",
+        f"WARC-Payload-Digest: sha1:{sha}", f"Quire-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{URN}{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {PROFILE}"]
         payload = b""
     head += [f"WARC-Block-Digest: sha1:{digest(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -65,61 +75,96 @@ def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
 
-def plan(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``page_id`` and ``refers_to`` of the pages that are revisits: equal payloads of ``min_bytes`` or more point to
-    the largest page_id among them. Digests are counted before they are shuffled; one payload may fill the table."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.unhex(F.sha1(html)).alias("d")).where(F.octet_length(html) >= min_bytes)
+def plan(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """(page_id, d, refers_to) of the pages (page_id, d: digest, size) that are revisits: equal payloads of ``min_bytes`` or
+    more point to the largest page_id among them. Digests are counted before they are shuffled; one payload may fill
+    the table."""
+    rows = pages.where(F.col("size") >= min_bytes).select("page_id", "d")
     tops = rows.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(tops, "d").where("page_id <> refers_to").select("page_id", "refers_to")
+    return rows.join(tops, "d").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "d", "refers_to").distinct()
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def cuts(pages: DataFrame) -> np.ndarray:
+    """Ids at which a new shard begins: every so many of the sorted ids, whatever partitions they come in. A short array."""
+    spark = pages.sparkSession
+    n, size = pages.agg(F.count("page_id"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shards = math.isqrt(size // SHARD_BYTES) + 1
+    each = max(1, -(-n // shards))
+    tagged = pages.select("page_id").where("page_id IS NOT NULL").orderBy("page_id").withColumn("_m", F.monotonically_increasing_id())
+    tagged = materialize(tagged.select("page_id", F.shiftright("_m", 33).cast("int").alias("p"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("i")), "page-ids")
+    starts, total = {}, 0
+    for p, count in sorted(tagged.groupBy("p").count().collect()):  # a number for each partition
+        starts[p], total = total, total + count
+    if not starts:
+        return np.empty(0, np.int64)
+    before = spark.createDataFrame(list(starts.items()), "p int, before long")
+    at = tagged.join(F.broadcast(before), "p").where((F.col("before") + F.col("i")) % each == 0)
+    return np.unique(np.array([r.page_id for r in at.select("page_id").collect()], np.int64))  # at most a number for each shard
+
+
+def write(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES, min_bytes: int = MIN_REVISIT_BYTES
+) -> DataFrame:
     """Write the archives below ``path`` (a URI of a store that all executors reach) and return the manifest.
 
-    Null html is an empty payload, a null url is replaced by the record's URN; rows without an id are an error, and so
-    are repeated ids, for a record's name is made of it. Other columns are left out. An empty table gives no file.
+    Null html is an empty payload, a null url is replaced by the record's URN. Every row becomes a record: rows that repeat
+    an id and payload are numbered, and revisit the first of them where that is the response; a null id is less than all
+    others and is left out of the URN. Other columns are left out. An empty table gives no file.
     """
     spark = pages.sparkSession
     path = qualified(spark, path)
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.lit(1).alias("mark"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.lit(None).cast("long").alias("refers_to")
-    )
-    marks = plan(pages, id_col, html_col).select("page_id", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
-    size = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    dealt = rows.unionByName(marks).repartitionByRange(parts, "page_id").sortWithinPartitions("page_id", "mark")
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha1(html)).alias("d"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.octet_length(html).alias("size"))
+    keys = materialize(rows.select("page_id", "d", "size"), "page-keys")
+    begins = spark.sparkContext.broadcast(cuts(keys))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    marks = plan(keys, min_bytes).select("page_id", "d", F.lit(0).alias("mark"), none("string", "url"), none("string", "html"), "refers_to")
+    both = rows.select("page_id", "d", F.lit(1).alias("mark"), "url", "html", none("long", "refers_to")).unionByName(marks)
+    shards = max(1, len(begins.value))
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(begins.value, page_id.to_numpy(np.int64), side="right"))
+
+    # Rows without an id are dealt by their digest.
+    shard = F.when(F.col("page_id").isNull(), -1 - F.pmod(F.xxhash64("d"), F.lit(shards)).cast("int")).otherwise(shard_of(F.coalesce("page_id", F.lit(0))))
+    order = ("shard", "page_id", "d", "mark", "url")
+    dealt = both.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions(*order)
     store = _open(path)[1]
     _open(path)[0].create_dir(posixpath.join(store, "_temporary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         fs, root = _open(path)
-        shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        done, out, last, refers = [], None, None, None
+        attempt, done, out, seq = uuid.uuid4().hex, [], None, 0
+        key, to, copy = None, None, 0  # of the row before: id and digest, where a marker says it points, how often it came
 
         def close() -> None:
             nonlocal out
             if out is not None:
                 out["f"].close()
-                done.append((shard, len(done), out["temp"], f"part-{shard:06d}-{len(done):04d}.warc.gz", out["n"], out["rows"], out["sha"].hexdigest()))
+                name = "null" if out["shard"] < 0 else "part"
+                done.append((out["shard"], seq, out["temp"], f"{name}-{abs(out['shard']):06d}-{seq:04d}.warc.gz", out["n"], out["rows"], out["sha"].hexdigest()))
                 out = None
 
-        for b in batches:
-            for pid, mark, url, html, to in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+        columns = ("shard", "page_id", "d", "mark", "url", "html", "refers_to")
+        for b in (x for whole in batches for x in blocks(whole, "html")):
+            for shard, pid, d, mark, url, text, refers_to in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                if key != (pid, d):
+                    key, to, copy = (pid, d), None, -1
                 if mark == 0:
-                    refers = (pid, to)
+                    to = (refers_to,)
                     continue
-                if pid is None or pid == last:
-                    raise ValueError(f"page_id {pid} is null or stands twice")
-                last = pid
-                data = member(record(pid, url, (html or "").encode(), refers[1] if refers and refers[0] == pid else None))
-                if out is not None and out["n"] + len(data) > roll_bytes:
+                copy += 1
+                payload = (text or "").encode()
+                target = urn(to[0] if to else pid, digest(payload)) if to or copy and len(payload) >= min_bytes else None
+                data = member(record(pid, url, payload, copy, target))
+                if out is not None and (out["shard"] != shard or out["n"] + len(data) > roll_bytes):
+                    same = out["shard"] == shard
                     close()
+                    seq = seq + 1 if same else 0
                 if out is None:
-                    temp = f"_temporary/{shard:06d}-{len(done):04d}-{attempt}"
-                    out = {"f": fs.open_output_stream(posixpath.join(root, temp), compression=None), "temp": temp, "n": 0, "rows": 0, "sha": hashlib.sha256()}
+                    temp = f"_temporary/{abs(shard):06d}-{uuid.uuid4().hex}-{attempt}"
+                    out = {"f": fs.open_output_stream(posixpath.join(root, temp), compression=None), "temp": temp, "n": 0, "rows": 0, "sha": hashlib.sha256(), "shard": shard}
                 out["f"].write(data)
                 out["sha"].update(data)
                 out["n"] += len(data)
@@ -136,8 +181,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def commit(spark: SparkSession, path: str) -> DataFrame:
-    """Give the manifest's files their final names; may be repeated after a failure. Left-over attempts stay below
-    ``_temporary`` and are never read. One row for each file comes back, none for records."""
+    """Give the manifest's files their final names and drop what other attempts left; may be repeated after a failure. One
+    row for each file comes back, none for records."""
     path = qualified(spark, path)
     manifest = spark.read.schema(MANIFEST).parquet(f"{path.rstrip('/')}/manifest")
 
@@ -151,6 +196,9 @@ def commit(spark: SparkSession, path: str) -> DataFrame:
 
     done = manifest.repartition(max(1, min(64, manifest.rdd.getNumPartitions())), "name").mapInArrow(rename, MANIFEST)
     done.agg(F.count("*")).collect()
+    fs, root = _open(path)
+    if fs.get_file_info(posixpath.join(root, "_temporary")).type != pa.fs.FileType.NotFound:
+        fs.delete_dir(posixpath.join(root, "_temporary"))
     return manifest
 
 
@@ -203,7 +251,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         fs, root = _open(path)
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        page = lambda urn: int(urn[len(URN) + 1 : -1])
+        page = lambda name: int(i) if (i := name[len(URN) + 1 : -1].split(":")[0]) else None
         rows: list[tuple] = []
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for b in batches:
