@@ -18,8 +18,9 @@ BINS, BITS, WORDS = 128, 4, 5
 #: Probes of an empty bin in the order of its hash, before all full bins are looked through.
 PROBES = 6
 BIN_SHIFT = 54  # a key is the bin above 54 bits of value
-#: Groups of consecutive ids up to which their table (three numbers a row) is broadcast.
-BROADCAST_GROUPS = 200_000
+#: Groups of consecutive ids up to which their table (three numbers a row) is broadcast; quantiles of ids that cut groups
+#: at most; numbers of groups in a block.
+BROADCAST_GROUPS, QUANTILES, BLOCK_GROUPS = 200_000, 1_024, 1_000
 SPACE = " \t\n\r\x0b\x0c"
 
 
@@ -86,31 +87,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), (equal - chance) / (1 - chance)))
 
 
+def _group(id_col: Column, bounds: list[int], parts: int) -> Column:
+    """Number of a group of consecutive ids: the range between two bounds and one of its ``parts`` equal widths. Bounds
+    are found in two steps over short arrays. It never falls as the id grows; ids below all bounds are in the first range."""
+    side = max(1, int(len(bounds) ** 0.5))
+    rows = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    of = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    coarse = F.greatest(F.size(F.filter(of([r[0] for r in rows]), lambda b: b <= id_col)) - 1, F.lit(0))
+    fine = F.greatest(F.size(F.filter(F.get(F.array(*map(of, rows)), coarse), lambda b: b <= id_col)) - 1, F.lit(0))
+    at = coarse * side + fine
+    low, high = F.get(of(bounds), at), F.get(of([*bounds[1:], bounds[-1] + 1]), at)
+    share = (id_col.cast("double") - low) / F.greatest(high.cast("double") - low, F.lit(1.0))
+    return at.cast("long") * parts + F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1)).cast("long")
+
+
+def _followers(tops: DataFrame) -> DataFrame:
+    """(_g, _top, _to) of (_g, _top): the group above each, the lowest one for the highest. Groups are looked through in
+    blocks of BLOCK_GROUPS numbers, and only the blocks' ends in one task."""
+    inner = Window.partitionBy("_block").orderBy("_g")
+    rows = tops.withColumn("_block", F.floor(F.col("_g") / BLOCK_GROUPS)).withColumn("_to", F.lead("_g").over(inner))
+    firsts = rows.groupBy("_block").agg(F.min("_g").alias("_first"))
+    chain = Window.orderBy("_block")
+    ends = firsts.select("_block", F.lead("_first").over(chain).alias("_next"), F.min("_first").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_least"))
+    return rows.join(ends, "_block").select("_g", "_top", F.coalesce("_to", "_next", "_least").alias("_to"))
+
+
 def with_next(df: DataFrame, id_col: str, cols: list[str], per_group: int = 400) -> DataFrame:
     """Rows with ``next_<c>`` of the row that follows in descending ``id_col``; the last one's is the first's.
 
-    Ids are dealt into groups of about ``per_group`` consecutive ones and each group is one window; the row after a
-    group's last one comes along as a guest from the next group. Which group that is follows from the groups' largest
-    ids alone, a table ``per_group`` times shorter. Null ids stand at the end; repeated ids in the order of ``cols``.
+    Ids (whole numbers) are dealt into groups of about ``per_group`` consecutive ones and each group is one window: first
+    by approximate quantiles of all ids, at most QUANTILES, then by equal widths between two of them. The row after a
+    group's last one comes along as a guest from the next group; which group that is follows from the groups' largest ids
+    alone, a table ``per_group`` times shorter. Null ids stand at the end; repeated ids in the order of ``cols``, one
+    group for all rows of an id.
     """
-    n, lo, hi = df.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
-    if not n:
+    n, lo, hi = df.agg(F.count(id_col), F.min(id_col), F.max(id_col)).first()
+    if not n and not df.head(1):
         return df.select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(f"next_{c}") for c in cols])
-    lo, hi = lo or 0, hi or 0
-    width = max(1, (hi - lo + 1) * per_group // n)
-    group = F.coalesce(F.floor((F.col(id_col) - lo) / width), F.lit(-1))  # null ids: below all others
-    rows = df.withColumn("_g", group)
-    tops = rows.groupBy("_g").agg(F.max(id_col).alias("_top"))
-    chain = Window.orderBy(F.col("_g").asc())
-    above = tops.select("_g", "_top", F.lead("_g").over(chain).alias("_to"), F.min("_g").over(Window.partitionBy()).alias("_least"))
-    # The largest row of a group is the guest of the group above; the largest of all is the guest of the lowest group.
-    guests = above.select("_g", "_top", F.coalesce("_to", "_least").alias("_to"))
-    groups = (hi - lo) // width + 2
+    ranges = max(1, min(QUANTILES, n // per_group))
+    cuts = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(ranges)], 10 * QUANTILES)).first()[0] if n and ranges > 1 else []
+    bounds = sorted({lo or 0, *(cuts or [])})
+    parts = max(1, -(-n // (per_group * len(bounds))))
+    rows = df.withColumn("_g", F.coalesce(_group(F.col(id_col), bounds, parts), F.lit(-1).cast("long")))  # null ids: below all others
+    guests = _followers(rows.groupBy("_g").agg(F.max(id_col).alias("_top")))
+    groups = len(bounds) * parts + 1
     marked = rows.join(F.broadcast(guests) if groups <= BROADCAST_GROUPS else guests, "_g")
-    dealt = marked.select(
-        *df.columns,
-        F.explode(F.when(F.col(id_col).eqNullSafe(F.col("_top")), F.array(F.struct(F.col("_g").alias("g"), F.lit(0).alias("guest")), F.struct(F.col("_to").alias("g"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("_g").alias("g"), F.lit(0).alias("guest"))))).alias("_d"),
-    )
+    # The largest row of a group is the guest of the group above; the largest of all is the guest of the lowest group.
+    own, guest = F.struct(F.col("_g").alias("g"), F.lit(0).alias("guest")), F.struct(F.col("_to").alias("g"), F.lit(1).alias("guest"))
+    dealt = marked.select(*df.columns, F.explode(F.when(F.col(id_col).eqNullSafe(F.col("_top")), F.array(own, guest)).otherwise(F.array(own))).alias("_d"))
     order = Window.partitionBy("_d.g").orderBy(F.col("_d.guest"), F.col(id_col).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in cols])
     nexts = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in cols])
     return nexts.where("_d.guest = 0").drop("_d")
