@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.common import materialize
 from quire.llm.worker import blocks, memory
 
 #: log2 of the number of hashed coordinates: bounds the model, and so the broadcast.
 BITS = 20
-#: Labelled rows used for fitting, taken in the order of a hash of their id, and passes over them.
-MAX_FIT_ROWS, EPOCHS = 8_000, 3
+#: Labelled rows used for fitting, and coordinates of all of them; passes over them.
+MAX_FIT_ROWS, MAX_FIT_COORDINATES, EPOCHS = 8_000, 1 << 26, 3
+#: Rate and L1 (chosen on a fold of the learning rows), and the weight of a text of n coordinates: ROW_WEIGHT / sqrt(n).
+ALPHA, L1, ROW_WEIGHT = 2.0, 1.0, 8.0
 STEMS = (4, 5)
 WORD = re.compile(r"\w+")
 MASK = np.uint64((1 << BITS) - 1)
@@ -95,8 +98,11 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(coordinates(text))
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1: float, l2: float, epochs: int) -> Model:
-    """FTRL-proximal over rows of (coordinates, label): z and n are kept for each coordinate, weights made when needed."""
+def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = ALPHA, beta: float = 1.0, l1: float = L1, l2: float = 0.1, epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal over rows of (coordinates, label): z and n are kept for each coordinate, weights made when needed.
+
+    A row's loss weighs ROW_WEIGHT / sqrt(its coordinates), so that a long text moves the model no farther than a short one.
+    """
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = bias = 0.0
     for _ in range(epochs):
@@ -104,14 +110,12 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float, beta: float, l1: floa
             zx, nx = z[x], n[x]
             root = np.sqrt(nx)
             w = np.where(np.abs(zx) <= l1, 0.0, (np.sign(zx) * l1 - zx) / ((beta + root) / alpha + l2))
-            scale = 1.0 / np.sqrt(max(len(x), 1))  # texts of any length weigh alike
             p = 1.0 / (1.0 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
-            g = (p - y) * scale * 8
+            g = (p - y) * ROW_WEIGHT / np.sqrt(max(len(x), 1))
             z[x] = zx + g - (np.sqrt(nx + g * g) - root) / alpha * w
             n[x] = nx + g * g
-            gb = p - y
-            zb += gb - (np.sqrt(nb + gb * gb) - np.sqrt(nb)) / alpha * bias
-            nb += gb * gb
+            zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * bias
+            nb += g * g
             bias = -zb / ((beta + np.sqrt(nb)) / alpha + l2)
     keep = np.flatnonzero(np.abs(z) > l1)
     w = (np.sign(z[keep]) * l1 - z[keep]) / ((beta + np.sqrt(n[keep])) / alpha + l2)
@@ -125,15 +129,13 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = MAX_FIT_ROWS,
-    alpha: float = 1.0,
-    beta: float = 1.0,
-    l1: float = 1.0,
-    l2: float = 0.1,
+    max_coordinates: int = MAX_FIT_COORDINATES,
 ) -> Model:
-    """Fit on at most ``max_rows`` rows of ``labelled`` (id, label; null labels take no part), first by a hash of the id.
+    """Fit on at most ``max_rows`` rows of ``labelled`` (id, label; null labels take no part), first by a hash of the id, and
+    at most ``max_coordinates`` of their texts, or one text.
 
-    The bound holds for ids, texts and the one task that learns, whatever the corpus; without any row the model is
-    empty and scores 0.5.
+    Both bounds hold for the one task that learns, whatever the corpus. An id with several labels is toxic if one says so;
+    one with several texts counts once, with the least of their vectors. Without any row the model is empty and scores 0.5.
     """
     chosen = (
         labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -150,16 +152,27 @@ def fit(
 
     schema = T.StructType([sample.schema["_id"], T.StructField("_y", T.IntegerType()), T.StructField("_x", T.BinaryType())])
 
+    # One row for each id; at most max_rows numbers come to the driver, in the order in which they are learnt from.
+    vectored = sample.mapInArrow(vectors, schema).groupBy("_id").agg(F.min(F.struct("_x", "_y")).alias("r")).select("_id", "r._x", "r._y")
+    vectored = materialize(vectored.withColumn("_turn", F.xxhash64("_id")), "fit-rows")
+    total, last = 0, None
+    for r in vectored.select("_id", "_turn", (F.octet_length("_x") / 4).cast("long").alias("n")).orderBy("_turn", "_id").collect():
+        total += r.n
+        if last is not None and total > max_coordinates:
+            break
+        last = (r["_turn"], r["_id"])
+    if last is None:
+        return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
+    upto = (F.col("_turn") < last[0]) | (F.col("_turn") == last[0]) & (F.col("_id") <= F.lit(last[1]))
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(b.column("_id").to_pylist(), b.column("_y").to_pylist(), b.column("_x").to_pylist(), strict=True)]
-        got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[2]))
-        m = ftrl([(np.frombuffer(x, np.int32), y) for _, y, x in got], alpha, beta, l1, l2, EPOCHS)
+        got = [r for b in batches for r in zip(b.column("_turn").to_pylist(), b.column("_id").to_pylist(), b.column("_y").to_pylist(), b.column("_x").to_pylist(), strict=True)]
+        got.sort(key=lambda r: r[:2])
+        m = ftrl([(np.frombuffer(x, np.int32), y) for _, _, y, x in got])
         cols = [pa.array([m.index.astype(np.int32).tobytes()]), pa.array([m.weight.tobytes()]), pa.array([m.bias])]
         yield pa.RecordBatch.from_arrays(cols, names=["i", "w", "b"])
 
-    row = sample.mapInArrow(vectors, schema).repartition(1).mapInArrow(learn, "i binary, w binary, b double").first()
-    if row is None:
-        return Model(np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
+    row = vectored.where(upto).repartition(1).mapInArrow(learn, "i binary, w binary, b double").first()
     return Model(np.frombuffer(row.i, np.int32), np.frombuffer(row.w, np.float32), row.b)
 
 
