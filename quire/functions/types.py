@@ -40,6 +40,7 @@ CLASSES = {
         "org.idpf.epub-container", "org.oasis-open.opendocument.text", "org.openxmlformats.wordprocessingml.document",
     ],
 }
+# Types that are no files, extensions and MIME types, labels and icons.
 NON_FILE = ("com.apple.notes.table", "com.apple.notes.inlinetextattachment", "com.apple.notes.inlinehashtagattachment", "com.apple.notes.inlinementionattachment", "public.url")
 EXTENSIONS = {
     "public.jpeg": "jpg", "public.png": "png", "public.pdf": "pdf", "public.heic": "heic", "public.heif": "heif", "public.tiff": "tiff",
@@ -94,10 +95,10 @@ def file_extension(filename: Column | str, uti: Column | str) -> Column:
 
 def magic_ext(data: Column | str) -> Column:
     """Extension by leading bytes; null for unknown ones and for less than four bytes."""
-    h = F.hex(F.substring(c(data), 1, 12))
+    h = F.hex(F.substring(c(data), 1, 8))
     return F.when(
         F.length(c(data)) >= 4,
-        F.when(h.startswith("FFD8"), "jpg").when(h.startswith("89504E47"), "png").when(h.startswith("25504446"), "pdf").when(h.startswith("474946"), "gif")
+        F.when(h.startswith("FFD8FF"), "jpg").when(h.startswith("89504E47"), "png").when(h.startswith("25504446"), "pdf").when(h.startswith("47494638"), "gif")
         .when(F.substring(h, 9, 8) == "66747970", "heic"),
     )
 

@@ -28,15 +28,15 @@ def closure(folders: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     ``path`` is the sanitised names from the ancestor down, joined with "/". A recursive CTE; a folder on the way is
     not entered twice.
     """
-    view = "_quire_folders"
-    folders.select("folder_id", "parent_id", sanitize_underscore(F.coalesce("name", F.lit(""))).alias("part")).createOrReplaceTempView(view)
-    return folders.sparkSession.sql(f"""
+    named = folders.select("folder_id", "parent_id", sanitize_underscore(F.coalesce("name", F.lit(""))).alias("part"))
+    query = f"""
       WITH RECURSIVE t(ancestor_id, folder_id, depth, path, seen) MAX RECURSION LEVEL {max_depth} AS (
-        SELECT folder_id, folder_id, 0, part, array(folder_id) FROM {view}
+        SELECT folder_id, folder_id, 0, part, array(folder_id) FROM {{named}}
         UNION ALL
         SELECT t.ancestor_id, f.folder_id, t.depth + 1, concat(t.path, '/', f.part), array_append(t.seen, f.folder_id)
-        FROM t JOIN {view} f ON f.parent_id = t.folder_id WHERE NOT array_contains(t.seen, f.folder_id))
-      SELECT ancestor_id, folder_id, depth, path FROM t""")
+        FROM t JOIN {{named}} f ON f.parent_id = t.folder_id WHERE NOT array_contains(t.seen, f.folder_id))
+      SELECT ancestor_id, folder_id, depth, path FROM t"""
+    return folders.sparkSession.sql(query, named=named)
 
 
 def paths(folders: DataFrame, tree: DataFrame | None = None) -> DataFrame:

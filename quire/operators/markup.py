@@ -17,6 +17,7 @@ from quire.functions.strings import c
 
 Rules = list[tuple[str, str]]
 
+# The rules of every format, in their order.
 #: Scripts and styles never are text; <br> in its three forms.
 HEAD: Rules = [("~(?s)<script[^>]*>.*?</script>", ""), ("~(?s)<style[^>]*>.*?</style>", ""), ("~(?s)<!--.*?-->", "")]
 BREAKS: Rules = [("~<br ?/?>", "\n")]
@@ -217,13 +218,32 @@ def extensions(html: Column | str) -> Column:
     return F.sort_array(F.array_distinct(F.transform(data_uris(html), lambda p: p["ext"])))
 
 
-def _record(**kw: Callable) -> dict[str, Callable]:
-    return kw
+def _fields(html: Column, title: Column, created: Column, modified: Column) -> list[Column]:
+    """A note by itself as a record: no folder, account or attachments."""
+    when = lambda x: formatted(x, "iso")
+    return [title.alias("title"), to_text(html).alias("body"), when(created).alias("created"), when(modified).alias("modified"), F.lit(0).alias("attachment_count")]
+
+
+def to_json(html: Column, title: Column, created: Column, modified: Column, pretty: bool = True) -> Column:
+    return F.to_json(F.struct(*_fields(html, title, created, modified)), {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
+
+
+def to_csv(html: Column, title: Column, created: Column, modified: Column) -> Column:
+    """One row, every field quoted: title, created, modified, body, number of attachments."""
+    when = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+    fields = [title, when(created), when(modified), to_text(html), F.lit("0")]
+    return F.concat_ws(",", *[F.concat(F.lit('"'), S.csv_escape(f), F.lit('"')) for f in fields])
+
+
+def to_xml(html: Column, title: Column, created: Column, modified: Column) -> Column:
+    tag = lambda name, x: F.concat(F.lit(f"  <{name}>"), S.xml_escape(x), F.lit(f"</{name}>\n"))
+    parts = [tag("title", title), tag("created", formatted(created, "iso")), tag("modified", formatted(modified, "iso")), tag("body", to_text(html))]
+    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<note>\n'), *parts, F.lit('  <attachments count="0" />\n</note>'))
 
 
 #: Text formats by name; each takes html, title, created, modified.
-FORMATS: dict[str, Callable[[Column, Column, Column, Column], Column]] = _record(
-    html=lambda h, t, a, b: to_html_page(h, t, a, b), txt=lambda h, t, a, b: to_text(h), markdown=lambda h, t, a, b: to_markdown(h),
+FORMATS: dict[str, Callable[[Column, Column, Column, Column], Column]] = dict(
+    json=to_json, jsonl=lambda h, t, a, b: to_json(h, t, a, b, False), csv=to_csv, xml=to_xml, html=lambda h, t, a, b: to_html_page(h, t, a, b), txt=lambda h, t, a, b: to_text(h), markdown=lambda h, t, a, b: to_markdown(h),
     org=lambda h, t, a, b: to_org(h, t, a, b), rst=lambda h, t, a, b: to_rst(h, t), adoc=lambda h, t, a, b: to_adoc(h, t), tex=lambda h, t, a, b: to_tex(h, t, a, b),
     rtf=lambda h, t, a, b: to_rtf(h), opml=lambda h, t, a, b: to_opml(h, t, a, b), enex=lambda h, t, a, b: to_enex(h, t, a, b),
 )
@@ -231,7 +251,7 @@ ALIASES = {"md": "markdown", "text": "txt", "plain": "txt", "latex": "tex", "asc
 
 
 def render(fmt: str, html: Column, title: Column, created: Column, modified: Column) -> Column:
-    """Any text format by name or alias; the record formats are ``quire.sources.sinks``'."""
+    """Any text format by name or alias; records with folder and attachments are ``quire.sources.sinks``'."""
     name = ALIASES.get(fmt.lower(), fmt.lower())
     if name not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; one of {sorted(FORMATS)}")

@@ -55,10 +55,13 @@ def merge_paths(allocated: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def apply(notes: DataFrame, manifest: DataFrame, allocated: DataFrame) -> DataFrame:
-    """The manifest after a run over ``notes`` (all current ones) with ``allocated`` paths for new ids."""
-    todo = diff(notes, manifest).where("status <> 'unchanged'").select("note_id", "modified", "old_path")
-    exported = todo.join(allocated.select("note_id", F.col("path").alias("_a")), "note_id", "left").select("note_id", "modified", F.coalesce("old_path", "_a").alias("path"))
-    return upsert(kept(notes, manifest), exported)
+    """The manifest after a run over ``notes`` (all current ones) with ``allocated`` paths for new ids: each side is read
+    once, and what has no note any more is left behind by the joins."""
+    rows = diff(notes.select("note_id", "modified"), manifest).join(allocated.select("note_id", F.col("path").alias("_a")), "note_id", "left")
+    same = F.col("status") == "unchanged"
+    return rows.select(
+        "note_id", F.when(same, F.col("old_modified")).otherwise(F.col("modified")).alias("modified"), F.when(same, F.col("old_path")).otherwise(F.coalesce("old_path", "_a")).alias("path")
+    )
 
 
 def delete_list(gone_entries: DataFrame, survivors: DataFrame) -> DataFrame:

@@ -30,16 +30,56 @@ def _tables(d: Data) -> dict[str, DataFrame]:
     return {"objects": d.raw_objects, "entities": d.raw_entities, "bodies": d.raw_bodies}
 
 
-@query("SELECT CASE WHEN z_ent > 0 THEN 'unknown' END AS layout, z_ent, count(*) AS n FROM raw_objects GROUP BY z_ent", "raw_objects")
+#: Store -> the release that it must be taken for: columns of one release, of two, none, other tables.
+STORES = {
+    "snippet": "v26", "unapplied": "v18", "generation": "v17", "account6": "v16", "account5": "v15", "opened": "v14", "account4": "v13", "server": "v12",
+    "snippet and account4": "v26", "bridge": "v11", "bare": "unknown", "no bodies": "legacy",
+}
+MARKS = {
+    "snippet": "ZAttributedSnippet", "unapplied": "zunappliedencryptedrecorddata", "generation": "zgeneration", "account6": "zaccount6", "account5": "zaccount5", "opened": "zlastopeneddate",
+    "account4": "zaccount4", "server": "zserverrecorddata",
+}
+
+
+@query(
+    f"SELECT store, layout, z_ent, count(*) AS n FROM raw_objects, (VALUES {', '.join(f'{kv}' for kv in STORES.items())}) AS s(store, layout) GROUP BY ALL", "raw_objects"
+)
 def detect_layout(d: Data) -> DataFrame:
-    layout = stores.detect_layout(_tables(d))
-    return d.raw_objects.groupBy("z_ent").agg(F.count("*").alias("n")).select(F.lit(layout).alias("layout"), "z_ent", "n")
+    """Stores of every release, made of the one at hand by the columns and tables that tell them apart."""
+    found = []
+    for store in STORES:
+        have = _tables(d)
+        for mark, column in MARKS.items():
+            if mark in store.split(" and "):
+                have["objects"] = have["objects"].withColumn(column, F.lit(None).cast("long"))
+        if store == "bridge":
+            have["folder_bridge"] = d.raw_bridge
+        if store == "no bodies":
+            del have["bodies"]
+        found.append(F.struct(F.lit(store).alias("store"), F.lit(stores.detect_layout(have)).alias("layout")))
+    return d.raw_objects.groupBy("z_ent").agg(F.count("*").alias("n")).select(F.inline(F.array(*found)), "z_ent", "n")
+
+
+#: Columns of the store at hand under the names that other releases give them.
+RENAMED = {
+    "v26": {}, "v17": {"zcreationdate1": "zcreationdate3"}, "v16": {"zaccount7": "zaccount6"}, "v15": {"zaccount7": "zaccount5", "zfolder": "zfolder2"}, "v13": {"zaccount7": "zaccount4"},
+    "v12": {"zaccount7": "ZACCOUNT3", "zcreationdate1": "zcreationdate"}, "v11": {"zaccount7": "zaccount", "zcreationdate1": "zcreationdate", "zmodificationdate1": "zmodificationdate"},
+}
 
 
-@query("SELECT z_pk, zcreationdate1 AS created, zmodificationdate1 AS modified, zaccount7 AS account, zfolder AS folder FROM raw_objects WHERE z_ent = 3", "raw_objects")
+@query(
+    f"SELECT layout, z_pk, zcreationdate1 AS created, zmodificationdate1 AS modified, zaccount7 AS account, zfolder AS folder FROM raw_objects, (VALUES {', '.join(f'({k!r})' for k in RENAMED)}) AS s(layout) WHERE z_ent = 3",
+    "raw_objects",
+)
 def resolve_columns(d: Data) -> DataFrame:
-    rows = d.raw_objects
-    return rows.where("z_ent = 3").select("z_pk", *[F.col(stores.resolve(rows, f)).alias(f) for f in ("created", "modified", "account", "folder")])
+    """The same notes from stores of several releases: one scan, read through each release's columns."""
+    fields, found = ("created", "modified", "account", "folder"), []
+    for layout, names in RENAMED.items():
+        renamed = d.raw_objects.withColumnsRenamed(names)
+        back = {new: old for old, new in names.items()}
+        at = {f: stores.resolve(renamed, f) for f in fields}
+        found.append(F.struct(F.lit(layout).alias("layout"), *[F.col(back.get(at[f], at[f])).alias(f) for f in fields]))
+    return d.raw_objects.where("z_ent = 3").select("z_pk", F.inline(F.array(*found))).select("layout", "z_pk", *fields)
 
 
 @query("SELECT z_pk, ztitle1 AS title FROM raw_objects WHERE z_ent = 3 UNION ALL SELECT z_pk, ztitle2 FROM raw_objects WHERE z_ent = 2", "raw_objects")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.strings import sanitize_drop
 from quire.operators import hierarchy, joins, paths, sync
 from quire.plans.base import Data, query
+from quire.plans.io import scratch
 from quire.plans.scans import _galleries
 
 CLOSURE = """clo(ancestor_id, folder_id, depth, path) AS (SELECT folder_id, folder_id, 0, name FROM folders UNION ALL
@@ -102,7 +103,7 @@ def agg_distinct_ext(d: Data) -> DataFrame:
 # Windows
 
 CLEAN = "regexp_replace(title, '[\\\\/:*?\"<>|\\x00-\\x1f\\x7f-\\x9f]', '', 'g')"
-ALLOC = f"""WITH b AS (SELECT note_id, 'F' || folder_id AS folder_path, substr({CLEAN}, 1, 12) AS base, created FROM notes),
+ALLOC = f"""WITH b AS (SELECT note_id, 'F' || folder_id AS folder_path, {CLEAN} AS base, created FROM notes),
   r AS (SELECT *, row_number() OVER (PARTITION BY folder_path, base ORDER BY created, note_id) AS r FROM b),
   f AS (SELECT *, base || CASE r WHEN 1 THEN '' ELSE ' (' || r || ')' END || '.md' AS f FROM r), n AS (SELECT *, count(*) OVER (PARTITION BY folder_path, f) AS n FROM f)
   SELECT note_id, folder_path || '/' || CASE WHEN n > 1 AND r > 1 THEN base || '_' || note_id || '.md' ELSE f END AS rel_path FROM n"""
@@ -110,7 +111,7 @@ ALLOC = f"""WITH b AS (SELECT note_id, 'F' || folder_id AS folder_path, substr({
 
 @query(ALLOC, "notes")
 def alloc_note_paths(d: Data) -> DataFrame:
-    rows = d.notes.select("note_id", F.concat(F.lit("F"), F.col("folder_id").cast("string")).alias("folder_path"), F.substring(sanitize_drop("title"), 1, 12).alias("base"), "created")
+    rows = d.notes.select("note_id", F.concat(F.lit("F"), F.col("folder_id").cast("string")).alias("folder_path"), sanitize_drop("title").alias("base"), "created")
     return paths.allocate(rows).select("note_id", "rel_path")
 
 
@@ -160,8 +161,9 @@ def sort_notes(d: Data) -> DataFrame:
 def _placed_rows(rows: DataFrame) -> DataFrame:
     """Positions of a sorted table: partition sizes are added up (one number each), rows stay where they are."""
     tagged = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33).cast("int")).withColumn("_i", F.col("_m").bitwiseAND((1 << 33) - 1))
-    tagged = tagged.persist()
-    before, total = {}, 0
+    path = scratch(rows.sparkSession, "sorted")
+    tagged.write.parquet(path)
+    tagged, before, total = rows.sparkSession.read.schema(tagged.schema).parquet(path), {}, 0
     for p, n in sorted(tagged.groupBy("_p").count().collect()):
         before[p], total = total, total + n
     starts = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
@@ -311,7 +313,6 @@ STREAM = """SELECT note_id, modified FROM (SELECT *, row_number() OVER (PARTITIO
 @query(STREAM, "change_feed")
 def sync_stream(d: Data) -> DataFrame:
     """The feed replayed as a stream of files, then the state that it left."""
-    from quire.plans.io import scratch
     from quire.streaming import feed
 
     src, path = scratch(d.spark, "feed"), scratch(d.spark, "state")

@@ -1,18 +1,26 @@
 """The sync state kept by a stream of changes.
 
-Each micro-batch is reduced to the latest change of every id, upserted into a versioned state and committed with the
-batch's number, so that a batch that comes again changes nothing. Deletions come as tombstones. A late change, older than what the state has, loses.
+The state lies in BUCKETS parts by a hash of the id. Each micro-batch is reduced to the latest change of every id and
+merged into the parts that it touches; these are written anew beside the old ones, and a small index of the parts, with
+the batch's number, is the commit, so that a batch that comes again changes nothing. Deletions come as tombstones. A late
+change, older than what the state has, loses.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from quire.sources.sinks import current_version, write_manifest
 
-STATE = "note_id long, modified timestamp_ntz, event_id long, tombstone boolean, batch long"
+STATE = "note_id long, modified timestamp_ntz, event_id long, tombstone boolean"
+INDEX = "bucket int, batch long"
+BUCKETS = 64
+
+
+def bucket(note_id: str = "note_id") -> Column:
+    return F.pmod(F.xxhash64(note_id), F.lit(BUCKETS)).cast("int")
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -31,20 +39,30 @@ def live(state: DataFrame) -> DataFrame:
     return state.where("NOT tombstone").select("note_id", "modified")
 
 
-def state(spark: SparkSession, path: str) -> DataFrame:
+def index(spark: SparkSession, path: str) -> dict[int, int]:
+    """Bucket -> batch that wrote its part; -1 -> the last batch. At most BUCKETS + 1 rows."""
     v = current_version(spark, path)
-    return spark.createDataFrame([], STATE) if v is None else spark.read.schema(STATE).parquet(f"{path}/v={v}")
+    return {} if v is None else {r.bucket: r.batch for r in spark.read.schema(INDEX).parquet(f"{path}/v={v}").collect()}
+
+
+def state(spark: SparkSession, path: str, only: set[int] | None = None) -> DataFrame:
+    """The state, or that of some buckets."""
+    parts = [f"{path}/parts/batch={n}/bucket={b}" for b, n in sorted(index(spark, path).items()) if b >= 0 and (only is None or b in only)]
+    return spark.read.schema(STATE).parquet(*parts) if parts else spark.createDataFrame([], STATE)
 
 
 def upsert_batch(path: str):
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = state(spark, path)
-        done = old.agg(F.max("batch")).first()[0]
-        if done is not None and done >= number:
+        known = index(spark, path)
+        if known.get(-1, -1) >= number:
             return
-        new = merged(old, batch).withColumn("batch", F.lit(number).cast("long"))
-        write_manifest(new, path)
+        changes = latest(batch)
+        touched = {r.b for r in changes.select(bucket().alias("b")).distinct().collect()}  # at most BUCKETS numbers
+        new = merged(state(spark, path, touched), changes).withColumn("bucket", bucket())
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/parts/batch={number}")
+        rows = known | {b: number for b in touched} | {-1: number}
+        write_manifest(spark.createDataFrame(list(rows.items()), INDEX).coalesce(1), path)
 
     return run
 
