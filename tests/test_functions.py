@@ -63,8 +63,8 @@ def test_links_and_templates(spark):
 
 def test_magic_and_sizes(spark):
     ext = lambda h: one(spark, Y.magic_ext(F.unhex(F.lit(h))))
-    cases = ["FFD8FFE0", "89504E47", "25504446", "47494638", "0000001866747970686569630000", "00112233", "FFD8"]
-    assert [ext(x) for x in cases] == ["jpg", "png", "pdf", "gif", "heic", None, None]
+    cases = ["FFD8FFE0", "89504E47", "25504446", "47494638", "0000001866747970686569630000", "00112233", "FFD8", "FFD80000", "47494600", "00000018667479"]
+    assert [ext(x) for x in cases] == ["jpg", "png", "pdf", "gif", "heic", None, None, None, None, None]
     assert tuple(one(spark, Y.image_size(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452000000100000000A"))))) == (16, 10)
 
 
@@ -97,12 +97,26 @@ def test_markup(spark):
     show = lambda f: one(spark, markup.render(f, F.lit(HTML), t, at, at))
     assert show("txt") == "T & x\nbold it link (http://a)\n• one\n• two\n\nc\nd"
     assert show("markdown") == "# T & x\n**bold** *it* [link](http://a)\n- one\n- two\n\n```\nc\nd\n```"
-    assert show("org").startswith("#+TITLE: Title\n#+DATE: [2024-01-02 Tue 03:04]\n") and "[[http://a][link]]" in show("org")
-    assert show("rst").startswith("=====\nTitle\n=====\n\nT &amp; x\n=========\n".replace("&amp;", "&")[:20]) and "`link <http://a>`_" in show("rst")
-    assert "== T & x" in show("adoc") and "http://a[link]" in show("adoc")
-    assert "\\section{T \\& x}" in show("tex") and "\\href{http://a}{link}" in show("tex") and "\\begin{itemize}\n\\item one" in show("tex")
-    assert show("rtf").startswith("{\\rtf1\\ansi") and '{\\field{\\*\\fldinst HYPERLINK "http://a"}{\\fldrslt link}}' in show("rtf")
-    assert '<outline text="T &amp; x" />' in show("opml") and "<en-note><h1>" in show("enex") and "<title>Title</title>" in show("html")
+    when = "[2024-01-02 Tue 03:04]"
+    assert show("org") == f"#+TITLE: Title\n#+DATE: {when}\n#+MODIFIED: {when}\n\n* T & x\n*bold* /it/ [[http://a][link]]\n- one\n- two\n\n#+BEGIN_SRC\nc\nd\n#+END_SRC"
+    assert show("rst") == "=====\nTitle\n=====\n\nT & x\n=========\n**bold** *it* `link <http://a>`_\n- one\n- two\n\n.. code-block::\n\n   c\nd"
+    assert show("adoc") == "= Title\n\n== T & x\n*bold* _it_ http://a[link]\n* one\n* two\n\n----\nc\nd\n----"
+    body = "\\section{T \\& x}\n\\textbf{bold} \\textit{it} \\href{http://a}{link}\\\\\n\\begin{itemize}\n\\item one\n\\item two\n\\end{itemize}\nc\\\\\nd"
+    head = "\\documentclass{article}\n\\usepackage[utf8]{inputenc}\n\\usepackage{ulem}\n\\usepackage{hyperref}\n\\title{Title}\n\\author{}\n\\date{2024-01-02}\n"
+    assert show("tex") == head + "\\begin{document}\n" + body + "\n\\end{document}\n"
+    rtf = "{\\rtf1\\ansi\\ansicpg1252\\deff0\n{\\fonttbl{\\f0\\fnil Helvetica;}{\\f1\\fmodern Courier;}}\n\\fs24 {\\b\\fs32 T & x}\\par\n{\\b bold} {\\i it} "
+    assert show("rtf") == rtf + '{\\field{\\*\\fldinst HYPERLINK "http://a"}{\\fldrslt link}}\\line\n\\bullet one\\par\n\\bullet two\\par\nc\\line\nd\n}'
+    outlines = "".join(f'    <outline text="{x}" />\n' for x in ("T &amp; x", "bold it link", "one", "two", "c", "d"))
+    stamps = "".join(f"    <date{x}>Tue, 02 Jan 2024 03:04:05 +0000</date{x}>\n" for x in ("Created", "Modified"))
+    assert show("opml") == f'<?xml version="1.0" encoding="UTF-8"?>\n<opml version="2.0">\n  <head>\n    <title>Title</title>\n{stamps}  </head>\n  <body>\n{outlines}  </body>\n</opml>'
+    assert "<en-note><h1>" in show("enex") and "<title>Title</title>" in show("html")
+    iso, plain = "2024-01-02T03:04:05.000Z", "T & x\\nbold it link (http://a)\\n• one\\n• two\\n\\nc\\nd"
+    assert show("ndjson") == f'{{"title":"Title","body":"{plain}","created":"{iso}","modified":"{iso}","attachment_count":0}}'
+    assert show("json") == f'{{\n  "title" : "Title",\n  "body" : "{plain}",\n  "created" : "{iso}",\n  "modified" : "{iso}",\n  "attachment_count" : 0\n}}'
+    text = show("txt")
+    assert show("csv") == f'"Title","2024-01-02 03:04:05","2024-01-02 03:04:05","{text}","0"'
+    inner = text.replace("&", "&amp;")
+    assert show("xml") == f'<?xml version="1.0" encoding="UTF-8"?>\n<note>\n  <title>Title</title>\n  <created>{iso}</created>\n  <modified>{iso}</modified>\n  <body>{inner}</body>\n  <attachments count="0" />\n</note>'
     with pytest.raises(ValueError, match="unknown format"):
         markup.render("doc", t, t, at, at)
 
