@@ -1,31 +1,51 @@
-"""Byte-level BPE by merge replay.
+"""Byte-level BPE by corpus-level merge replay.
 
-Each Spark task owns a part of the corpus. It reduces every batch of documents to its distinct pre-tokens
-and replays the merges over that vocabulary at once: an inverted index leads from the rank of a token pair to
-the positions where the pair stands, ranks are taken in rising order, every position of a rank is merged, and
-only the two touched neighbours enter the index again. Documents are then put together from their pre-tokens.
-No row leaves its partition, so nothing is shuffled and a hot source costs no more than any other.
+Texts are cut into chunks at the spaces where a pre-token must begin, and Spark counts the chunks of the whole corpus.
+The commonest, up to a fixed number, are split into pre-tokens and replayed once for the whole corpus, hash partition by
+hash partition: an inverted index leads from the rank of a token pair to the positions in words where the pair stands,
+ranks are taken in rising order, every position of a rank is merged, and only the two touched neighbours enter the index
+again. Their encodings are broadcast. A second pass puts the documents together from them; the pre-tokens left over, rare
+ones, are replayed where they stand, so that nothing is dropped. Documents never leave their partition, and a hot source
+costs no more than any other.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
-from array import array
+import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.common import materialize
 from quire.llm.worker import blocks, memory
 
-#: Bound on distinct pre-tokens that a Python worker remembers between batches.
-CACHE_WORDS = 250_000
+#: Chunks at most whose encodings are broadcast, and their bytes at most.
+COMMON_CHUNKS, COMMON_BYTES = 150_000, 8 << 20
+#: Bound on chunks of text, and their characters, that a Python worker remembers between batches.
+CACHE_CHUNKS, CACHE_CHARS = 150_000, 16 << 20
+#: Longer chunks are taken pre-token by pre-token; words of more bytes are replayed by the index, shorter ones in rounds.
+LONG_CHUNK, LONG_WORD = 64, 48
+#: No pre-token goes on past a space between two other characters: it begins there, and a space with letters, or a run of
+#: marks, is one. True of the byte-level patterns in use.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Texts in which a space has white space beside it can't be cut at every space.
+EDGE = re.compile(r" \s|\s ")
+#: The same for Spark's functions; white space as Python's ``\s`` has it.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+MARKS = ".,;:!?)]"
+NONE = 1 << 30
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -46,8 +66,13 @@ class MergeReplay:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         }
+        self.text_of = {r: str(r) for r in self.bytes_of}
+        order = sorted(self.pairs)
+        self.keys, self.merged = np.array(order, np.int64), np.array([self.pairs[k] for k in order], np.int64)
+        self.byte_ranks = np.array(self.byte_rank, np.int64)
 
-    def encode_words(self, words: Iterable[bytes]) -> list[list[int]]:
+    def replay(self, words: Iterable[bytes]) -> list[list[int]]:
+        """Ids of words by the inverted index over all of them."""
         words, pairs, byte_rank = list(words), self.pairs, self.byte_rank
         tok: list[int] = []
         nxt: list[int] = []
@@ -144,28 +169,180 @@ class MergeReplay:
             if prv[at] >= 0:
                 pair[prv[at]] = self.pairs.get(tok[prv[at]] << 32 | best, -1)
 
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of token pairs, NONE for those that never merge."""
+        if not len(self.keys):
+            return np.full(len(left), NONE, np.int64)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], NONE)
+
+    def in_rounds(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of short words that are not empty. Words never touch one another, so each round applies to every word
+        its own next merge in the order of ranks, the leftmost first, and looks up the pairs of the two neighbours."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        tok = self.byte_ranks[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        rank = np.full(len(tok), NONE, np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self._ranks_of(tok[inner], tok[inner + 1])
+        while len(tok):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
+            done = least >> 32 == NONE
+            if done.any():
+                ends = np.append(first[1:], len(tok))
+                flat = tok.tolist()
+                for k in np.flatnonzero(done).tolist():
+                    out[word[first[k]]] = flat[first[k] : ends[k]]
+            keep = np.repeat(~done, np.diff(np.append(first, len(tok))))
+            at = least[~done] & 0xFFFFFFFF
+            tok[at] = rank[at]
+            keep[at + 1] = False
+            new = np.cumsum(keep) - 1
+            tok, word, rank = tok[keep], word[keep], rank[keep]
+            at = new[at]
+            rank[at] = NONE
+            left, right = at[at > 0] - 1, at[at + 1 < len(tok)]
+            touched = np.concatenate([left[word[left] == word[left + 1]], right[word[right] == word[right + 1]]])
+            rank[touched] = self._ranks_of(tok[touched], tok[touched + 1])
+        return out
+
+    def encode_words(self, words: Iterable[bytes]) -> list[list[int]]:
+        words = list(words)
+        out: list[list[int]] = [[]] * len(words)
+        short, long = [], []
+        for i, w in enumerate(words):
+            whole = self.ranks.get(w)
+            if whole is not None:  # a word of the vocabulary is its own encoding
+                out[i] = [whole]
+            elif w:
+                (short if len(w) <= LONG_WORD else long).append(i)
+        for at, ids in ((short, self.in_rounds([words[i] for i in short])), (long, self.replay(words[i] for i in long))):
+            for i, x in zip(at, ids, strict=True):
+                out[i] = x
+        return out
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def entries(self, ids: list[int], offsets: list[int]) -> Iterator[tuple[str, int, bytes]]:
+        """What documents are put together from, of each list of ids between two offsets: the decimal ids joined by a space,
+        their number, the decoded bytes."""
+        shown, raw = list(map(self.text_of.__getitem__, ids)), list(map(self.bytes_of.__getitem__, ids))
+        for a, b in pairwise(offsets):
+            yield (shown[a], 1, raw[a]) if b - a == 1 else (" ".join(shown[a:b]), b - a, b"".join(raw[a:b]))
+
+
+def chunks_of(text: str) -> list[str]:
+    """A text cut before every space at which a pre-token must begin; long chunks too."""
+    parts = CUT.split(text) if EDGE.search(text) else text.split(" ")
+    return [parts[0], *[" " + x for x in parts[1:]]]
+
+
+def chunk_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(chunk, n) of the distinct chunks of all texts."""
+    text = F.col(text_col)
+    parts = F.when(text.rlike(f" {SPACE}|{SPACE} "), F.split(text, f"(?<!{SPACE}|^) (?!{SPACE}|$)")).otherwise(F.split(text, " "))
+    rows = df.select(F.posexplode(parts).alias("at", "part"))
+    return rows.groupBy(F.when(F.col("at") == 0, F.col("part")).otherwise(F.concat(F.lit(" "), "part")).alias("chunk")).agg(F.count("*").alias("n"))
+
+
+def common_chunks(counts: DataFrame, most: int = COMMON_CHUNKS, most_bytes: int = COMMON_BYTES) -> DataFrame:
+    """The commonest short ones of (chunk, n): all whose count lies in the highest classes that together keep both bounds.
+    Classes are eighths of powers of two, so that a short table tells where to cut."""
+    classed = counts.where(F.length("chunk") <= LONG_CHUNK).withColumn("class", F.floor(F.log2("n") * 8).cast("int"))
+    sizes = classed.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.octet_length("chunk")).alias("bytes")).collect()  # at most 8 x 63 rows
+    chunks = size = 0
+    least = None
+    for r in sorted(sizes, key=lambda r: -r["class"]):
+        chunks, size = chunks + r.n, size + r.bytes
+        if chunks > most or size > most_bytes:
+            break
+        least = r["class"]
+    return classed.where(F.lit(False) if least is None else F.col("class") >= least).select("chunk")
+
 
-def _worker(data: bytes, pattern: str) -> tuple:
-    """Tables and word memory of this Python worker, built once for each vocabulary."""
-    key, kept = hashlib.sha256(data + pattern.encode()).hexdigest(), memory("bpe")
-    if key not in kept:
-        kept.clear()
-        kept[key] = (MergeReplay(parse_ranks(data)), regex.compile(pattern), {})
-    return kept[key]
+def dictionary(chunks: DataFrame, ranks: bytes, pattern: str) -> pa.Table:
+    """(chunk, ids) of a bounded number of chunks: the pre-tokens of each hash partition are replayed once."""
+    packed = chunks.sparkSession.sparkContext.broadcast(ranks)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, findall = [c for b in batches for c in b.column(0).to_pylist()], regex.compile(pattern).findall
+        pieces = [pieces_of(c, findall) for c in mine]
+        words = list(set().union(*pieces))
+        ids = dict(zip(words, _replay(packed.value).replay([w.encode() for w in words]) if words else [], strict=True))
+        for i in range(0, len(mine), 50_000):
+            made = [[x for w in ws for x in ids[w]] for ws in pieces[i : i + 50_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(mine[i : i + 50_000], pa.string()), pa.array(made, pa.list_(pa.int32()))], names=["chunk", "ids"])
+
+    return chunks.repartition("chunk").mapInArrow(run, "chunk string, ids array<int>").toArrow()
+
+
+def pieces_of(chunk: str, findall: Callable[[str], list[str]]) -> list[str]:
+    """Pre-tokens of a chunk; a word with closing marks needs no pattern."""
+    word = chunk.rstrip(MARKS)
+    if word[1:].isalpha() and word[0] == " ":
+        return [word, chunk[len(word) :]] if len(word) < len(chunk) else [word]
+    return findall(chunk)
+
+
+def _replay(ranks: bytes) -> MergeReplay:
+    """Tables of a vocabulary, built once for each Python worker."""
+    kept, key = memory("bpe"), hashlib.sha256(ranks).digest()
+    if kept.get("vocabulary", (None,))[0] != key:
+        kept["vocabulary"] = (key, MergeReplay(parse_ranks(ranks)))
+    return kept["vocabulary"][1]
+
+
+class _Corpus:
+    """What a Python worker knows of one corpus: encodings of the common chunks, and of others met so far."""
 
-def _learn(replay: MergeReplay, known: dict, pieces: list[list[str]], with_ids: bool = True) -> None:
-    words = set().union(*pieces)
-    new = list(words.difference(known))
-    if len(known) + len(new) > CACHE_WORDS:  # go on with the words of this block
-        kept = {w: known[w] for w in words if w in known}
-        known.clear()
-        known.update(kept)
-    for w, ids in zip(new, replay.encode_words([w.encode() for w in new]), strict=True):
-        known[w] = (" ".join(map(str, ids)), len(ids), replay.decode(ids), array("i", ids) if with_ids else None)
+    def __init__(self, replay: MergeReplay, pattern: str, table: pa.Table):
+        self.replay, self.findall = replay, regex.compile(pattern).findall
+        ids = table["ids"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+        self.common = dict(zip(table["chunk"].to_pylist(), replay.entries(ids.flatten().to_pylist(), ids.offsets.to_pylist()), strict=True))
+        self.known, self.chars = dict(self.common), 0
+        gc.freeze()  # these stay as long as the worker: no need to look through them again
+
+    def chunks(self, text: str) -> list[str]:
+        """A text's chunks; pre-tokens in place of long ones."""
+        out = chunks_of(text)
+        if max(map(len, out)) > LONG_CHUNK:
+            out = [x for c in out for x in ((c,) if len(c) <= LONG_CHUNK else self.findall(c))]
+        return out
+
+    def learn(self, texts: list[list[str]]) -> dict[str, tuple[str, int, bytes]]:
+        """Encodings of all chunks of these texts. Pre-tokens that are not known are replayed here."""
+        known, met = self.known, set().union(*texts)
+        new = met.difference(known)
+        size = sum(map(len, new))
+        if len(known) - len(self.common) + len(new) > CACHE_CHUNKS or self.chars + size > CACHE_CHARS:  # go on with this block's
+            kept = {c: known[c] for c in met if c in known}
+            known.clear()
+            known.update(self.common)
+            known.update(kept)
+            self.chars = sum(map(len, kept))
+        self.chars += size
+        words = {c for c in new if c[1:].isalpha() and (c[0] == " " or c[0].isalpha())}  # each is one pre-token
+        pieces = {c: pieces_of(c, self.findall) for c in new.difference(words)}
+        rare = list(words.union(*pieces.values()).difference(known))
+        ids = self.replay.encode_words([w.encode() for w in rare])
+        known.update(zip(rare, self.replay.entries(list(chain.from_iterable(ids)), [0, *accumulate(map(len, ids))]), strict=True))
+        for c, ws in pieces.items():
+            if len(ws) != 1:
+                got = [known[w] for w in ws]
+                known[c] = (" ".join([x[0] for x in got]), sum([x[1] for x in got]), b"".join([x[2] for x in got]))
+        return known
+
+
+def _corpus(ranks: bytes, pattern: str, sent, key: str) -> _Corpus:
+    kept = memory("bpe")
+    if kept.get("corpus", (None,))[0] != key:
+        kept.pop("corpus", None)
+        kept["corpus"] = (key, _Corpus(_replay(ranks), pattern, sent.value))
+    return kept["corpus"][1]
 
 
 def encode(
@@ -183,7 +360,8 @@ def encode(
     pattern. Returns ``id_col``, the columns of ``keep`` and those of ``outputs``: ``ids`` (array of int),
     ``decoded`` (string), ``n_tokens`` (long), ``ids_sha256`` and ``decoded_sha256`` (hex digests of the decimal
     ids joined by one space and of the decoded bytes). Null texts count as empty: no ids. Rows come back one for
-    one, so repeated rows stay; columns not named are left behind.
+    one, so repeated rows stay; columns not named are left behind. The pattern must let pre-tokens begin at every space
+    between two other characters (see ``CUT``).
     """
     types = {
         "ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(),
@@ -193,28 +371,32 @@ def encode(
     passed = list(dict.fromkeys([id_col, *keep]))
     schema = T.StructType([rows.schema[c] for c in passed] + [T.StructField(c, types[c]) for c in outputs if c not in passed])
     made = [c for c in outputs if c not in passed]
-    packed = df.sparkSession.sparkContext.broadcast(ranks)
+    sc = df.sparkSession.sparkContext
+    packed = sc.broadcast(ranks)
+    # At most COMMON_CHUNKS chunks and COMMON_BYTES bytes of them.
+    sent = sc.broadcast(dictionary(common_chunks(materialize(chunk_counts(df, text_col), "chunk-counts")), ranks, pattern))
+    key = uuid.uuid4().hex
     arrow = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, matcher, known = _worker(packed.value, pattern)
-        if "ids" in made and any(x[3] is None for x in islice(known.values(), 1)):
-            known.clear()
+        corpus = _corpus(packed.value, pattern, sent, key)
         for whole in batches:
             for batch in blocks(whole, text_col):
-                pieces = [matcher.findall(t or "") for t in batch.column(text_col).to_pylist()]
-                _learn(replay, known, pieces, "ids" in made)
+                texts = [corpus.chunks(t or "") for t in batch.column(text_col).to_pylist()]
+                known = corpus.learn(texts)
                 cols: dict[str, list] = {c: [] for c in made}
-                for ws in pieces:
-                    got = [known[w] for w in ws]
+                for cs in texts:
+                    written, counts, raw = zip(*map(known.__getitem__, cs), strict=True)
+                    # An empty chunk has no ids: a text may begin with a space.
+                    line = " ".join(written) if all(counts[:1]) else " ".join(written[1:])
                     if "n_tokens" in cols:
-                        cols["n_tokens"].append(sum([x[1] for x in got]))
+                        cols["n_tokens"].append(sum(counts))
                     if "ids" in cols:
-                        cols["ids"].append([i for x in got for i in x[3]])
+                        cols["ids"].append(np.array(line.split(), np.int32))
                     if "ids_sha256" in cols:
-                        cols["ids_sha256"].append(hashlib.sha256(" ".join([x[0] for x in got]).encode()).hexdigest())
+                        cols["ids_sha256"].append(hashlib.sha256(line.encode()).hexdigest())
                     if "decoded" in cols or "decoded_sha256" in cols:
-                        back = b"".join([x[2] for x in got])
+                        back = b"".join(raw)
                         if "decoded" in cols:
                             cols["decoded"].append(back.decode("utf-8", "replace"))
                         if "decoded_sha256" in cols:
