@@ -16,6 +16,8 @@ from quire.llm.common import materialize
 DIMS = ("source", "lang", "topic")
 #: Rounds over the three marginals at most, rounds between two looks at how far the marginals are off, and when to stop.
 ROUNDS, LOOK, CLOSE = 12, 4, 1e-11
+#: Cells to a task: fewer are not dealt out by their values, which would be a shuffle for each marginal.
+CELLS_PER_TASK = 100_000
 #: Topics of texts with long words; letters of a long word; rounds that spread what full cells leave of the budget.
 TOPICS, LETTERS, SPREAD = 8, 7, 3
 Targets = dict[str, dict]
@@ -28,11 +30,15 @@ def tokens(text: Column) -> Column:
     return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / 4).cast("double")
 
 
-def topic(text: Column) -> Column:
-    """Stand-in for a topic model: long words are dealt to TOPICS by a hash, and a text's topic is the one that most of all
-    its long words have, the smaller of equal ones; TOPICS for a text without long words."""
+def word_topics(text: Column) -> Column:
+    """A digit for each long word of a text: the topic that a hash deals it to."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0))
-    own = F.array_join(F.transform(words, lambda w: F.translate(F.substring(F.md5(F.lower(w)), 1, 1), "89abcdef", "01234567")), "")
+    return F.array_join(F.transform(words, lambda w: F.translate(F.substring(F.md5(F.lower(w)), 1, 1), "89abcdef", "01234567")), "")
+
+
+def topic(own: Column) -> Column:
+    """Stand-in for a topic model: of all ``word_topics`` of a text the commonest, the smaller of equal ones; TOPICS for a
+    text without long words. ``own`` should be a column, as it is read for every topic."""
     counts = F.array(*[F.length(own) - F.length(F.replace(own, F.lit(str(t)), F.lit(""))) for t in range(TOPICS)])
     return F.when(own == "", TOPICS).otherwise(F.array_position(counts, F.array_max(counts)) - 1).cast("int")
 
@@ -69,15 +75,16 @@ def rake(cells: DataFrame, targets: Targets, keep_share: float = 0.0, dims: tupl
     weights sum to less than 1. A cell without tokens weighs nothing. Null is a value like any other. Rounds end when no
     marginal is off by more than CLOSE, or after ``rounds``.
     """
-    total = cells.agg(F.sum("tok")).first()[0] or 1.0
-    cells = cells.select("*", *[_target(cells, d, targets.get(d, {})).alias(f"t_{d}") for d in dims], (F.col("tok") / total).alias("w"))
+    total, n = cells.agg(F.sum("tok"), F.count("*")).first()
+    total, parts = total or 1.0, max(1, -(-n // CELLS_PER_TASK))
+    cells = cells.coalesce(parts).select("*", *[_target(cells, d, targets.get(d, {})).alias(f"t_{d}") for d in dims], (F.col("tok") / total).alias("w"))
     cap = F.col("tok") / (keep_share * total) if keep_share else F.lit(float("inf"))
     for k in range(1, rounds + 1):
         for d in dims:
             have = F.sum("w").over(Window.partitionBy(d))
             cells = cells.withColumn("w", F.when(have > 0, F.least(F.col("w") * F.col(f"t_{d}") / have, cap)).otherwise(0.0))
         if k % LOOK == 0 or k == rounds:
-            cells = materialize(cells, "cells")
+            cells = materialize(cells, "cells").coalesce(parts)
             if deviation(cells, dims) <= CLOSE:
                 break
     return cells
@@ -116,9 +123,10 @@ def sample(
     ``docs`` needs ``source`` and ``lang``; null ones are cells of their own. Empty documents have no tokens, and no
     part in the targets: they keep their cell's p, 1 where the cell has no tokens. Repeated ids are drawn alike.
     """
-    keep = tuple(c for c in dict.fromkeys([id_col, *keep]) if c not in (*DIMS, "tok", "p", "weight", "kept"))
+    keep = tuple(c for c in dict.fromkeys([id_col, *keep]) if c not in (*DIMS, "tok", "p", "weight", "kept", "_own"))
     text = F.col(text_col)
-    rows = docs.select(*keep, "source", "lang", topic(text).alias("topic"), tokens(text).alias("tok"))
+    rows = docs.select(*keep, "source", "lang", word_topics(text).alias("_own"), tokens(text).alias("tok"))
+    rows = rows.select(*keep, "source", "lang", topic(F.col("_own")).alias("topic"), "tok")
     cells = calibrate(rake(cell_table(rows), targets, keep_share), keep_share)
     cells = materialize(cells.select(*[F.col(d).alias(f"_{d}") for d in DIMS], "p"), "rates")
     same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMS]
