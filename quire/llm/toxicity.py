@@ -29,7 +29,7 @@ BITS = 20
 #: Labelled rows used for fitting, and coordinates of all of them; passes over them.
 MAX_FIT_ROWS, MAX_FIT_COORDINATES, EPOCHS = 8_000, 1 << 26, 3
 #: Rate and L1 (chosen on a fold of the learning rows), and the weight of a text of n coordinates: ROW_WEIGHT / sqrt(n).
-ALPHA, L1, ROW_WEIGHT = 2.0, 1.0, 8.0
+ALPHA, L1, ROW_WEIGHT = 2.0, 2.0, 8.0
 STEMS = (4, 5)
 WORD = re.compile(r"\w+")
 MASK = np.uint64((1 << BITS) - 1)
