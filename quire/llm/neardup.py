@@ -7,9 +7,12 @@ from the start and only their first one goes on. Texts that share a sketch meet
 at most SMALL, and a pair with the bucket's first text in any bucket. Pairs are verified on their whole texts by an
 alignment within the band that the threshold allows; classes are the connected components of what was verified.
 
-Members of larger buckets that are not in one class by then go through an exact join on their shingles, the rarest
+Members of larger buckets that are not in one class by then are tried with other hubs, HUB_ROUNDS times: a member of the
+bucket's largest class, drawn anew each time, so that a large class gathers what belongs to it at a cost that grows with
+the bucket and not with its square. Those that are still apart go through an exact join on their shingles, the rarest
 first: as many of each text as any text that is alike must share one of (a prefix filter). Pairs within a class are not
-tried again, so a large class costs no square of its size.
+tried, and candidates are verified a few for each text at a time, so that most of a class is joined before the rest of
+its pairs come up, and need not.
 """
 
 from __future__ import annotations
@@ -17,18 +20,22 @@ from __future__ import annotations
 import hashlib
 import string
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import discard, materialize, written
 from quire.llm.worker import blocks, memory
 
 #: Words of a shingle, least similarity, sketches, k-mers in a sketch, members of a bucket whose pairs are all tried.
 K, THRESHOLD, SKETCHES, ORDERED, SMALL = 5, 0.8, 12, 2, 16
+#: Times that members of large buckets are tried with a new hub; share of a bucket that its largest class must hold for
+#: that after the first time; candidates of a text up to which each wave verifies.
+HUB_ROUNDS, HUB_SHARE, WAVES = 3, 0.25, (4, 64, 1 << 62)
 PUNCTUATION = string.punctuation + "¡¿«»“”„‘’…–—·"
 _rng = np.random.default_rng(20240501)
 SEEDS = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -103,111 +110,134 @@ def sketches(codes: np.ndarray) -> list[int]:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Shingles that the alignment of two texts' words has in common, over those of either; 0 if below ``threshold``.
+    """Labelled shingles that the alignment of two texts has in common, over those of either; 0 if below ``threshold``.
 
-    The alignment is a shortest edit script (insertions and deletions), searched only within the band of diagonals and
-    edits that a similarity of ``threshold`` allows. Texts of fewer words than a shingle are alike only if equal.
+    The alignment matches as many shingles as can be in the order of both texts. Only matches within the band of
+    diagonals that ``threshold`` allows take part: one that lies as far off as there may be unmatched shingles in all can't
+    be part of it. A labelled shingle stands once in a text, so the matches are at most as many as shingles, and the
+    longest chain of them takes n log n steps and linear space. Texts of fewer words than a shingle are alike only if equal.
     """
-    n, m = len(a), len(b)
-    if n == m and (a == b).all():
+    if len(a) == len(b) and (a == b).all():
         return 1.0
-    sa, sb = n - K + 1, m - K + 1
-    if sa < 1 or sb < 1 or min(sa, sb) < threshold * max(sa, sb):
+    n, m = len(a) - K + 1, len(b) - K + 1
+    if n < 1 or m < 1 or min(n, m) < threshold * max(n, m):
         return 0.0
-    # An upper bound: shingles in common in any order.
-    ua, ub = np.unique(shingles(a), return_counts=True), np.unique(shingles(b), return_counts=True)
-    _, ia, ib = np.intersect1d(ua[0], ub[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(ua[1][ia], ub[1][ib]).sum())
-    if common < threshold * (sa + sb - common):
+    _, at, to = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
+    need = threshold / (1 + threshold) * (n + m)
+    near = np.abs(at - to) <= n + m - 2 * need + 1e-6
+    at, to = at[near], to[near]
+    if len(at) < need - 1e-6:
         return 0.0
-    band = int((sa + sb) * (1 - 2 * threshold / (1 + threshold)))
-    x_of, shared_of = {1: 0}, {1: 0}
-    p, q = a.tolist(), b.tolist()
-    for d in range(band + 1):
-        nx, ns = {}, {}
-        for k in range(-d, d + 1, 2):
-            left, down = x_of.get(k - 1, -1), x_of.get(k + 1, -1)
-            if down > left or (down == left + 1):
-                x, s = down, shared_of.get(k + 1, 0)
+    to = to[np.argsort(at)]
+    chain = len(to)
+    if (to[1:] < to[:-1]).any():
+        ends: list[int] = []
+        for x in to.tolist():
+            k = bisect_left(ends, x)
+            if k == len(ends):
+                ends.append(x)
             else:
-                x, s = left + 1, shared_of.get(k - 1, 0)
-            y = x - k
-            if x < 0 or y < 0 or x > n or y > m:
-                continue
-            start = x
-            while x < n and y < m and p[x] == q[y]:
-                x += 1
-                y += 1
-            nx[k], ns[k] = x, s + max(0, x - start - K + 1)
-            if x >= n and y >= m:
-                sim = ns[k] / (sa + sb - ns[k])
-                return sim if sim >= threshold else 0.0
-        x_of, shared_of = nx, ns
-    return 0.0
+                ends[k] = x
+        chain = len(ends)
+    found = chain / (n + m - chain)
+    return found if found >= threshold else 0.0
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, text): rows that repeat both their id and text share ``id``, all others differ in it."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words: digest of the text's words, sketches) of every row."""
+    """(doc: id of the row, id: hash of that id and the text, words: digest of the text's words, sketches) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in blocks(whole, "text")):
-            codes = [word_codes(t) for t in b.column(1).to_pylist()]
+            codes = [word_codes(t) for t in b.column("text").to_pylist()]
             digests = pa.array([hashlib.md5(c.tobytes()).digest() for c in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([sketches(c) for c in codes], pa.list_(pa.int64()))], names=["id", "words", "sketches"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), digests, pa.array([sketches(c) for c in codes], pa.list_(pa.int64()))], names=["doc", "id", "words", "sketches"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, words binary, sketches array<long>")
+    return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc long, id long, words binary, sketches array<long>")
 
 
 def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (id, sketches): distinct pairs (a, b), a < b, to be tried, and the distinct ids in large buckets."""
+    """Of (id, sketches): distinct pairs (a, b), a < b, to be tried, and (key, id) of the members of large buckets."""
     keyed = firsts.select("id", F.inline(F.transform("sketches", lambda s, j: F.struct(F.xxhash64(j, s).alias("key")))))
     sizes = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = keyed.join(sizes, "key")
     star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     few = members.where(f"n > 2 AND n <= {SMALL}").select("key", "id")
     pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
-    return star.unionByName(pairs).distinct(), members.where(f"n > {SMALL}").select("id").distinct()
+    return star.unionByName(pairs).distinct(), members.where(f"n > {SMALL}").select("key", "id")
+
+
+def hub_candidates(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b: each member of a large bucket outside of its largest class with one of that class.
+    After the first turn only in buckets that one class holds a good part of: members of others have a frequent passage
+    in common and little else."""
+    rows = members.join(labels, "id")
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("hub"))
+    mains = parts.groupBy("key").agg(F.max(F.struct("n", "label", "hub")).alias("main"), F.sum("n").alias("n")).where(f"main.n < n AND main.n >= {HUB_SHARE if turn else 0} * n")
+    apart = rows.join(mains.select("key", "main.label", "main.hub").toDF("key", "main", "hub"), "key").where("label <> main")
+    return apart.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def packed(text: str | None) -> bytes:
+    """A text's word codes, folded to four bytes each."""
+    codes = word_codes(text)
+    return ((codes ^ (codes >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32).astype(np.uint64)
 
 
 def tried_texts(pairs: DataFrame, large: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, large) of the texts in pairs; ``large`` for those in large buckets, which are in pairs all."""
+    """(id, codes, large) of the texts in pairs; ``large`` for those in large buckets, which are in pairs all."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("large")).unionByName(large.select("id", F.lit(True).alias("large")))
     # The ids grow with the corpus, so they are never broadcast, also where they are few.
-    all_texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).hint("shuffle_merge")
-    return materialize(all_texts.join(ids.groupBy("id").agg(F.max("large").alias("large")), "id").dropDuplicates(["id"]), "texts")
+    all_texts = keyed_texts(docs, id_col, text_col).select("id", "text").hint("shuffle_merge")
+    tried = all_texts.join(ids.groupBy("id").agg(F.max("large").alias("large")), "id").dropDuplicates(["id"]).select("id", "large", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in blocks(whole, "text")):
+            codes = pa.array([packed(t) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("large"), codes], names=["id", "large", "codes"])
+
+    return materialize(tried.mapInArrow(run, "id long, large boolean, codes binary"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs whose whole texts reach ``threshold``."""
-    texts = texts.select("id", "text")
+    texts = texts.select("id", "codes")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in blocks(whole, "tb")):
-            last, codes, ok = None, None, []
-            for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if codes is None or ta != last:
-                    last, codes = ta, word_codes(ta)
-                ok.append(similarity(codes, word_codes(tb), threshold) >= threshold)
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+            sides = zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)
+            keep = pa.array([similarity(unpacked(x), unpacked(y), threshold) >= threshold for x, y in sides], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
 def shingle_counts(texts: DataFrame) -> np.ndarray:
-    """Occurrences of shingles in (id, text), summed in CELLS cells."""
+    """Occurrences of shingles in (id, codes), summed in CELLS cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(CELLS, np.int64)
-        for b in (x for whole in batches for x in blocks(whole, "text")):
-            for t in b.column(1).to_pylist():
-                np.add.at(sums, (labelled(word_codes(t)) % np.uint64(CELLS)).astype(np.int64), 1)
+        for b in (x for whole in batches for x in blocks(whole, "codes")):
+            for t in b.column("codes").to_pylist():
+                np.add.at(sums, (labelled(unpacked(t)) % np.uint64(CELLS)).astype(np.int64), 1)
         at = np.flatnonzero(sums)
         for i in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(sums[at[i : i + (1 << 16)]])], names=["cell", "n"])
 
-    found = texts.select("id", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n > {RARE}").toArrow()
+    found = texts.select("codes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n > {RARE}").toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[found["cell"].to_numpy()] = found["n"].to_numpy()
     return counts
@@ -221,15 +251,14 @@ def least_sizes(n: int, threshold: float) -> tuple[int, int]:
 
 def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
     """(id, n: shingles of the text, short: rarest ones to meet texts that are not shorter, keys: the rarest in order)."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(shingle_counts(texts))
+    shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))  # CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for b in (x for whole in batches for x in blocks(whole, "text")):
+        for b in (x for whole in batches for x in blocks(whole, "codes")):
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codes = word_codes(t)
+            for i, t in zip(b.column("id").to_pylist(), b.column("codes").to_pylist(), strict=True):
+                codes = unpacked(t)
                 if len(codes) < K:  # alike only if equal
                     continue
                 s = labelled(codes)
@@ -240,16 +269,16 @@ def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
             arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shorts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "short", "keys"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, short long, keys array<long>")
+    return texts.select("id", "codes").mapInArrow(run, "id long, n long, short long, keys array<long>")
 
 
 def rest_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of (id, text) that can reach ``threshold`` and are not in one class of ``labels``.
+    """Distinct pairs (a, b), a < b, of (id, codes) that can reach ``threshold`` and are not in one class of ``labels``.
 
     A key whose texts are all in one class is done. Elsewhere the texts outside of the key's largest class meet all texts
     of the key, and thereby each pair of classes meets.
     """
-    rows = rare_shingles(texts, threshold).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = rare_shingles(texts, threshold).join(labels, "id")
     rows = materialize(rows, "rare-shingles")
     keyed = rows.select("id", "label", "n", "short", F.posexplode("keys").alias("at", "key"))
     parts = keyed.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.expr("at < short")).alias("opens"))
@@ -268,41 +297,82 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) of every node of (a, b): the least id of its component.
 
     Labels take the least of their neighbours' and then that label's own label, until nothing changes; each round is a
-    written table.
+    written table, which goes when the next one is there.
     """
-    both = materialize(edges.union(edges.select("b", "a")).toDF("id", "other").distinct(), "edges")
-    labels = materialize(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    spark = edges.sparkSession
+    both, edges_at = written(edges.union(edges.select("b", "a")).toDF("id", "other").distinct(), "edges")
+    labels, at = written(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     for _ in range(rounds):
         heard = both.join(labels.toDF("other", "m"), "other").groupBy("id").agg(F.min("m").alias("m"))
         least = labels.join(heard, "id").select("id", "label", F.least("label", "m").alias("next"))
         jumps = labels.toDF("next", "further")
-        new = materialize(least.join(jumps, "next").select("id", F.col("label").alias("old"), F.least("next", "further").alias("label")), "labels")
-        labels = new.select("id", "label")
+        new, new_at = written(least.join(jumps, "next").select("id", F.col("label").alias("old"), F.least("next", "further").alias("label")), "labels")
+        discard(spark, at)
+        labels, at = new.select("id", "label"), new_at
         if not new.where("old <> label").head(1):
+            discard(spark, edges_at)
             return labels
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) when the classes that (a, b) connect are one."""
+    of = lambda c: labels.toDF(c, f"l{c}")
+    across = links.join(of("a"), "a").join(of("b"), "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    across = materialize(across.distinct(), "across")
+    if not across.head(1):
+        return labels
+    tops = components(across).toDF("label", "top")
+    return materialize(labels.join(tops, "label", "left").select("id", F.coalesce("top", "label").alias("label")), "labels")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``labels`` after all ``pairs``, which are of different classes, are verified, a few of each text first."""
+    turn = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.xxhash64("a", "b")))
+    ranked = materialize(pairs.withColumn("ra", turn("a")).withColumn("rb", turn("b")).select("a", "b", F.least("ra", "rb").alias("r")), "candidates")
+    of = lambda c: labels.toDF(c, f"l{c}")
+    given, done = labels, 0
+    for upto in WAVES:
+        wave = ranked.where((F.col("r") > done) & (F.col("r") <= upto))
+        done = upto
+        if wave.head(1):
+            if labels is not given:  # some are one class by now
+                wave = wave.join(of("a"), "a").join(of("b"), "b").where("la <> lb")
+            labels = merged(labels, verified(wave.select("a", "b"), texts, threshold))
+    return labels
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col`` and ``class_id`` (the least id of the class) of every row.
 
-    Null and blank texts have no words and are one class; repeated rows stay and share theirs; rows with a null id take
-    the class of an equal text, or null. Other columns are left behind. An id should name one text: the first is taken.
+    Null and blank texts have no words and are one class; repeated rows stay and share theirs. An id with several texts is
+    several rows, each in the class of its text; rows with a null id take part, and a class of nothing else has a null
+    ``class_id``. Other columns are left behind.
     """
+    rows = with_class(docs, id_col, text_col, threshold)
+    return rows.select(F.col("doc").alias(id_col), "class_id")
+
+
+def with_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc, id, class_id, first) of every row: see ``classes`` and ``keyed_texts``; ``first`` is the ``id`` of the row that
+    stands for the class: the one of the least doc, null ones last."""
     sigs = materialize(signatures(docs, id_col, text_col), "signatures")
-    firsts = materialize(sigs.groupBy("words").agg(F.min("id").alias("id"), F.any_value("sketches").alias("sketches")), "firsts")
-    pairs, large = candidates(firsts.where("id IS NOT NULL AND size(sketches) > 0").select("id", "sketches"))
+    least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("least")
+    firsts = materialize(sigs.groupBy("words").agg(least, F.any_value("sketches").alias("sketches")).select("words", "least", "least.id", "sketches"), "firsts")
+    pairs, large = candidates(firsts.where("size(sketches) > 0").select("id", "sketches"))
     pairs, large = materialize(pairs, "pairs"), materialize(large, "large")
     texts = tried_texts(pairs, large, docs, id_col, text_col)
-    labels = components(materialize(verified(pairs, texts, threshold), "verified"))
+    found = components(materialize(verified(pairs, texts, threshold), "verified"))
+    labels = found
     if large.head(1):
+        labels = materialize(texts.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+        for turn in range(HUB_ROUNDS):
+            before, labels = labels, merged(labels, verified(hub_candidates(large, labels, turn), texts, threshold))
+            if labels is before:  # nobody found its class
+                break
         rest = materialize(rest_candidates(texts.where("large"), labels, threshold), "rest")
-        label = lambda c: labels.toDF(c, f"l{c}")
-        more = verified(rest, texts, threshold).join(label("a"), "a", "left").join(label("b"), "b", "left")
-        # Classes of classes: each stands for its label.
-        joined = components(materialize(more.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct(), "joined")).toDF("first", "joined")
-        named = firsts.select("words", "id").join(labels, "id", "left").withColumn("first", F.coalesce("label", "id"))
-        named = named.join(joined, "first", "left").select("words", F.coalesce("joined", "first").alias("class_id"))
-    else:
-        named = firsts.select("words", "id").join(labels, "id", "left").select("words", F.coalesce("label", "id").alias("class_id"))
-    return sigs.select(F.col("id").alias(id_col), "words").join(named, "words").select(id_col, "class_id")
+        labels = linked(rest, texts, labels, threshold)
+    named = firsts.select("words", "least", "id").join(labels, "id", "left").select("words", "least", F.coalesce("label", "id").alias("label"))
+    tops = named.groupBy("label").agg(F.min("least").alias("top"))
+    named = named.join(tops, "label").select("words", F.col("top.doc").alias("class_id"), F.col("top.id").alias("first"))
+    return sigs.select("doc", "id", "words").join(named, "words").select("doc", "id", "class_id", "first")
