@@ -47,10 +47,45 @@ def test_secret_models_tell_random_from_ordinary(spark):
     rng = random.Random(5)
     ordinary = ["configuration_manager_instance", "internationalization", "thonthreheesandstion", "read/write/append/seek", "averylongidentifiername"]
     keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=32)) for _ in range(5)]
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"mixed": lower + lower.upper() + digits, "upper": lower.upper() + digits, "hex": digits + "ABCDEF", "lower": lower, "plain": lower + digits}
+    more = [(1000 * k + i, "Authorization-Bearer-session-" + "".join(rng.choices(a, k=24))) for k, a in enumerate(alphabets.values(), 1) for i in range(200)]
     docs = spark.createDataFrame([(i, "x é " + t + " y") for i, t in enumerate(ordinary + keys)], "doc_id long, text string")
     model = secrets.fit(secrets.default_samples(spark.read.parquet(f"{MORE}/documents.parquet")))
     got = {r.doc_id: r.spans for r in secrets.scan(docs, model).collect()}
     assert all(not got[i] for i in range(5)) and all([(s.start, s.end) for s in got[i]] == [(4, 36)] for i in range(5, 10))
+    # Keys behind an ordinary prefix, by alphabet.
+    found = secrets.scan(spark.createDataFrame(more, "doc_id long, text string"), model).where("exists(spans, s -> s.end = 53 AND s.start <= 29)").select("doc_id").toPandas().doc_id // 1000
+    assert all((found == k).sum() >= 180 for k in range(1, 6))
+
+
+def plain_ratio(token, model):
+    code = lambda c: ord(c) - secrets.FIRST
+    return sum(model[code(a) * secrets.WIDTH + code(b)] for a, b in zip(token, token[1:], strict=False))
+
+
+def test_all_secret_spans_equal_a_plain_scan(spark):
+    """The spans that the models add as well, at offsets beyond one block of hits too."""
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{MORE}/documents.parquet").select("doc_id", "text")
+    dump = "é\n".join("key " + "".join(rng.choices("abcdef0123456789", k=rng.choice((20, 30)))) + "-Ordinary_name" for _ in range(1500))
+    docs = docs.unionByName(spark.createDataFrame([(-1, dump)], "doc_id long, text string"))
+    model = [float(f"{x:.4f}") for x in secrets.fit(secrets.default_samples(docs))]
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in secrets.scan(docs, model).collect():
+        t = texts[r.doc_id]
+        base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[1]) >= 6]
+        base += [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, t) if len(m[0]) >= 24]
+        more, taken = [], list(base)
+        for piece in (secrets.TOKEN, secrets.PART):
+            new = []
+            for m in re.finditer(f"{piece}{{{secrets.MIN_TOKEN},}}", t):
+                x = plain_ratio(m[0], model)
+                if re.search("[A-Za-z]", m[0]) and x >= secrets.MIN_RATIO and x >= secrets.MIN_MEAN_RATIO * (len(m[0]) - 1) and not any(a < m.end() and m.start() < b for a, _, b in taken):
+                    new.append((m.start(), 3, m.end()))
+            more += new
+            taken += new
+        assert [tuple(s) for s in r.spans] == sorted(base + more)
 
 
 def test_reference_sql(spark):
@@ -68,10 +103,18 @@ def test_reference_sql(spark):
 
 
 def test_raked_marginals_meet_targets(spark):
-    docs = spark.read.parquet(f"{MORE}/documents.parquet").select("source", "lang", mixing.topic(queries.F.col("text")).alias("topic"), mixing.tokens(queries.F.col("text")).alias("tok"))
-    cells = mixing.rake(mixing.cell_table(docs), {"lang": spark.createDataFrame([("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)], "lang string, target double")}, rounds=30).toPandas()
-    assert abs(cells.groupby("lang").w.sum() - np.array([cells[cells.lang == x].t_lang.iloc[0] for x in sorted(cells.lang.unique())])).max() < 1e-3
-    assert abs(cells.w.sum() - 1) < 1e-6
+    docs = spark.read.parquet(f"{MORE}/documents.parquet").select("source", "lang", mixing.topic(mixing.word_topics(queries.F.col("text"))).alias("topic"), mixing.tokens(queries.F.col("text")).alias("tok"))
+    cells = mixing.rake(mixing.cell_table(docs), mixing.TARGETS | {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}})
+    assert mixing.deviation(cells) < 1e-3
+    rows = cells.toPandas()
+    assert abs(rows.groupby("lang").w.sum() - rows.groupby("lang").t_lang.first()).max() < 1e-3 and abs(rows.w.sum() - 1) < 1e-3
+    shares = rows.groupby("source").w.sum()
+    assert abs(shares["src0"] - 0.25) < 1e-3 and shares.drop("src0").std() < 1e-3
+    # A cell gives what it has at most, and shares of more than 1 are refused.
+    capped = mixing.rake(mixing.cell_table(docs), {"lang": {"es": 0.9}}, keep_share=0.5).toPandas()
+    assert (capped.w <= capped.tok / (0.5 * capped.tok.sum()) + 1e-12).all()
+    with pytest.raises(ValueError, match="target shares"):
+        mixing.rake(mixing.cell_table(docs), {"lang": {"es": 0.9, "en": 0.2}})
 
 
 def tokenizer():
@@ -171,6 +214,25 @@ def test_large_groups_stay_whole(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == plain_classes(texts)
 
 
+def test_similarity_is_the_longest_chain_of_labelled_shingles():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [rng.choice("abc") if rng.random() < 0.3 else f"w{rng.randrange(60)}" for _ in range(rng.randint(5, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 2)] = [f"n{rng.randrange(5)}"] * rng.randint(0, 2)
+        x, y = (neardup.labelled(neardup.word_codes(" ".join(t))).tolist() for t in (a, b))
+        row = [0] * (len(y) + 1)
+        for p in x:
+            old, row = row, [0] * (len(y) + 1)
+            for j, q in enumerate(y):
+                row[j + 1] = old[j] + 1 if p == q else max(old[j + 1], row[j])
+        want = row[-1] / (len(x) + len(y) - row[-1]) if len(b) >= 5 else float(a == b)
+        got = neardup.similarity(neardup.word_codes(" ".join(a)), neardup.word_codes(" ".join(b)), 0.8)
+        assert got == (want if want >= 0.8 else 0.0) or abs(got - want) < 1e-12
+
+
 def test_similarity_is_ordered():
     a = neardup.word_codes(" ".join(f"a{i}" for i in range(100)))
     assert neardup.similarity(a, a) == 1.0
@@ -216,6 +278,19 @@ def test_ftrl_is_sparse():
     rng = np.random.default_rng(0)
     rows = [(np.unique(np.append(rng.integers(0, 5000, 40), [7777] if y else [8888])), y) for y in rng.integers(0, 2, 800)]
     m = toxicity.ftrl(rows, 0.5, 1.0, 1.0, 0.1, 2)
+    # The same, coordinate by coordinate.
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda i, l1: 0.0 if abs(z[i]) <= l1 else (np.sign(z[i]) * l1 - z[i]) / ((1.0 + n[i] ** 0.5) / 0.5 + 0.1)
+    for _ in range(2):
+        for x, y in rows:
+            ws = {i: weight(i, 1.0) for i in x.tolist()} | {"bias": weight("bias", 0.0)}
+            g = (1 / (1 + np.exp(-sum(ws.values()))) - y) * toxicity.ROW_WEIGHT / len(x) ** 0.5
+            for i, w in ws.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w
+                n[i] += g * g
+    plain = {i: weight(i, 1.0) for i in z if i != "bias" and weight(i, 1.0) != 0}
+    assert set(m.index.tolist()) == set(plain) and all(abs(plain[i] - w) < 1e-4 for i, w in zip(m.index.tolist(), m.weight.tolist(), strict=True))
+    assert abs(m.bias - weight("bias", 0.0)) < 1e-6
     w = m.dense()
     assert w[7777] > 0 > w[8888] and len(m.index) < 1500
 
@@ -282,8 +357,10 @@ def test_pipeline_equals_its_stages_done_plainly(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 450])
-def test_successor_of_every_row(spark, n):
+@pytest.mark.parametrize("far", [0, 10**15])
+def test_successor_of_every_row(spark, n, far):
     ids = random.Random(n).sample(range(-50_000, 50_000), n)
+    ids = [*ids[1:], far + 60_000] if n else ids
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     got = {r.doc_id: r.next_text for r in fingerprint.with_next(df, "doc_id", ["text"], per_group=5).collect()}
     order = sorted(ids, reverse=True)
@@ -314,3 +391,53 @@ def test_near_copies_behind_a_frequent_passage(spark, share):
     assert len(alike) == len(planted)
     assert {(a, b) for a, b in planted if got[a] == got[b]} == alike
     assert all(got[i] == i for i in range(1000))
+
+
+def test_pairs_that_share_a_passage(spark):
+    """200 pairs of likeness 0.97 that share a passage of 300 words."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = fresh(300), {}
+    for i in range(200):
+        own = passage + fresh(150)
+        other = list(own)
+        other[rng.randrange(330, 440)] = fresh(1)[0]
+        texts[i], texts[1000 + i] = " ".join(own), " ".join(other)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(got[i] == i == got[1000 + i] for i in range(200))
+
+
+def test_shards_depend_on_the_rows_alone(spark, tmp_path, monkeypatch):
+    """Many shards, rows in other partitions, a hot payload and skewed ids: the same files, and every row comes back."""
+    monkeypatch.setattr(warc, "SHARD_BYTES", 500)
+    rng = random.Random(9)
+    rows = [(i if i < 900 else 10**12 + i, f"u{i}", "hot page" if i % 3 == 0 else "x" * rng.randrange(200)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for k, given in enumerate((df, df.repartition(7, "url"), df.orderBy("html").coalesce(1))):
+        warc.write(given, f"file://{tmp_path}/{k}", roll_bytes=2_000)
+        files = sorted(glob.glob(f"{tmp_path}/{k}/*.warc.gz"))
+        seen.append([(os.path.basename(f), hashlib.sha256(open(f, "rb").read()).hexdigest()) for f in files])
+        assert not os.path.exists(f"{tmp_path}/{k}/_temporary")
+        assert sorted(r.page_id for r in warc.read(spark, f"file://{tmp_path}/{k}").collect()) == sorted(i for i, _, _ in rows)
+    shards = collections.Counter(name[:11] for name, _ in seen[0])
+    assert seen[0] == seen[1] == seen[2] and len(shards) > 5 and max(shards.values()) > 1
+
+
+def test_rollup_of_token_counts(spark, tmp_path):
+    """The BPE operator's counts as a tokenizer version: documents move to it from another one."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    counted = bpe.encode(docs, queries.ranks(), public_tokenizers.PATTERN, outputs=("n_tokens",), keep=("source", "lang"))
+    words = docs.select("doc_id", "source", "lang", rollup.word_count(queries.F.col("text")).alias("old_tokens"))
+    lit, none = queries.F.lit, queries.F.lit(None)
+    first = words.select(lit("insert").alias("op"), "source", "lang", lit("words").alias("version"), queries.F.col("old_tokens").alias("tokens"), none.cast("string").alias("old_version"), none.cast("long").alias("old_tokens"))
+    then = counted.where("doc_id % 2 = 0").join(words.select("doc_id", "old_tokens"), "doc_id")
+    then = then.select(lit("revise").alias("op"), "source", "lang", lit("bpe").alias("version"), queries.F.col("n_tokens").alias("tokens"), lit("words").alias("old_version"), "old_tokens")
+    totals = rollup.Rollup(spark, f"file://{tmp_path}/t")
+    assert totals.apply(0, first) and totals.apply(1, then) and not totals.apply(1, then)
+    enc, _ = tokenizer()
+    want = collections.Counter()
+    for i, text, source, lang in read("documents", "doc_id, text, source, lang"):
+        want[source, lang, "bpe" if i % 2 == 0 else "words"] += len(enc.encode_ordinary(text or "")) if i % 2 == 0 else len((text or "").split())
+    got = {(r.source, r.lang, r.version): r.tokens for r in totals.totals().collect()}
+    assert got == dict(want)

@@ -63,6 +63,9 @@ def test_bpe(table, empty):
 def test_near_dup(table, empty):
     got = [(r.doc_id, r.class_id) for r in neardup.classes(table).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (6, 1), (3, 3), (4, 4), (4, 4), (5, 4), (None, None)], key=str)
+    # An id with two texts is in both classes; a class without ids has none.
+    twice = docs(table.sparkSession, [(7, "a b c d e f g h", "en", "s"), (7, "q r s t u v w x", "en", "s"), (9, "q r s t u v w x", "en", "s"), (None, "a b c d e f g h", "en", "s"), (None, "k l m n o p", "en", "s")])
+    assert sorted(((r.doc_id, r.class_id) for r in neardup.classes(twice).collect()), key=str) == sorted([(7, 7), (7, 7), (9, 7), (None, 7), (None, None)], key=str)
     assert neardup.classes(empty).count() == 0
 
 
@@ -81,6 +84,9 @@ def test_toxicity(spark, table, empty):
     model = toxicity.fit(labels, table)
     got = toxicity.score(table, model).collect()
     assert len(got) == 8 and all(0 <= r.score <= 1 for r in got)
+    # An id with several texts and labels is one row to learn from; the bound on coordinates keeps the first text at least.
+    twice = docs(spark, [(3, "bad bad words", "en", "a"), (3, "other words", "en", "a")])
+    assert len(toxicity.fit(labels, twice, max_coordinates=1).index) >= 0
     blank = toxicity.fit(labels.limit(0), empty)
     assert toxicity.score(empty, blank).count() == 0 and {r.score for r in toxicity.score(table, blank).collect()} == {0.5}
 
@@ -99,12 +105,17 @@ def test_warc(spark, tmp_path):
     warc.write(spark.createDataFrame(rows, schema), f"file://{tmp_path}/a")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to, r.url) for r in warc.read(spark, f"file://{tmp_path}/a").collect()}
     assert got == {
-        1: (0, "revisit", 2, "urn:quire:page:1"), 2: (0, "response", None, "http://aX: y"), 3: (11, "revisit", 9, "u"), 9: (11, "response", None, "u"), 5: (300_000, "response", None, "ü"),
+        1: (0, "revisit", 2, warc.urn(1, warc.digest(b""))), 2: (0, "response", None, "http://aX: y"), 3: (11, "revisit", 9, "u"), 9: (11, "response", None, "u"), 5: (300_000, "response", None, "ü"),
     }
     warc.write(spark.createDataFrame([], schema), f"file://{tmp_path}/e")
     assert warc.read(spark, f"file://{tmp_path}/e").count() == 0
-    with pytest.raises(Exception, match="stands twice"):
-        warc.write(spark.createDataFrame(rows[:1] * 2, schema), f"file://{tmp_path}/t")
+    # Repeated rows and null ids: every row is a record, the first of equal ones is the response.
+    odd = [(1, "u", "x", "m", "r")] * 3 + [(1, "u", "y", "m", "r"), (None, "u", "x", "m", "r"), (None, "u", "z", "m", "r"), (None, "v", "z", "m", "r")]
+    warc.write(spark.createDataFrame(odd, schema), f"file://{tmp_path}/t")
+    back = sorted(((r.page_id, r.payload_digest[:3], r.record_type, r.refers_to) for r in warc.read(spark, f"file://{tmp_path}/t").collect()), key=str)
+    x, y, z = (warc.digest(t.encode())[:3] for t in "xyz")
+    want = [(1, x, "response", None), (1, x, "revisit", 1), (1, x, "revisit", 1), (1, y, "response", None), (None, x, "revisit", 1), (None, z, "response", None), (None, z, "revisit", None)]
+    assert back == sorted(want, key=str)
 
 
 def test_ann(spark):
@@ -115,6 +126,13 @@ def test_ann(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, df.where("vec_id % 20 = 0 OR vec_id = 4"), k=3).collect())
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.0)]
     assert ann.search(df.limit(0), df).count() == 0
+    # Rows that repeat id and vector count once, a vector of another length takes no part, an id with two is two candidates.
+    more = spark.createDataFrame([(0, [1.0, 0.0], "x", "x")] * 6 + [(9, [3.0, 3.0, 3.0], "x", "x"), (3, [0.5, 0.0], "x", "x")], schema).union(df)
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(more, more.where("vec_id = 0"), k=4).collect())
+    assert got == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 0.5), (4, 3, 0.0)]
+    # A query whose own lists hold too few goes on to the others.
+    far = spark.createDataFrame([(i, [float(i % 7 == g) + i / 1e4 for g in range(7)]) for i in range(400)], "vec_id long, embedding array<double>")
+    assert ann.search(far, far.where("vec_id = 20"), k=399).count() == 399
 
 
 def test_rollup(spark, tmp_path):
@@ -124,11 +142,16 @@ def test_rollup(spark, tmp_path):
     one = spark.createDataFrame([("insert", "a", "en", "1", 10, None, None, "x"), ("insert", None, "en", "1", None, None, None, "x")], schema)
     two = spark.createDataFrame([("revise", "a", "en", "2", 7, "1", 10, "x"), ("delete", None, "en", None, None, "1", 0, "x")], schema)
     assert r.apply(1, one) and not r.apply(1, one) and r.apply(2, two) and not r.apply(2, two)
-    assert r.apply(3, two.limit(0))
+    assert r.apply(3, two.limit(0)) and r.last() == 3
+    with pytest.raises(ValueError, match="other changes"):
+        r.apply(2, one)
+    assert r.apply(9, two.limit(0))
+    with pytest.raises(ValueError, match="never committed"):
+        r.apply(5, one)
     assert sorted(map(tuple, r.totals().collect()), key=str) == [("a", "en", "2", 1, 7)]
     with pytest.raises(Exception, match="unknown op"):
-        r.apply(4, spark.createDataFrame([("drop", "a", "en", "1", 1, None, None, "x")], schema))
-    assert r.apply(4, one)
+        r.apply(10, spark.createDataFrame([("drop", "a", "en", "1", 1, None, None, "x")], schema))
+    assert r.apply(10, one) and len(list((tmp_path / "r" / "totals").glob("v=*"))) == 2
 
 
 def test_html_names_of_boilerplate():
