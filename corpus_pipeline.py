@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: each stage is one corpus operator, applied to all its predecessor kept."""
+"""A training-data pipeline over ``documents``: each stage is one corpus operator, applied to all its predecessor kept.
+
+Stages read the columns of ``COLUMNS`` and leave others behind, also such as are named like columns of their own. Rows with
+a null id are documents like any other. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -14,35 +18,40 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold."""
+    """Documents whose toxicity score stays below the threshold. Null and empty texts get the prior, and stay where toxic
+    texts are the lesser part; repeated rows stay or go together. Without labels every score is 0.5, and no document stays."""
     model = toxicity.fit(table(spark, sf_dir, "labels").where(~held_out()), docs)
     scored = toxicity.score(docs, model, keep=COLUMNS)
     return scored.where(F.col("score") < TOXIC_AT).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate class. A row that repeats id and text stays once; rows
-    without an id stay unless their text is in a class that has one."""
-    named = neardup.classes(docs)
-    firsts = named.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(*COLUMNS).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).select(*COLUMNS)
+    """One document of each near-duplicate class: that with the least id, one without an id only where none has one.
+    Rows that repeat id and text stay once. Null and blank texts are one class."""
+    rows = neardup.with_class(docs)
+    firsts = rows.where("id = first").select("id").distinct()
+    kept = docs.select(*COLUMNS, neardup.row_key("doc_id", "text").alias("id")).join(firsts, "id", "left_semi")
+    return kept.dropDuplicates(["id"]).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
+    """All documents, with a mark in place of each secret, and ``n_chars`` of the new text. Null and empty texts, and those
+    without secrets, are as they were; repeated rows stay."""
     found = secrets.scan(docs, secrets.fit(secrets.default_samples(docs)), keep=COLUMNS)
     clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
     return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with probabilities that meet the target weights of sources, languages and topics."""
+    """Documents drawn with probabilities that meet the target weights of sources, languages and topics. Null sources and
+    languages are values like any other; texts without tokens are drawn at the rate of their cell; rows of one id are
+    drawn alike."""
     return mixing.sample(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    """Token ids of every document, with digests of the ids and of the text decoded from them. Null and empty texts have no
+    ids; repeated rows stay."""
     made = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     return bpe.encode(docs, ranks(), public_tokenizers.PATTERN, outputs=made, keep=("lang", "source", "n_chars"))
 
