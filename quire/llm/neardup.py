@@ -35,7 +35,7 @@ from quire.llm.worker import blocks, memory
 K, THRESHOLD, SKETCHES, ORDERED, SMALL = 5, 0.8, 12, 2, 16
 #: Times that members of large buckets are tried with a new hub; share of a bucket that its largest class must hold for
 #: that after the first time; candidates of a text up to which each wave verifies.
-HUB_ROUNDS, HUB_SHARE, WAVES = 3, 0.25, (4, 64, 1 << 62)
+HUB_ROUNDS, HUB_SHARE, WAVES = 3, 0.25, (16, 1 << 62)
 PUNCTUATION = string.punctuation + "¡¿«»“”„‘’…–—·"
 _rng = np.random.default_rng(20240501)
 SEEDS = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
