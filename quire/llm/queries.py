@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, fingerprint, html_text, mixing, neardup, rollup, secrets, toxicity, warc
+from quire.llm import ann, bpe, fingerprint, html_text, mixing, neardup, personal, rollup, secrets, toxicity, warc
 from quire.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -29,8 +29,8 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[n(k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)],
-        F.sha2(secrets.joined(F.col("spans"), base_only=True), 256).alias("base_sha256"),
-        secrets.joined(F.col("spans")).alias("spans"),
+        F.sha2(secrets.joined(base_only=True), 256).alias("base_sha256"),
+        secrets.joined().alias("spans"),
     )
 
 
@@ -105,9 +105,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal.scan(docs, personal.fit(docs))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[n(k).alias(f"n_{personal.KINDS[k]}") for k in range(personal.BASE)],
+        F.sha2(personal.joined(base_only=True), 256).alias("base_sha256"),
+        personal.joined().alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op5_near_dup, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text)
+    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op5_near_dup, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text, op13_personal)
 }
 _NIBBLES = "".join(f"{i:04b}" for i in range(16))
 _QUINTETS = " ".join(f"{i:05b}" for i in range(32))
