@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import spans as sp
+
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 # The base rules, in the order of their kinds.
 ASSIGN = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?({VALUE})"""
@@ -24,67 +26,26 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Characters of a token, and of the parts between its separators; least length of either.
 TOKEN, PART, SEPARATORS, MIN_TOKEN = r"[A-Za-z0-9+/_=-]", r"[A-Za-z0-9+]", "/_=-", 16
-#: Hits whose offsets are summed in one go.
-BLOCK = 256
 #: A token is random when its ratio is at least so large, in all and on average for each pair of characters (nats).
 MIN_RATIO, MIN_MEAN_RATIO = 16.0, 1.25
 #: Documents and generated strings from which the models are counted.
 FIT_DOCS, FIT_RANDOM = 2_000, 4_000
 FIRST, WIDTH = 33, 94  # printable ASCII without the space
-SPANS = "array<struct<start:int,kind:int,end:int>>"
-
 
-def _hits(text: Column, pattern: str, kind: int, ok) -> Column:
-    """Spans of the leftmost non-overlapping matches for which ``ok(match)`` holds, in code points.
 
-    What stands between the matches and the matches themselves come as two arrays; their lengths add up to offsets.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(
-        F.split(text, pattern, -1), found,
-        lambda gap, hit: F.struct(F.length(gap).alias("g"), F.coalesce(F.length(hit), F.lit(0)).alias("h"), (hit.isNotNull() & F.coalesce(ok(hit), F.lit(False))).alias("ok")),
-    )
-    # Offsets are sums of what stands before: within blocks of BLOCK hits, and of whole blocks. One run over all hits would
-    # copy the spans found so far for each of them.
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda k: F.slice(parts, k * BLOCK + 1, BLOCK))
-    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["g"] + x["h"]))
-    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-
-    def spans_of(block: Column, start: Column) -> Column:
-        return F.aggregate(
-            block,
-            F.struct(start.alias("at"), F.array().cast(SPANS).alias("out")),
-            lambda a, x: F.struct(
-                (a["at"] + x["g"] + x["h"]).alias("at"),
-                F.when(
-                    x["ok"],
-                    F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["g"] + x["h"]).alias("end")))),
-                ).otherwise(a["out"]).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
-
-    spans = F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), spans_of))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
-
-
-def base_spans(text: Column) -> Column:
-    """Spans of the three base rules. Runs of the access and hex rules that are too short can't hold a long one, so
+def base_spans(text: str) -> str:
+    """Spans of the three base rules, as SQL. Runs of the access and hex rules that are too short can't hold a long one, so
     their least lengths stand in the pattern; a short assignment uses up its text and is dropped afterwards."""
-    return F.concat(
-        _hits(text, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= MIN_ASSIGN),
-        _hits(text, rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}", 1, lambda m: F.lit(True)),
-        _hits(text, rf"[0-9a-f]{{{MIN_HEX},}}", 2, lambda m: F.lit(True)),
-    )
+    assign = sp.hits(text, ASSIGN, 0, lambda m: f"length(regexp_extract({m}, {sp.quoted(ASSIGN)}, 1)) >= {MIN_ASSIGN}")
+    access = sp.hits(text, rf"AKIA[A-Z0-9]{{{MIN_ACCESS - 4},}}", 1, guard=f"contains({text}, 'AKIA')")
+    return f"concat({assign}, {access}, {sp.hits(text, rf'[0-9a-f]{{{MIN_HEX},}}', 2)})"
 
 
-def ratio(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of random against ordinary over the token's pairs of characters."""
-    cells = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")  # folded to a literal
-    code = lambda i: F.ascii(F.substring(token, i, F.lit(1))) - FIRST
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(cells, code(i) * WIDTH + code(i + 1)), F.lit(0.0))
-    )
+def ratio(token: str, model: list[float]) -> str:
+    """Log-likelihood ratio of random against ordinary over the token's pairs of characters, as SQL."""
+    cells = f"cast(split('{','.join(f'{x:.4f}' for x in model)}', ',') AS array<double>)"  # folded to a literal
+    code = lambda i: f"(ascii(substring({token}, {i}, 1)) - {FIRST})"
+    return f"aggregate(sequence(1, length({token}) - 1), 0D, (a, i) -> a + coalesce(get({cells}, {code('i')} * {WIDTH} + {code('i + 1')}), 0D))"
 
 
 def fit(samples: DataFrame, token_col: str = "token", label_col: str = "random") -> list[float]:
@@ -140,37 +101,24 @@ def scan(df: DataFrame, model: list[float], id_col: str = "doc_id", text_col: st
     ``/ _ = -``, so that an ordinary prefix does not hide a key. Null and empty texts have no spans; repeated rows stay;
     other columns are left behind.
     """
-    keep = tuple(c for c in dict.fromkeys([id_col, *keep]) if c not in ("spans", "_base", "_more", "_parts"))
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = df.select(*keep, F.col(text_col).alias("_text"))
-    ok = lambda m: (
-        m.rlike("[A-Za-z]") & (ratio(m, model) >= MIN_RATIO) & (ratio(m, model) >= MIN_MEAN_RATIO * (F.length(m) - 1))
-    )
-    more = lambda piece: _hits(text, f"{piece}{{{MIN_TOKEN},}}", 3, ok)
-    found = rows.select(*keep, base_spans(text).alias("_base"), more(TOKEN).alias("_more"), more(PART).alias("_parts"))
-    apart = lambda xs, ys: F.filter(xs, lambda m: ~F.exists(ys, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    found = found.select(*keep, "_base", apart(F.col("_more"), F.col("_base")).alias("_more"), apart(F.col("_parts"), F.col("_base")).alias("_parts"))
-    free = F.concat("_more", apart(F.col("_parts"), F.col("_more")))
-    return found.select(*keep, F.sort_array(F.concat("_base", free)).alias("spans"))
+    keep = tuple(c for c in dict.fromkeys([id_col, *keep]) if c not in ("spans", "_text"))
+    rows = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    ok = lambda m: f"{m} RLIKE '[A-Za-z]' AND {ratio(m, model)} >= greatest({MIN_RATIO}D, {MIN_MEAN_RATIO}D * (length({m}) - 1))"
+    more = lambda piece: sp.hits("_text", f"{piece}{{{MIN_TOKEN},}}", 3, ok)
+
+    def chosen(x: str) -> str:
+        both = f"struct({sp.apart(f'{x}.more', f'{x}.base')} AS tokens, {sp.apart(f'{x}.parts', f'{x}.base')} AS parts)"
+        return sp.let(both, lambda y: f"sort_array(concat({x}.base, {y}.tokens, {sp.apart(f'{y}.parts', f'{y}.tokens')}))")
 
+    found = f"struct(sort_array({base_spans('_text')}) AS base, {more(TOKEN)} AS more, {more(PART)} AS parts)"
+    return rows.select(*keep, F.expr(sp.let(found, chosen)).alias("spans"))
 
-def joined(spans: Column, base_only: bool = False) -> Column:
-    """``kind:start:end`` of each span, comma-joined."""
-    names = F.array(*map(F.lit, KINDS))
-    spans = F.filter(spans, lambda s: s["kind"] < 3) if base_only else spans
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+def joined(spans: str = "spans", base_only: bool = False) -> Column:
+    """``kind:start:end`` of each span of a column, comma-joined."""
+    return F.expr(sp.joined(spans, KINDS, 3 if base_only else None))
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+
+def redacted(text: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> Column:
     """The text with every span, or run of overlapping spans, replaced by ``mark``; a text without spans as it is."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
-            .otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.expr(sp.redacted(text, spans, mark))

@@ -39,7 +39,7 @@ def test_secrets(table, empty):
     got = by_id(secrets.scan(table, flat, keep=("text",)))
     assert len(got) == 7 and got[1].spans == [] and got[2].spans == []
     assert [tuple(s) for s in got[3].spans] == [(300_000, 0, 300_021)]
-    red = secrets.scan(table, flat, keep=("text",)).select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t"))
+    red = secrets.scan(table, flat, keep=("text",)).select("doc_id", secrets.redacted("text", "spans").alias("t"))
     assert by_id(red)[3].t.endswith("word [SECRET] end")
     assert secrets.scan(empty, flat).count() == 0 and len(secrets.fit(secrets.default_samples(empty))) == secrets.WIDTH**2
 
