@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents, with a mark in place of each secret, and ``n_chars`` of the new text. Null and empty texts, and those
     without secrets, are as they were; repeated rows stay."""
     found = secrets.scan(docs, secrets.fit(secrets.default_samples(docs)), keep=COLUMNS)
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
+    clean = found.withColumn("text", secrets.redacted("text", "spans"))
     return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
