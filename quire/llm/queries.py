@@ -6,18 +6,23 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, fingerprint, html_text, mixing, neardup, personal, rollup, secrets, toxicity, warc
+from quire.llm import align, ann, bpe, fingerprint, html_text, mixing, neardup, personal, rollup, secrets, toxicity, warc
 from quire.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
+A_TOKENS, B_TOKENS = "byte_bpe_50k.json", "piece_bpe_32k.model"
 TOXIC_AT = 0.3
 
 
-def ranks() -> bytes:
-    with open(public_tokenizers.path(RANKS), "rb") as f:
+def vocabulary(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
 
 
+def ranks() -> bytes:
+    return vocabulary(RANKS)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
@@ -105,6 +110,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.align(table(spark, sf_dir, "documents"), vocabulary(A_TOKENS), vocabulary(B_TOKENS), groups=("groups_sha256",))
+    return out.select("doc_id", *align.MADE, "groups_sha256")
+
+
 def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = personal.scan(docs, personal.fit(docs))
@@ -119,7 +129,7 @@ def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op5_near_dup, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text, op13_personal)
+    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op5_near_dup, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text, op12_align, op13_personal)
 }
 _NIBBLES = "".join(f"{i:04b}" for i in range(16))
 _QUINTETS = " ".join(f"{i:05b}" for i in range(32))
