@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import align, ann, bpe, fingerprint, html_text, mixing, neardup, personal, rollup, secrets, toxicity, warc
+from quire.llm import align, ann, bpe, fingerprint, html_text, mixing, neardup, personal, phrases, rollup, secrets, toxicity, warc
 from quire.llm.common import shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -110,6 +110,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = align.align(table(spark, sf_dir, "documents"), vocabulary(A_TOKENS), vocabulary(B_TOKENS), groups=("groups_sha256",))
     return out.select("doc_id", *align.MADE, "groups_sha256")
@@ -129,7 +133,7 @@ def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op5_near_dup, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text, op12_align, op13_personal)
+    for f in (op1_secrets, op2_mixing, op3_byte_bpe, op4_warc, op5_near_dup, op6_fingerprint, op7_toxicity, op8_ann, op9_token_rollup, op10_html_text, op11_collocations, op12_align, op13_personal)
 }
 _NIBBLES = "".join(f"{i:04b}" for i in range(16))
 _QUINTETS = " ".join(f"{i:05b}" for i in range(32))
@@ -148,6 +152,7 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (
   SELECT page_id, url, array_to_string(list_filter(list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
     lambda x: trim(regexp_replace({_CLEAN}, '[ \t\n\r\f]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM pages)""",
     "op2_mixing": mixing.oracle(),
+    "op11_collocations": phrases.oracle(),
     "op9_token_rollup": r"""
 WITH d AS (
   SELECT source, lang, n_chars, CAST(ceil(coalesce(octet_length(encode(text)), 0) / 4) AS BIGINT) AS quads,
