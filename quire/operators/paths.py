@@ -2,26 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.strings import split_ext
+from quire.operators import running
 
 
-def allocate(notes: DataFrame, ext: str = "md") -> DataFrame:
-    """(…, filename, rel_path) for rows of note_id, folder_path, base, created.
+#: Folder and name of a path.
+PARTS = r"(?s)^(?:(.*)/)?([^/]*)\z"
+#: A name with a number: its stem and the number, from 2 on, without leading zeros.
+NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,17})\)\z"
 
-    The first of a name in a folder is ``base.ext``, later ones ``base (2).ext`` and so on by creation and id. A suffixed
-    name that is also a real one in that folder gets ``_<note_id>``. Windows are keyed by folder and base, so one large
-    folder is many groups.
+
+def _numbered(name: str) -> tuple[Column, Column]:
+    number = F.regexp_extract(name, NUMBERED, 2)
+    return F.when(number != "", F.regexp_extract(name, NUMBERED, 1)), F.when(number != "", number.cast("long"))
+
+
+def allocate(notes: DataFrame, ext: str = "md", reserved: DataFrame | None = None, date_prefix: str | None = None, hot: bool | None = None) -> DataFrame:
+    """(…, filename, rel_path) for rows of note_id, folder_path, base, created: no two rows share a path, whatever the names.
+
+    ``date_prefix`` is a date pattern: names begin with the day of creation and a space. ``reserved`` (note_id, path) are
+    paths given out before: a note keeps its own (of several notes with one path, that with the least id), and no other
+    gets it. In a folder the first of a name, by creation and id, is ``base.ext`` unless that is reserved; so names that
+    stand for themselves come before numbers. All others get ``base (2).ext`` and so on: the free numbers in order. Numbers
+    that reserved paths or names of other notes have are left out: each run of them is an interval, known by how many
+    numbers are free below it, and a note's number is its place among the free ones and the lengths of the intervals below.
+    Null names are empty ones; notes of no folder (null or empty) lie at the top.
     """
-    own = Window.partitionBy("folder_path", "base").orderBy("created", "note_id")
-    ranked = notes.withColumn("_r", F.row_number().over(own))
-    name = F.when(F.col("_r") == 1, F.concat("base", F.lit(f".{ext}"))).otherwise(F.concat("base", F.lit(" ("), F.col("_r").cast("string"), F.lit(f").{ext}")))
-    named = ranked.withColumn("_f", name).withColumn("_n", F.count("*").over(Window.partitionBy("folder_path", "_f")))
-    clash = F.concat("base", F.lit("_"), F.col("note_id").cast("string"), F.lit(f".{ext}"))
-    final = named.withColumn("filename", F.when((F.col("_n") > 1) & (F.col("_r") > 1), clash).otherwise(F.col("_f"))).drop("_r", "_f", "_n")
-    return final.withColumn("rel_path", F.concat_ws("/", "folder_path", "filename"))
+    cols = [c for c in notes.columns if c not in ("filename", "rel_path")]
+    rows = notes.select(*cols, F.coalesce("base", F.lit("")).alias("_base"), F.coalesce("folder_path", F.lit("")).alias("_f"))
+    if date_prefix:
+        rows = rows.withColumn("_base", F.concat(F.coalesce(F.concat(F.date_format("created", date_prefix), F.lit(" ")), F.lit("")), "_base"))
+    end = f".{ext}"
+    kept = None
+    if reserved is not None:
+        given = reserved.where("path IS NOT NULL").groupBy("path").agg(F.min("note_id").alias("note_id"))
+        # A note has one path of its own; all paths are taken.
+        mine = given.groupBy("note_id").agg(F.min("path").alias("_path"))
+        rows = rows.join(mine, "note_id", "left")
+        # Rows that repeat an id: the first keeps the path.
+        first = F.row_number().over(Window.partitionBy("note_id").orderBy("created", "_f", "_base"))
+        rows = rows.withColumn("_path", F.when(first == 1, F.col("_path")))
+        kept, rows = rows.where("_path IS NOT NULL"), rows.where("_path IS NULL").drop("_path")
+        place = F.regexp_extract("path", PARTS, 1)
+        taken = given.select(place.alias("_f"), F.regexp_extract("path", PARTS, 2).alias("_name")).distinct()
+        taken = taken.where(F.col("_name").endswith(end)).select("_f", F.expr(f"substring(_name, 1, length(_name) - {len(end)})").alias("_base"))
+    bases = rows.select("_f", "_base")
+    names = bases.distinct() if reserved is None else bases.unionByName(taken).distinct()
+    stem, number = _numbered("_base")
+    numbers = names.select("_f", stem.alias("_base"), number.alias("_k")).where("_k < 100000000000000000")
+    if hot is None:
+        stems = bases if reserved is None else bases.unionByName(taken)
+        hot = 2 * running.largest(stems.select("_f", F.coalesce(stem, F.col("_base")).alias("_base")), ["_f", "_base"]) > running.HOT_ROWS
+    keys = ["_f", "_base"]
+    ranked = running.Ordered(rows, keys, ["created", "note_id"], hot).before("_j", F.lit(1)).done()
+    if reserved is not None:
+        ranked = ranked.join(taken.withColumn("_own", F.lit(1)), keys, "left").withColumn("_j", F.col("_j") + F.coalesce("_own", F.lit(0))).drop("_own")
+    # Runs of taken numbers, by how many free ones (from 2 on) lie below them.
+    islands = running.Ordered(numbers, keys, ["_k"], hot).before("_i", F.lit(1)).done().select(*keys, (F.col("_k") - F.col("_i") - 2).alias("_j"))
+    islands = islands.groupBy(*keys, "_j").agg(F.count("*").alias("_n"))
+    row = F.struct(*[F.col(c) for c in cols])
+    events = ranked.where("_j > 0").select(*keys, "_j", F.lit(0).alias("_type"), F.lit(0).cast("long").alias("_n"), F.col("note_id").alias("_id"), row.alias("_row"))
+    events = events.unionByName(islands.withColumn("_type", F.lit(1)), allowMissingColumns=True)
+    passed = running.Ordered(events, keys, ["_j", "_type"], hot).before("_skip", F.col("_n")).done().where("_type = 0")
+    suffixed = passed.select("_row.*", "_f", F.concat("_base", F.lit(" ("), (F.col("_j") + 1 + F.col("_skip")).cast("string"), F.lit(f"){end}")).alias("filename"))
+    plain = ranked.where("_j = 0").select(*cols, "_f", F.concat("_base", F.lit(end)).alias("filename"))
+    out = plain.unionByName(suffixed).select(*cols, "filename", F.when(F.col("_f") == "", F.col("filename")).otherwise(F.concat_ws("/", "_f", "filename")).alias("rel_path"))
+    if kept is not None:
+        out = out.unionByName(kept.select(*cols, F.regexp_extract("_path", PARTS, 2).alias("filename"), F.col("_path").alias("rel_path")))
+    return out
 
 
 def attachment_names(atts: DataFrame) -> DataFrame:
@@ -38,26 +89,26 @@ def first_by_id(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def merge_runs(runs: DataFrame, style: tuple[str, ...] = ("style",), attachment: str | None = None) -> DataFrame:
-    """Neighbouring runs of one style become one; attachment runs stay alone. (note_id, seq, style…, length, merged)"""
-    w = Window.partitionBy("note_id").orderBy("seq")
-    same = F.lit(True)
+def merge_runs(runs: DataFrame, style: tuple[str, ...] = ("style",), attachment: str | None = None, hot: bool | None = None) -> DataFrame:
+    """Neighbouring runs of one style become one; attachment runs stay alone. (note_id, seq, style…, length, merged)
+
+    A note of any number of runs: see ``running``."""
+    rows = running.Ordered(runs, ["note_id"], ["seq"], hot).previous("_p", *style, *([attachment] if attachment else []))
+    same = F.col("_p").isNotNull()
     for s in style:
-        same = same & F.col(s).eqNullSafe(F.lag(s).over(w))
+        same = same & F.col(s).eqNullSafe(F.col("_p")[s])
     if attachment:
-        same = same & F.col(attachment).isNull() & F.lag(attachment).over(w).isNull()
-    starts = runs.withColumn("_new", F.when(same & F.lag("seq").over(w).isNotNull(), 0).otherwise(1))
-    grouped = starts.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("note_id", "_g").agg(
+        same = same & F.col(attachment).isNull() & F.col("_p")[attachment].isNull()
+    new = F.when(same, 0).otherwise(1)
+    rows = running.Ordered(rows.rows.withColumn("_new", new).drop("_p"), ["note_id"], ["seq"], rows.hot).before("_g", F.col("_new")).done()
+    return rows.groupBy("note_id", (F.col("_g") + F.col("_new")).alias("_g")).agg(
         F.min("seq").alias("seq"), *[F.first(s).alias(s) for s in style], F.sum("length").alias("length"), F.count("*").alias("merged")
-    ).drop("_g")
+    ).drop("_g")
 
 
-def run_offsets(runs: DataFrame, text_length: str | None = None) -> DataFrame:
+def run_offsets(runs: DataFrame, text_length: str | None = None, hot: bool | None = None) -> DataFrame:
     """``start`` and ``end`` of each run in its text, clipped to ``text_length`` where given."""
-    w = Window.partitionBy("note_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("length").over(w), F.lit(0))
-    out = runs.withColumn("start", start).withColumn("end", F.col("start") + F.col("length"))
+    out = running.Ordered(runs, ["note_id"], ["seq"], hot).before("start", F.col("length")).done().withColumn("end", F.col("start") + F.col("length"))
     if text_length:
         out = out.withColumn("start", F.least("start", text_length)).withColumn("end", F.least("end", text_length))
     return out

@@ -1,19 +1,5 @@
 """Places for queries that write and read back."""
 
-from __future__ import annotations
+from quire.sources.shared import scratch
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; only a local master may use a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["scratch"]

@@ -103,10 +103,24 @@ def agg_distinct_ext(d: Data) -> DataFrame:
 # Windows
 
 CLEAN = "regexp_replace(title, '[\\\\/:*?\"<>|\\x00-\\x1f\\x7f-\\x9f]', '', 'g')"
-ALLOC = f"""WITH b AS (SELECT note_id, 'F' || folder_id AS folder_path, {CLEAN} AS base, created FROM notes),
-  r AS (SELECT *, row_number() OVER (PARTITION BY folder_path, base ORDER BY created, note_id) AS r FROM b),
-  f AS (SELECT *, base || CASE r WHEN 1 THEN '' ELSE ' (' || r || ')' END || '.md' AS f FROM r), n AS (SELECT *, count(*) OVER (PARTITION BY folder_path, f) AS n FROM f)
-  SELECT note_id, folder_path || '/' || CASE WHEN n > 1 AND r > 1 THEN base || '_' || note_id || '.md' ELSE f END AS rel_path FROM n"""
+
+
+def _alloc_sql(base: str, taken: str, own: str) -> str:
+    """Paths by trying numbers: of all from 2 on that could be needed, those not taken, in order. ``taken``: SQL of
+    (folder_path, name) that were given out before, ``own``: of (note_id, path) that notes keep."""
+    number = "TRY_CAST(regexp_extract(name, '^(.*) \\(([2-9]|[1-9][0-9]+)\\)$', 2) AS BIGINT)"
+    return f"""WITH mine AS ({own}), given AS ({taken}),
+  b AS (SELECT note_id, 'F' || folder_id AS folder_path, {base} AS base, created FROM notes WHERE note_id NOT IN (SELECT note_id FROM mine)),
+  r AS (SELECT b.*, row_number() OVER (PARTITION BY folder_path, base ORDER BY created, note_id) + CASE WHEN (folder_path, base) IN (SELECT (folder_path, name) FROM given) THEN 1 ELSE 0 END AS r FROM b),
+  names AS (SELECT folder_path, name, {number} AS k, regexp_extract(name, '^(.*) \\(([2-9]|[1-9][0-9]+)\\)$', 1) AS stem FROM (SELECT folder_path, base AS name FROM b UNION SELECT folder_path, name FROM given)),
+  stems AS (SELECT folder_path, base, max(r) AS most, (SELECT count(*) FROM names n WHERE n.folder_path = r.folder_path AND n.stem = r.base AND n.k IS NOT NULL) AS used FROM r GROUP BY folder_path, base HAVING max(r) > 1),
+  tried AS (SELECT folder_path, base, CAST(unnest(range(2, most + used + 1)) AS BIGINT) AS k FROM stems),
+  free AS (SELECT *, row_number() OVER (PARTITION BY folder_path, base ORDER BY k) + 1 AS r FROM tried t WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.folder_path = t.folder_path AND n.stem = t.base AND n.k = t.k))
+  SELECT note_id, path AS rel_path FROM mine WHERE note_id IN (SELECT note_id FROM notes)
+  UNION ALL SELECT note_id, r.folder_path || '/' || r.base || CASE WHEN r.r = 1 THEN '' ELSE ' (' || f.k || ')' END || '.md' FROM r LEFT JOIN free f ON f.folder_path = r.folder_path AND f.base = r.base AND f.r = r.r"""
+
+
+ALLOC = _alloc_sql(CLEAN, "SELECT '' AS folder_path, '' AS name WHERE false", "SELECT CAST(0 AS BIGINT) AS note_id, '' AS path WHERE false")
 
 
 @query(ALLOC, "notes")
@@ -115,6 +129,23 @@ def alloc_note_paths(d: Data) -> DataFrame:
     return paths.allocate(rows).select("note_id", "rel_path")
 
 
+SHORT = "strftime(created, '%Y-%m') || ' ' || upper(substr(regexp_replace(title, '[^A-Za-z]', '', 'g'), 1, 1))"
+GIVEN = f"""SELECT CASE WHEN note_id % 10 = 3 THEN note_id ELSE note_id + 1000000 END AS note_id, 'F' || folder_id || '/' || {SHORT} || CASE WHEN note_id % 10 = 3 THEN '' ELSE ' (' || (2 + note_id % 4) || ')' END || '.md' AS path
+  FROM notes WHERE note_id % 10 IN (3, 7)"""
+FIRST_GIVEN = f"SELECT min(note_id) AS note_id, path FROM ({GIVEN}) GROUP BY path"
+
+
+@query(_alloc_sql(SHORT, f"SELECT split_part(path, '/', 1) AS folder_path, left(split_part(path, '/', 2), -3) AS name FROM ({FIRST_GIVEN})", f"SELECT * FROM ({FIRST_GIVEN})"), "notes")
+def alloc_reserved_paths(d: Data) -> DataFrame:
+    """Short names behind a date, with paths that an earlier run gave out."""
+    short = F.upper(F.substring(F.regexp_replace("title", "[^A-Za-z]", ""), 1, 1))
+    rows = d.notes.select("note_id", F.concat(F.lit("F"), F.col("folder_id").cast("string")).alias("folder_path"), short.alias("base"), "created")
+    known = F.col("note_id") % 10 == 3
+    name = F.concat("folder_path", F.lit("/"), F.date_format("created", "yyyy-MM"), F.lit(" "), "base", F.when(known, "").otherwise(F.concat(F.lit(" ("), (2 + F.col("note_id") % 4).cast("string"), F.lit(")"))), F.lit(".md"))
+    given = rows.where("note_id % 10 IN (3, 7)").select(F.when(known, F.col("note_id")).otherwise(F.col("note_id") + 1_000_000).alias("note_id"), name.alias("path"))
+    return paths.allocate(rows, reserved=given, date_prefix="yyyy-MM").select("note_id", "rel_path")
+
+
 @query(
     """SELECT attachment_id, CASE WHEN r = 1 THEN filename ELSE regexp_extract(filename, '^(.+)\\.([^.]*)$', 1) || ' (' || r || ').' || regexp_extract(filename, '^(.+)\\.([^.]*)$', 2) END AS out_name
     FROM (SELECT *, row_number() OVER (PARTITION BY note_id, filename ORDER BY seq) AS r FROM attachments WHERE filename IS NOT NULL)""",

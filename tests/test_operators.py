@@ -1,7 +1,9 @@
 """Operators on small hand-written tables, and invariants."""
 
 import datetime
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire import plans, registry  # noqa: F401  plans fill the registry
@@ -30,8 +32,88 @@ def test_namesakes_merge(spark):
 def test_paths_are_unique(spark):
     rows = [(i, "f", b, T0 + datetime.timedelta(i)) for i, b in enumerate(["A", "A", "A (2)", "A", "B"])]
     got = paths.allocate(spark.createDataFrame(rows, "note_id long, folder_path string, base string, created timestamp_ntz")).collect()
-    assert {r.note_id: r.filename for r in got} == {0: "A.md", 1: "A_1.md", 2: "A (2).md", 3: "A (3).md", 4: "B.md"}
+    # The real title keeps its name; numbers go round it.
+    assert {r.note_id: r.filename for r in got} == {0: "A.md", 1: "A (3).md", 2: "A (2).md", 3: "A (4).md", 4: "B.md"}
     assert len({r.rel_path for r in got}) == 5
+    five = [(5, "F", "A", T0), (7, "F", "A", T0), (8, "F", "A (2)", T0), (9, "F", "A_7", T0)]
+    got = paths.allocate(spark.createDataFrame(five, "note_id long, folder_path string, base string, created timestamp_ntz")).collect()
+    assert {r.note_id: r.rel_path for r in got} == {5: "F/A.md", 7: "F/A (3).md", 8: "F/A (2).md", 9: "F/A_7.md"}
+
+
+def plain_paths(rows, reserved, ext="md"):
+    """First free numbers one by one, names that stand for themselves first."""
+    given = {}
+    for i, p in sorted(reserved):
+        given.setdefault(p, i)
+    mine = {}
+    for p, i in sorted(given.items()):
+        mine.setdefault(i, p)
+    out, used, rest = {}, set(given), []
+    for key in sorted(range(len(rows)), key=lambda k: (rows[k][3], rows[k][0])):
+        if rows[key][0] in mine:
+            out[key] = mine.pop(rows[key][0])
+        else:
+            rest.append(key)
+    full = lambda k, name: f"{rows[k][1]}/{name}" if rows[k][1] else name
+    later = []
+    for k in rest:
+        p = full(k, f"{rows[k][2]}.{ext}")
+        if p in used:
+            later.append(k)
+        else:
+            out[k] = p
+            used.add(p)
+    for k in later:
+        n = 2
+        while full(k, f"{rows[k][2]} ({n}).{ext}") in used:
+            n += 1
+        out[k] = full(k, f"{rows[k][2]} ({n}).{ext}")
+        used.add(out[k])
+    return sorted(out.values())
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_paths_are_the_first_free_ones_on_any_names(spark, hot):
+    rng = random.Random(2)
+    names = ["A", "A (2)", "A (3)", "A (2) (2)", "A (02)", "A (1)", "A (12)", "B_7", "", "x/y"[0], "A (5)", "A (2) (3)", "é"]
+    rows = [(i, rng.choice(["f", "f", "f", "g/h", ""]), rng.choice(names), T0 + datetime.timedelta(rng.randint(0, 5))) for i in range(700)]
+    reserved = [(i, f"f/{rng.choice(names)}.md") for i in range(0, 60, 2)] + [(5000 + i, f"{rng.choice(['f/', 'g/h/', ''])}A ({i}).md") for i in range(2, 40, 3)] + [(7000, "f/A.txt")]
+    schema = "note_id long, folder_path string, base string, created timestamp_ntz"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    res = spark.createDataFrame(reserved, "note_id long, path string")
+    got = [r.rel_path for r in paths.allocate(df, reserved=res, hot=hot).collect()]
+    assert len(set(got)) == 700 and sorted(got) == plain_paths(rows, reserved)
+    assert sorted(r.rel_path for r in paths.allocate(df, hot=hot).collect()) == plain_paths(rows, [])
+
+
+def test_paths_of_odd_rows(spark):
+    schema = "note_id long, folder_path string, base string, created timestamp_ntz, filename string"
+    rows = [(1, None, None, None, "x"), (1, None, None, None, "x"), (None, "", "", T0, "x"), (2, "a", "n", T0, "x"), (2, "a", "n", T0, "x")]
+    got = sorted(r.rel_path for r in paths.allocate(spark.createDataFrame(rows, schema), date_prefix="yyyy").collect())
+    assert got == sorted([".md", " (2).md", "2024 .md", "a/2024 n.md", "a/2024 n (2).md"])
+    assert paths.allocate(spark.createDataFrame([], schema), reserved=spark.createDataFrame([], "note_id long, path string")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_runs_of_one_note_in_many_splits(spark, hot):
+    rng = random.Random(3)
+    runs = [(n, i, rng.choice(["a", "a", "b", None]), rng.choice([None, None, None, "att"]), rng.randint(0, 5)) for n, size in ((1, 600), (2, 1), (None, 30), (3, 90)) for i in range(size)]
+    df = spark.createDataFrame(runs, "note_id long, seq long, style string, attachment string, length long").repartition(5)
+    want = []
+    for n, i, s, a, size in runs:
+        last = want[-1] if want else None
+        if last and last[0] == n and last[2] == s and a is None and last[5] is None:
+            want[-1] = (*last[:3], last[3] + size, last[4] + 1, a)
+        else:
+            want.append((n, i, s, size, 1, a))
+    merged = paths.merge_runs(df, attachment="attachment", hot=hot)
+    assert sorted(map(tuple, merged.select("note_id", "seq", "style", "length", "merged").collect()), key=str) == sorted((w[:5] for w in want), key=str)
+    at, offsets = {}, []
+    for n, i, _, size, _, _ in want:
+        offsets.append((n, i, at.get(n, 0), at.get(n, 0) + size))
+        at[n] = at.get(n, 0) + size
+    got = paths.run_offsets(merged, hot=hot).select("note_id", "seq", "start", "end")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(offsets, key=str)
 
 
 def test_sync_twice_is_a_noop(spark):
