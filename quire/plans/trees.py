@@ -341,14 +341,28 @@ def set_paths_merge(d: Data) -> DataFrame:
 STREAM = """SELECT note_id, modified FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY modified DESC, event_id DESC) AS r FROM change_feed) WHERE r = 1 AND NOT tombstone"""
 
 
+def _replayed(d: Data, files: int) -> DataFrame:
+    """The feed as a stream of files, one for each batch."""
+    src = scratch(d.spark, "feed")
+    d.change_feed.repartition(files, "event_id").write.parquet(src)
+    return d.spark.readStream.schema(d.spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
 @query(STREAM, "change_feed")
 def sync_stream(d: Data) -> DataFrame:
-    """The feed replayed as a stream of files, then the state that it left."""
+    """The feed replayed out of order, then the keyed state that it left."""
+    from quire.streaming import feed
+
+    checkpoint = scratch(d.spark, "stream")
+    feed.follow(_replayed(d, 2), checkpoint).awaitTermination()
+    return feed.live(feed.followed(d.spark, checkpoint))
+
+
+@query(STREAM, "change_feed")
+def sync_stream_parts(d: Data) -> DataFrame:
+    """The same with the state in files."""
     from quire.streaming import feed
 
-    src, path = scratch(d.spark, "feed"), scratch(d.spark, "state")
-    d.change_feed.repartition(3, "note_id").write.parquet(src)
-    schema = d.spark.read.parquet(src).schema
-    changes = d.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    feed.start(changes, path, scratch(d.spark, "offsets")).awaitTermination()
+    path = scratch(d.spark, "state")
+    feed.start(_replayed(d, 3), path, scratch(d.spark, "offsets")).awaitTermination()
     return feed.live(feed.state(d.spark, path))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.dates import formatted
+from quire.sources.shared import filesystem
 
 
 def record(attachments: bool = True) -> Column:
@@ -117,26 +120,109 @@ def attachment_plan(notes: DataFrame, atts: DataFrame) -> DataFrame:
     return atts.join(n, "note_id").select("note_id", "attachment_id", F.col("source_path"), F.concat(folder, F.col("out_name")).alias("rel_path"))
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return p, p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+LOG, DATA = "_log", "data-"
 
 
-def current_version(spark: SparkSession, path: str) -> int | None:
-    """Number of the newest version that was written to its end."""
-    p, fs = _fs(spark, path)
-    if not fs.exists(p(path)):
-        return None
-    done = [int(f.getPath().getName()[2:]) for f in fs.listStatus(p(path)) if f.getPath().getName().startswith("v=") and fs.exists(p(f.getPath(), "_SUCCESS"))]
-    return max(done, default=None)
+class Conflict(Exception):
+    """Another writer committed the version that this one wanted."""
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions that are still there, in rising order."""
+    p, fs = filesystem(spark, path)
+    log = p(f"{path}/{LOG}")
+    names = [f.getPath().getName() for f in fs.listStatus(log)] if fs.exists(log) else []
+    return sorted(int(n) for n in names if n.isdigit())
 
 
-def write_manifest(state: DataFrame, path: str, keep: int = 2) -> int:
-    """A new version beside the one being read; its success mark is the switch. All but ``keep`` versions go."""
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest committed version."""
+    return max(versions(spark, path), default=None)
+
+
+def _data(spark: SparkSession, path: str, version: int) -> str:
+    """The folder that a log entry names."""
+    p, fs = filesystem(spark, path)
+    io = spark.sparkContext._jvm.java.io
+    stream = fs.open(p(f"{path}/{LOG}/{version}"))
+    try:
+        return f"{path}/{io.BufferedReader(io.InputStreamReader(stream)).readLine()}"
+    finally:
+        stream.close()
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str | T.StructType, version: int | None = None) -> DataFrame:
+    """A committed version, the newest if none is named; an empty table before the first."""
+    version = current_version(spark, path) if version is None else version
+    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(_data(spark, path, version))
+
+
+def _put_if_absent(spark: SparkSession, path: str, version: int, name: str) -> bool:
+    """The log's entry of a version, whole and at most once: it is written under another name and moved to its own, which
+    a file system refuses where that exists. Local files are linked, since there a move would overwrite."""
+    p, fs = filesystem(spark, path)
+    fs.mkdirs(p(f"{path}/{LOG}"))
+    own, target = p(f"{path}/{LOG}/.{name}"), p(f"{path}/{LOG}/{version}")
+    out = fs.create(own, True)
+    out.write(bytearray((name + "\n").encode()))
+    out.close()
+    try:
+        if fs.getScheme() != "file":
+            return not fs.exists(target) and bool(fs.rename(own, target))
+        nio = spark.sparkContext._jvm.java.nio.file
+        as_local = lambda x: nio.Path.of(x.toUri().getPath(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.String, 0))
+        nio.Files.createLink(as_local(target), as_local(own))
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    finally:
+        fs.delete(own, False)
+
+
+def write_manifest(state: DataFrame, path: str, keep: int = 2, base: int | None = None) -> int:
+    """Commit ``state`` as the version after ``base``, the one it was made from (the newest, if not named).
+
+    Rows go to a folder of their own; the log's entry, which only one writer can make, is the commit. A writer whose version
+    is taken leaves nothing behind and raises ``Conflict``, since its state lacks what the other wrote. A write that broke
+    off is in no log, so it is never read. All but ``keep`` versions go.
+    """
     spark = state.sparkSession
-    v = (current_version(spark, path) or 0) + 1
-    state.write.mode("overwrite").parquet(f"{path}/v={v}")
-    p, fs = _fs(spark, path)
-    for old in range(max(1, v - keep - 8), v - keep + 1):
-        fs.delete(p(f"{path}/v={old}"), True)
+    base = current_version(spark, path) if base is None else base
+    v, name = (base or 0) + 1, DATA + uuid.uuid4().hex
+    p, fs = filesystem(spark, path)
+    state.write.parquet(f"{path}/{name}")
+    # A version above this one may be there while this one's entry is gone already.
+    if (current_version(spark, path) or 0) >= v or not _put_if_absent(spark, path, v, name):
+        fs.delete(p(f"{path}/{name}"), True)
+        raise Conflict(f"version {v} of {path}")
+    for old in versions(spark, path)[:-keep]:
+        fs.delete(p(_data(spark, path, old)), True)
+        fs.delete(p(f"{path}/{LOG}/{old}"), False)
     return v
+
+
+def update_manifest(spark: SparkSession, path: str, schema: str | T.StructType, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> int:
+    """Commit ``change(state)`` of the newest state; made anew from the winner's where another writer came first."""
+    for k in range(tries):
+        base = current_version(spark, path)
+        state = read_manifest(spark, path, schema, base) if base is not None else spark.createDataFrame([], schema)
+        try:
+            return write_manifest(change(state), path, base=base or 0)
+        except Conflict:
+            if k + 1 == tries:
+                raise
+    raise ValueError("no tries")
+
+
+def vacuum(spark: SparkSession, path: str, older_millis: int = 24 * 3_600_000) -> int:
+    """Delete what writers that broke off left behind, older than any writer takes; the number of folders."""
+    p, fs = filesystem(spark, path)
+    known = {_data(spark, path, v).rsplit("/", 1)[1] for v in versions(spark, path)}
+    now, gone = spark.sparkContext._jvm.java.lang.System.currentTimeMillis(), 0
+    for f in fs.listStatus(p(path)) if fs.exists(p(path)) else []:
+        name = f.getPath().getName()
+        if name.startswith(DATA) and name not in known and now - f.getModificationTime() >= older_millis:
+            gone += fs.delete(f.getPath(), True)
+    return gone

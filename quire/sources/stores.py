@@ -143,7 +143,6 @@ def media_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFra
 
 def manifest(spark: SparkSession, path: str, schema: str = "note_id long, modified timestamp_ntz, path string") -> DataFrame:
     """The last committed sync state, or an empty one."""
-    from quire.sources.sinks import current_version
+    from quire.sources.sinks import read_manifest
 
-    v = current_version(spark, path)
-    return spark.createDataFrame([], schema) if v is None else spark.read.schema(schema).parquet(f"{path}/v={v}")
+    return read_manifest(spark, path, schema)

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +215,56 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, tmp_path):
     assert got == [(2, t(2)), (3, t(5))]
 
 
+def test_parts_that_no_index_names_go(spark, tmp_path):
+    schema = "event_id long, note_id long, modified timestamp_ntz, tombstone boolean"
+    path = f"file://{tmp_path}/state"
+    for n in range(6):
+        feed.upsert_batch(path)(spark.createDataFrame([(n, 1, T0 + datetime.timedelta(n), False)], schema), n)
+    assert feed.live(feed.state(spark, path)).collect()[0].modified == T0 + datetime.timedelta(5)
+    assert len(list((tmp_path / "state" / "parts").glob("batch=*"))) == 2  # as many as there are indexes
+
+
+def test_keyed_state_equals_batch_after_disorder_repeats_and_restarts(spark, tmp_path):
+    rng = random.Random(5)
+    schema = "event_id long, note_id long, modified timestamp_ntz, tombstone boolean"
+    events = [(i, rng.choice([1, 1, 1, 2, 3, 40, 41, None]), rng.choice([None, *[T0 + datetime.timedelta(minutes=m) for m in range(30)]]), rng.choice([True, False, False, None])) for i in range(300)]
+    events += rng.sample(events, 60)
+    rng.shuffle(events)
+    src, checkpoint = f"file://{tmp_path}/in", f"file://{tmp_path}/checkpoint"
+    assert feed.followed(spark, checkpoint).count() == 0
+    for part in (events[:200], events[200:]):  # the second call goes on from the first's checkpoint
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        feed.follow(changes, checkpoint).awaitTermination()
+    best = {}
+    for e, n, m, gone in events:
+        if n is not None:
+            best[n] = max(best.get(n, ()), (m is not None, m or T0, e, bool(gone)))
+    want = sorted((n, m if known else None, e, gone) for n, (known, m, e, gone) in best.items())
+    assert sorted(map(tuple, feed.followed(spark, checkpoint).select("note_id", "modified", "event_id", "tombstone").collect())) == want
+    assert "spark.sql.streaming.noDataMicroBatches.enabled" not in {k for k, v in spark.conf.getAll.items() if v == "false"}
+
+
+def test_two_writers_of_a_manifest(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/m", "note_id long, path string"
+    row = lambda i: spark.createDataFrame([(i, f"p{i}")], schema)
+    assert sinks.write_manifest(row(0), path) == 1
+    # Both start from version 1; the one that comes second is told so, and leaves no files.
+    assert sinks.write_manifest(sinks.read_manifest(spark, path, schema, 1).unionByName(row(1)), path, base=1) == 2
+    with pytest.raises(sinks.Conflict):
+        sinks.write_manifest(sinks.read_manifest(spark, path, schema, 1).unionByName(row(2)), path, base=1)
+    assert len(list((tmp_path / "m").glob("data-*"))) == 2
+    with ThreadPoolExecutor(4) as pool:  # upserts at the same time all survive
+        made = list(pool.map(lambda i: sinks.update_manifest(spark, path, schema, lambda s: s.unionByName(row(i))), range(10, 14)))
+    assert sorted(made) == [3, 4, 5, 6]
+    assert sorted(r.note_id for r in sinks.read_manifest(spark, path, schema).collect()) == [0, 1, 10, 11, 12, 13]
+    # A write that broke off is never read, and goes later.
+    row(99).write.parquet(f"{path}/data-broken")
+    assert sinks.read_manifest(spark, path, schema).where("note_id = 99").count() == 0
+    assert sinks.vacuum(spark, path) == 0 and sinks.vacuum(spark, path, 0) == 1
+    assert sinks.versions(spark, path) == [5, 6] and sinks.read_manifest(spark, path, schema).count() == 6
+
+
 def test_manifest_switches_versions(spark, tmp_path):
     path = f"file://{tmp_path}/m"
     schema = "note_id long, modified timestamp_ntz, path string"
