@@ -622,8 +622,9 @@ def sink_partitioned(d: Data) -> DataFrame:
 
 
 @query(
-    """SELECT account, folder_path, md5(string_agg(body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rel_path)) AS content, count(*) AS notes FROM (SELECT 'A' || account_id AS account, 'F' || folder_id AS folder_path,
-    'A' || account_id || '/F' || folder_id || '/n' || note_id || '.md' AS rel_path, body FROM notes WHERE note_id % 20 <> 0) GROUP BY ALL""",
+    """SELECT account, folder_path, notes, CASE WHEN octet_length(b) <= 65536 THEN md5(b) ELSE md5(array_to_string(list_transform(range(0, octet_length(b), 65536), lambda i: md5(b[i + 1 : i + 65536])), '')) END AS content
+    FROM (SELECT account, folder_path, encode(string_agg(body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rel_path)) AS b, count(*) AS notes FROM (SELECT 'A' || account_id AS account, 'F' || folder_id AS folder_path,
+    'A' || account_id || '/F' || folder_id || '/n' || note_id || '.md' AS rel_path, body FROM notes WHERE note_id % 20 <> 0) GROUP BY ALL)""",
     "notes attachments",
 )
 def sink_concat(d: Data) -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.dates import formatted
+from quire.operators.running import Ordered
 from quire.sources.shared import filesystem
 
 
+#: Between notes of one text.
+SEPARATOR = "\n\n---\n\n"
+
+
 def record(attachments: bool = True) -> Column:
     """struct of a note's record; ``attachments`` is left out of it where asked."""
     fields = [
@@ -71,44 +74,61 @@ def write_partitioned(planned: DataFrame, path: str, parts: int | None = None) -
     rows.write.mode("overwrite").partitionBy("account", "folder_path").parquet(path)
 
 
-def concatenated(notes: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
+def concatenated(notes: DataFrame, separator: str = SEPARATOR) -> DataFrame:
     """(account, folder_path, content, notes): the texts of each folder in the order of their paths, failed ones (null) left out."""
     rows = F.sort_array(F.collect_list(F.struct("rel_path", "content")))
     good = notes.where("content IS NOT NULL")
     return good.groupBy("account", "folder_path").agg(F.array_join(F.transform(rows, lambda r: r["content"]), separator).alias("content"), F.count("*").alias("notes"))
 
 
-def concatenated_digests(notes: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
-    """``concatenated`` with the MD5 of each folder's text in place of the text, which is never put together: a folder's
-    rows stream through one task in the order of their paths, since the digest of a text goes from its start to its end."""
-    rows = notes.where("content IS NOT NULL").select("account", "folder_path", "rel_path", "content")
-    rows = rows.repartition("account", "folder_path").sortWithinPartitions("account", "folder_path", "rel_path", "content")
-    schema = T.StructType([rows.schema["account"], rows.schema["folder_path"], T.StructField("content", T.StringType()), T.StructField("notes", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, md5, n = None, None, 0
+#: Bytes of a block of a concatenated text; digests that one of the next level is made of, and levels at most.
+BLOCK_BYTES, FAN, LEVELS = 1 << 16, 1024, 4
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([folder[0]], account), pa.array([folder[1]], place), pa.array([md5.hexdigest()]), pa.array([n], pa.int64())], names=schema.names)
 
-        for b in batches:
-            account, place = b.column(0).type, b.column(1).type
-            for a, f, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
-                if folder != (a, f):
-                    if folder is not None:
-                        yield row()
-                    folder, md5, n = (a, f), hashlib.md5(), 0
-                else:
-                    md5.update(separator.encode())
-                md5.update(text.as_buffer())
-                n += 1
-        if folder is not None:
-            yield row()
+def concatenated_blocks(notes: DataFrame, separator: str = SEPARATOR, hot: bool | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(account, folder_path, block, bytes): the texts of ``concatenated`` as blocks of so many bytes, the last one shorter.
 
-    return rows.mapInArrow(run, schema)
+    A note's place is the sum of what stands before it in its folder, whatever the folder's size (see ``running``); its
+    bytes go to the blocks that they lie in. No task holds more than blocks. A folder without a byte has no block.
+    """
+    gap = len(separator.encode())
+    rows = notes.where("content IS NOT NULL").select("account", "folder_path", "rel_path", "content")
+    placed = Ordered(rows, ["account", "folder_path"], ["rel_path", "content"], hot).before("_at", F.octet_length("content").cast("long") + gap).done()
+    text = F.when(F.col("_at") > 0, F.concat(F.lit(separator), "content")).otherwise(F.col("content")).cast("binary")
+    pieces = placed.select("account", "folder_path", F.greatest(F.col("_at") - gap, F.lit(0)).alias("_at"), text.alias("_b")).where("length(_b) > 0")
+    size = F.length("_b")
+    spread = pieces.select("*", F.explode(F.sequence(F.floor(F.col("_at") / block_bytes), F.floor((F.col("_at") + size - 1) / block_bytes))).alias("block"))
+    first = F.greatest(F.col("block") * block_bytes - F.col("_at"), F.lit(0))
+    last = F.least((F.col("block") + 1) * block_bytes - F.col("_at"), size)
+    part = F.substring("_b", first.cast("int") + 1, (last - first).cast("int"))
+    cut = spread.select("account", "folder_path", "block", F.struct((F.col("_at") + first).alias("at"), part.alias("b")).alias("p"))
+    whole = F.aggregate(F.sort_array(F.collect_list("p")), F.lit("").cast("binary"), lambda a, p: F.concat(a, p["b"]))
+    return cut.groupBy("account", "folder_path", "block").agg(whole.alias("bytes"))
+
+
+def tree_digests(blocks: DataFrame, value: str = "bytes") -> DataFrame:
+    """(account, folder_path, digest) of blocks: a block's MD5, and level by level the MD5 of up to FAN digests' hex in
+    their order, until one is left for the folder. One block's digest is that of the text."""
+    keys = ["account", "folder_path"]
+    nodes = blocks.select(*keys, F.col("block").alias("i"), F.md5(value).alias("d"))
+    for _ in range(LEVELS):
+        # What stands alone goes up as it is.
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), "")
+        up = nodes.groupBy(*keys, F.floor(F.col("i") / FAN).alias("i")).agg(F.when((F.count("*") == 1) & (F.max("i") == 0), F.first("d")).otherwise(F.md5(joined)).alias("d"))
+        nodes = up
+    return nodes.select(*keys, F.col("d").alias("digest"))
+
+
+def concatenated_digests(notes: DataFrame, separator: str = SEPARATOR, hot: bool | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``concatenated`` with the tree digest of each folder's text in place of the text, which is never put together."""
+    good = notes.where("content IS NOT NULL")
+    folders = good.groupBy("account", "folder_path").agg(F.count("*").alias("notes"))
+    found = tree_digests(concatenated_blocks(notes, separator, hot, block_bytes)).withColumnsRenamed({"account": "_a", "folder_path": "_f"})
+    same = F.col("account").eqNullSafe(F.col("_a")) & F.col("folder_path").eqNullSafe(F.col("_f"))
+    return folders.join(found, same, "left").select("account", "folder_path", F.coalesce("digest", F.md5(F.lit("").cast("binary"))).alias("content"), "notes")
 
 
-def write_concatenated(notes: DataFrame, path: str, separator: str = "\n\n---\n\n") -> None:
+def write_concatenated(notes: DataFrame, path: str, separator: str = SEPARATOR) -> None:
     """The whole corpus as ordered text files, a note after another; never one giant row."""
     notes.where("content IS NOT NULL").orderBy("rel_path").select("content").write.mode("overwrite").option("lineSep", separator).text(path)
 

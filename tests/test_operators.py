@@ -1,6 +1,7 @@
 """Operators on small hand-written tables, and invariants."""
 
 import datetime
+import hashlib
 import random
 from concurrent.futures import ThreadPoolExecutor
 
@@ -274,11 +275,27 @@ def test_manifest_switches_versions(spark, tmp_path):
     assert [r.note_id for r in stores.manifest(spark, path).collect()] == [3]
 
 
-def test_concatenated_texts_are_never_one_row(spark, capsys):
+def test_concatenated_texts_are_never_one_row(spark, capsys, monkeypatch):
     rows = [("A", f"F{i % 3}", None if i % 7 == 3 else f"p{i * 37 % 101:03}", None if i % 5 == 4 else f"té{i}" * (i % 4)) for i in range(100)] + [(None, None, "p", "x")]
     notes = spark.createDataFrame(rows, "account string, folder_path string, rel_path string, content string")
     want = sinks.concatenated(notes).withColumn("content", F.md5("content"))
     assert sorted(sinks.concatenated_digests(notes).collect(), key=str) == sorted(want.collect(), key=str)
     assert sinks.concatenated_digests(notes.limit(0)).count() == 0
+    # The text in blocks, and its digest level by level, with a folder in one window and in many splits.
+    sep = sinks.SEPARATOR.encode()
+    whole = {(r.account, r.folder_path): r.content.encode() for r in sinks.concatenated(notes).collect()}
+    for hot, size in ((False, 7), (True, 5), (True, 1 << 16)):
+        parts = sorted(sinks.concatenated_blocks(notes, hot=hot, block_bytes=size).collect(), key=lambda r: r.block)
+        assert all(b"".join(bytes(r.bytes) for r in parts if (r.account, r.folder_path) == k) == t for k, t in whole.items()) and sep in whole["A", "F1"]
+        monkeypatch.setattr(sinks, "FAN", 3)
+
+        def digest(t, size=size):
+            level = [hashlib.md5(t[i : i + size]).hexdigest() for i in range(0, max(len(t), 1), size)]
+            for _ in range(sinks.LEVELS):
+                level = [hashlib.md5("".join(level[i : i + 3]).encode()).hexdigest() for i in range(0, len(level), 3)] if len(level) > 1 else level
+            return level[0] if len(level) == 1 else None
+
+        got = {(r.account, r.folder_path): r.content for r in sinks.concatenated_digests(notes, hot=hot, block_bytes=size).collect()}
+        assert all(got[k] == digest(t) for k, t in whole.items() if digest(t)) and got.keys() == whole.keys()
     registry.QUERIES["sink_concat"](spark, "/root/testdata/sf0.001").explain()
-    assert "collect_list" not in capsys.readouterr().out
+    assert "MapInArrow" not in capsys.readouterr().out
