@@ -2,8 +2,8 @@
 
 Each task counts the phrases of its texts in a trie of word ids that is shallow at first: hash containers hang below the
 first words, and one that grows too large bursts into a container for each next word. When the trie is full, whole
-subtrees leave it, the largest first, as sorted runs; a hash partition of prefixes merges the runs of all tasks, and a hot
-prefix is dealt out over several. Lengths are counted one after the other: a phrase can only be frequent if what it begins
+subtrees leave it, those first in which phrases repeat least, as sorted runs; a hash partition of prefixes merges the runs
+of all tasks, and a hot prefix is dealt out over several. Lengths are counted one after the other: a phrase can only be frequent if what it begins
 and ends with is, which a filter of fixed size (bits by hash, no frequent phrase is missing) tells in the tasks. So the
 pruned work follows the frequent phrases, and the counts are those of all texts.
 """
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,7 @@ UNKNOWN_LANG = "und"
 #: Phrases of so many words at most and at least so frequent; permille of a longer one from which a shorter one goes; report.
 MAX_WORDS, LEAST, COVERED_PERCENT, TOP = 3, 10, 50, 2000
 #: Entries of a container before it bursts, of a trie before subtrees leave it, and words that a task remembers.
-BURST, MOST_ENTRIES, MOST_WORDS = 4_096, 1_000_000, 500_000
+BURST, MOST_ENTRIES, MOST_WORDS = 4_096, 1_200_000, 500_000
 #: Parts that the phrases of one prefix are dealt out to; bits of a filter for each phrase in it, and bits at most.
 SPLITS, FILTER_BITS, MOST_FILTER_BITS = 64, 16, 1 << 27
 #: Bytes to themselves but for letters to lower case, separators to a full stop, and the tab to a space.
@@ -34,6 +35,7 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else
 ID_BITS = 21  # three word ids in a long
 #: Words that get ids in one go.
 SLICE = 1_000_000
+BLOCK_BYTES = 4 << 20
 BREAK = b"."  # between pieces; no word has it
 
 
@@ -44,9 +46,17 @@ class HatTrie:
         self.words, self.entries = words, 0
         #: By first word: a container (dict from the packed rest to its count) or, burst, a node (list with one dict of containers).
         self.root: dict[int, dict | list] = {}
+        #: Single words have nothing below them: their counts by id.
+        self.flat = np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Add counts of different packed phrases in rising order."""
+        if self.words == 1:
+            if len(keys) and keys[-1] >= len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(int(keys[-1]) + 1, np.int64)])
+            self.flat[keys] += counts
+            self.entries = int(np.count_nonzero(self.flat))
+            return
         shift = ID_BITS * (self.words - 1)
         firsts = keys >> shift
         cuts = np.flatnonzero(np.diff(firsts)) + 1
@@ -86,29 +96,40 @@ class HatTrie:
             at[k & low] = at.get(k & low, 0) + c
             self.entries += len(at) - before
 
-    def _size(self, at: dict | list) -> int:
-        return len(at) if isinstance(at, dict) else sum(map(len, at[0].values()))
+    def _size(self, at: dict | list) -> tuple[int, int]:
+        """Entries and occurrences of a subtree."""
+        parts = [at] if isinstance(at, dict) else at[0].values()
+        return sum(map(len, parts)), sum(sum(p.values()) for p in parts)
 
-    def largest(self, least: int) -> list[int]:
-        """First words of the largest subtrees that together have ``least`` entries."""
-        sizes = sorted(((self._size(at), f) for f, at in self.root.items()), reverse=True)
+    def coldest(self, least: int) -> list[int]:
+        """First words of subtrees that together have ``least`` entries, those with the fewest occurrences of an entry first."""
+        sizes = [(*self._size(at), f) for f, at in self.root.items()]
         out, total = [], 0
-        for n, f in sizes:
+        for n, _, f in sorted(sizes, key=lambda x: (x[1] / x[0], x[2])):
             if total >= least:
                 break
             out.append(f)
             total += n
         return out
 
-    def spill(self, firsts: list[int]) -> Iterator[tuple[int, list[int], list[int]]]:
-        """Take subtrees out: each first word with the packed rests below it and their counts."""
-        shift = ID_BITS * (self.words - 2)
-        for f in firsts:
+    def spill(self, firsts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Take subtrees (all, if none are named) out: packed phrases and their counts."""
+        if self.words == 1:
+            keys = np.flatnonzero(self.flat)
+            counts = self.flat[keys]
+            self.flat, self.entries = np.zeros(0, np.int64), 0
+            return keys, counts
+        shift, low = ID_BITS * (self.words - 1), ID_BITS * (self.words - 2)
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for f in list(self.root) if firsts is None else firsts:
             at = self.root.pop(f)
-            if isinstance(at, list):
-                at = {w << shift | k: c for w, below in at[0].items() for k, c in below.items()}
-            self.entries -= len(at)
-            yield f, list(at), list(at.values())
+            for w, part in [(0, at)] if isinstance(at, dict) else at[0].items():
+                keys.append(np.fromiter(part, np.int64, len(part)) | (f << shift | w << low))
+                counts.append(np.fromiter(part.values(), np.int64, len(part)))
+                self.entries -= len(part)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *keys]), np.concatenate([none, *counts])
 
 
 class _Words(dict):
@@ -150,39 +171,33 @@ def counted(df: DataFrame, n: int, words: Broadcast | None = None, parts: Broadc
     """(lang, phrase, n) of all phrases of ``n`` words whose words ``words`` has and whose first and last ``n - 1`` words
     ``parts`` has (filters; none lets all pass)."""
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    names = ["lang", "prefix", "phrase", "n"]
+    names = ["cell", "lang", "phrase", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, part_bits = (None if b is None else b.value for b in (words, parts))
         trie, ids, known, hashes = HatTrie(n), {}, [(None, b"")], [0]
 
-        def runs(firsts: list[int]) -> Iterator[pa.RecordBatch]:
-            low = (1 << ID_BITS) - 1
-            # A run is sorted: subtrees by their first word, and phrases in each.
-            firsts = sorted(firsts, key=known.__getitem__)
-            langs, prefixes, phrases, counts = [], [], [], []
-            for f, rests, c in trie.spill(firsts):
-                lang, first = known[f]
-                if n == 1:
-                    texts = [first]
-                else:
-                    packed = np.array(rests, np.int64)
-                    columns = [[known[i][1] for i in (packed >> (ID_BITS * k) & low).tolist()] for k in reversed(range(n - 1))]
-                    texts = [b" ".join((first, *ws)) for ws in zip(*columns, strict=True)]
-                order = sorted(range(len(texts)), key=texts.__getitem__)
-                langs += [lang] * len(texts)
-                prefixes += [first] * len(texts)
-                phrases += [texts[i] for i in order]
-                counts += [c[i] for i in order]
-                if len(phrases) > 50_000:
-                    yield batch_of(langs, prefixes, phrases, counts)
-                    langs, prefixes, phrases, counts = [], [], [], []
-            if phrases:
-                yield batch_of(langs, prefixes, phrases, counts)
-
-        def batch_of(langs: list, prefixes: list, phrases: list, counts: list) -> pa.RecordBatch:
-            text = lambda xs: pa.array(xs, pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), text(prefixes), text(phrases), pa.array(counts, pa.int64())], names=names)
+        def runs(firsts: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+            """A sorted run: by language, then word by word. ``cell`` is the prefix's partition, and the part of it."""
+            keys, counts = trie.spill(firsts)
+            if not len(keys):
+                return
+            texts, langs = pa.array([w for _, w in known], pa.binary()), pa.array([g for g, _ in known], pa.string())
+            cols = [keys >> (ID_BITS * k) & ((1 << ID_BITS) - 1) for k in reversed(range(n))]
+            rank = np.empty(len(known), np.int64)
+            rank[pa.compute.sort_indices(texts).to_numpy()] = np.arange(len(known))
+            lang_rank = langs.dictionary_encode()
+            code = np.argsort(np.argsort(np.array(lang_rank.dictionary.to_pylist(), object)))[lang_rank.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+            order = np.lexsort([*[rank[c] for c in reversed(cols)], code[cols[0]]])
+            h = np.array(hashes, np.uint64)
+            for at in range(0, len(order), 50_000):
+                part = order[at : at + 50_000]
+                ws = [texts.take(pa.array(c[part])) for c in cols]
+                phrases = pa.compute.binary_join_element_wise(*ws, b" ") if n > 1 else ws[0]
+                cell = h[cols[0][part]] * np.uint64(SPLITS) + (h[cols[1][part]] % np.uint64(SPLITS) if n > 1 else np.uint64(0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((cell & np.uint64(0x7FFFFFFF)).astype(np.int32)), langs.take(pa.array(cols[0][part])), phrases.cast(pa.string()), pa.array(counts[part], pa.int64())], names=names
+                )
 
         def add(table: _Words, tokens: list[bytes]) -> None:
             at = np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
@@ -200,7 +215,7 @@ def counted(df: DataFrame, n: int, words: Broadcast | None = None, parts: Broadc
             trie.add(*np.unique(key, return_counts=True))
 
         for big in batches:
-            for batch in blocks(big, "text"):
+            for batch in blocks(big, "text", BLOCK_BYTES):
                 by_lang: dict[str, list[bytes]] = {}
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     by_lang.setdefault(lang, []).append(text)
@@ -213,17 +228,15 @@ def counted(df: DataFrame, n: int, words: Broadcast | None = None, parts: Broadc
                             table = ids[lang] = _Words(lang, known, hashes, bits)
                         add(table, tokens[start : start + SLICE + n - 1])
                         if len(known) > MOST_WORDS or sum(map(len, ids.values())) > 2 * MOST_WORDS:
-                            yield from runs(list(trie.root))
+                            yield from runs()
                             ids.clear(), known.clear(), hashes.clear()
                             known.append((None, b"")), hashes.append(0)
                         elif trie.entries > MOST_ENTRIES:
-                            yield from runs(trie.largest(trie.entries // 2))
-        yield from runs(list(trie.root))
+                            yield from runs(trie.coldest(trie.entries // 2))
+        yield from runs()
 
-    runs_of = rows.mapInArrow(run, "lang string, prefix string, phrase string, n long")
-    part = F.pmod(F.xxhash64("phrase"), F.lit(SPLITS)).alias("part")
-    merged = runs_of.select("lang", "prefix", part, "phrase", "n").repartition("lang", "prefix", "part")
-    return merged.groupBy("lang", "prefix", "part", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
+    merged = rows.mapInArrow(run, "cell int, lang string, phrase string, n long").repartition("cell")
+    return merged.groupBy("cell", "lang", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
 
 
 def phrase_filter(frequent: DataFrame) -> Broadcast:

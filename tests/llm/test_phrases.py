@@ -62,8 +62,9 @@ def test_trie(monkeypatch):
         keys, n = np.unique(np.array([a << 42 | b << 21 | c for a, b, c in grams]), return_counts=True)
         trie.add(keys, n)
     assert trie.entries == len(want) and any(isinstance(x, list) for x in trie.root.values())
-    gone = trie.largest(trie.entries // 2)
-    got = {(f, k >> 21, k & (1 << 21) - 1): c for f, ks, cs in trie.spill(gone) for k, c in zip(ks, cs, strict=True)}
+    gone = trie.coldest(trie.entries // 2)
+    packed = lambda ks, cs: {(k >> 42, k >> 21 & (1 << 21) - 1, k & (1 << 21) - 1): c for k, c in zip(ks.tolist(), cs.tolist(), strict=True)}
+    got = packed(*trie.spill(gone))
     assert len(got) >= len(want) // 2 and trie.entries == len(want) - len(got)
-    got |= {(f, k >> 21, k & (1 << 21) - 1): c for f, ks, cs in trie.spill(list(trie.root)) for k, c in zip(ks, cs, strict=True)}
+    got |= packed(*trie.spill())
     assert got == dict(want) and not trie.entries
