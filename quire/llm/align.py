@@ -30,9 +30,11 @@ from quire.llm.common import discard, materialize, written
 from quire.llm.worker import blocks, memory
 
 #: Pieces, and their characters, that a worker remembers between blocks of text.
-CACHE_PIECES, CACHE_CHARS = 400_000, 16 << 20
+CACHE_PIECES, CACHE_CHARS = 300_000, 12 << 20
 #: Different pairs up to which their counts are broadcast (17 bytes each), and that a task sums up before it hands them on.
-BROADCAST_PAIRS, TASK_PAIRS = 4_000_000, 2_000_000
+BROADCAST_PAIRS, TASK_PAIRS = 4_000_000, 500_000
+#: Rows of links that are looked at in one go.
+ROWS = 1_000
 MADE = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 SPACE = "▁"
 
@@ -239,8 +241,9 @@ def pair_counts(links: DataFrame, b_size: int) -> DataFrame:
         def table(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
+        memory("pairs")  # what the worker remembers of pieces goes
         parts, held = [], 0
-        for b in batches:
+        for b in (b.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             parts.append((b.column("pairs").flatten().to_numpy(zero_copy_only=False), b.column("times").flatten().to_numpy(zero_copy_only=False)))
             held += len(parts[-1][0])
             if held > 2 * TASK_PAIRS:
@@ -269,8 +272,9 @@ def _looked_up(links: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFr
     schema = T.StructType([links.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in MADE[4:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory("pairs")
         pair, n, best = sent.value
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             keys, times = (batch.column(c) for c in ("pairs", "times"))
             at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(keys).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             where = np.searchsorted(pair, keys.flatten().to_numpy(zero_copy_only=False))
