@@ -1,16 +1,20 @@
 """Main text of web pages by the line-block distribution.
 
 A page becomes lines: one for each block of text, empty ones for blocks that markup names as boilerplate. The
-lengths of the lines are summed over sliding windows; the main text begins where the sums surge, ends where they
-dive to nothing, and all lines between stay, short ones too. An article element only adds weight to its lines. Pages are independent rows: no shuffle.
+lengths of the lines are summed over sliding windows; the main text begins where the sums surge, with the short lines right
+before that, ends where they dive to nothing, and all lines between stay, short ones too. An article element only adds weight
+to its lines. What names say is evidence of two kinds: remarks of readers, notices and adverts never are the article, however
+long; names of layout (side bars, headers, widgets) count unless their element holds an article or a main heading, or
+nothing else on the page surges. Tags are read once from left to right. Pages are independent rows: no shuffle.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,15 +35,20 @@ BLOCK = {
     "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "menu",
 }
 VOID = {"br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track"}
-#: Whole class tokens, ids and roles of boilerplate: a word of it, by itself or with words of layout around it.
-ROLE = re.compile(
-    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sub|post|entry|article|user|reader|cookie)[-_])*"
-    r"(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo|side-?bar|side|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|footer|header|masthead|comments?|disqus|replies|cookies?|consent|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|social|share|sharing|related|recommended|widgets?|toolbar|pagination|"
-    r"contentinfo|complementary|search)"
+#: Whole class tokens, ids and roles of boilerplate: a word of it, by itself or with words of layout around it. First what
+#: readers say, notices and adverts, then what in a class or role, but not in an id, is what readers say; last layout.
+_BEFORE = r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|sub|post|entry|article|user|users|reader|readers|cookie|guest)[-_])*"
+_AFTER = (
     r"(?:[-_]?\d+|[-_](?:bar|box|lists?|items?|links?|buttons?|btn|icons?|slot|unit|container|wrapper|wrap|block|section|"
-    r"area|banner|widgets?|posts?|articles?|stories|form|nav|menu|inner|top|bottom|left|right|thread|notice|signup))*",
+    r"area|banner|widgets?|posts?|articles?|stories|form|nav|menu|inner|top|bottom|left|right|thread|threads|notice|signup|body|text|content|author|meta|header|footer|title|policy|message))*"
+)
+NEVER = re.compile(
+    _BEFORE + r"(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo|comments?|disqus|reply|replies|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup)" + _AFTER, re.I
+)
+SAID = re.compile(_BEFORE + r"(?:discussions?|responses?|reviews?|guestbook)" + _AFTER, re.I)
+LAYOUT = re.compile(
+    _BEFORE + r"(?:banner|side-?bar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|social|share|sharing|related|recommended|widgets?|toolbar|pagination|contentinfo|complementary|search)"
+    r"(?:[-_]?\d+|[-_](?:bar|box|lists?|items?|links?|buttons?|btn|icons?|slot|unit|container|wrapper|wrap|block|section|area|banner|widgets?|posts?|articles?|stories|form|nav|menu|inner|top|bottom|left|right|thread))*",
     re.I,
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -52,74 +61,116 @@ IMPLIED = {
     "th": (("td", "th"), {"tr", "table"}),
     "tr": (("tr",), {"table"}),
 }
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+#: What ends a tag or begins a quoted value.
+STOP = re.compile(r">|=\s*[\"']")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-def named_boilerplate(name: str, attrs: str) -> bool:
-    """Do the class, id or role of a tag name boilerplate? Ids of headings are anchors."""
+def tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of what is no text, in order; no name for comments, raw
+    elements and declarations. Every character is passed once: a tag whose quotes never end ends at its first ">", and from
+    there on quotes no longer count; one without ">" is text, and so is what follows."""
+    at, quotes, size = 0, True, len(page)
+
+    def tag_end(i: int) -> int:
+        nonlocal quotes
+        k = i
+        while quotes:
+            m = STOP.search(page, k)
+            if m and page[m.start()] == ">":
+                return m.end()
+            k = page.find(page[m.end() - 1], m.end()) + 1 if m else 0
+            quotes = k > 0
+        return page.find(">", i) + 1
+
+    while (i := page.find("<", at)) >= 0:
+        close = page.startswith("/", i + 1)
+        name = NAME.match(page, i + 1 + close)
+        if page.startswith("<!--", i):
+            at = page.find("-->", i + 4) + 3
+            yield i, (at := at if at > 2 else size), None, False, ""
+        elif name:
+            end = page.find(">", i) + 1 if close else tag_end(name.end())
+            if not end:
+                return
+            at, word = end, name[0].lower()
+            if word in RAW_END and not close:
+                m = RAW_END[word].search(page, end)
+                at = m.end() if m else size
+                yield i, at, None, False, ""
+            else:
+                yield i, at, word, close, page[name.end() : end - 1]
+        elif page[i + 1 : i + 2] in ("!", "?", "/"):
+            if not (end := page.find(">", i) + 1):
+                return
+            at = end
+            yield i, at, None, False, ""
+        else:
+            at = i + 1
+
+
+def named_boilerplate(name: str, attrs: str) -> int:
+    """Do the class, id or role of a tag name boilerplate? 2: never the article; 1: layout. Ids of headings are anchors."""
+    found = 0
     for key, a, b, c in ATTR.findall(attrs) if "=" in attrs else ():
         key = key.lower()
         if key in ("class", "role") or key == "id" and name not in HEADINGS:
-            if any(ROLE.fullmatch(x) for x in (a or b or c).split()):
-                return True
-    return False
-
+            for x in (a or b or c).split():
+                if NEVER.fullmatch(x) or key != "id" and SAID.fullmatch(x):
+                    return 2
+                found |= bool(LAYOUT.fullmatch(x))
+    return found
 
-def page_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text of a block, or "" for a dropped one; whether it stands in an article; mostly links?) in page order.
 
-    Elements that attributes name as boilerplate stay if they hold SURGE characters and most of the text that no other
-    rule drops.
-    """
-    out: list[tuple[str, bool, bool, tuple[int, ...]]] = []
+def page_lines(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text of a block, or "" for a dropped one; whether it stands in an article; mostly links?; in layout?) in page order."""
+    out: list[tuple[str, bool, bool, int]] = []
     piece: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements: name, and 0 or the number of the named boilerplate
-    opened: Counter[str] = Counter()
-    regions: list[int] = []
-    numbers, dropping, linked = 0, 0, 0
+    stack: list[tuple[str, int, int]] = []  # open elements: name, what it is named for, its region of layout or the one around
+    where: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by name, and of all blocks
+    block: list[int] = []
+    parent, holds = [0], [True]  # of regions of layout: the one around, and whether there is an article or main heading
+    region = dropping = never = linked = 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html_lib.unescape("".join(piece)).split())
         piece.clear()
-        out.append((text, opened["article"] + opened["main"] > 0, 2 * linked > len(text), tuple(regions)))
+        if text:
+            out.append(("" if never else text, bool(where["article"] or where["main"]), 2 * linked > len(text), region))
         linked = 0
 
     def pop() -> None:
-        nonlocal dropping
-        name, number = stack[-1]
-        if name in BLOCK or name in DROP or number:
+        nonlocal dropping, never, region
+        name, kind, around = stack[-1]
+        if name in BLOCK or name in DROP or kind:
             end_line()
         stack.pop()
-        opened[name] -= 1
-        if number:
-            regions.pop()
+        where[name].pop()
+        if name in BLOCK:
+            block.pop()
         dropping -= name in DROP
+        never -= kind == 2
+        region = around
 
     def end(names: tuple[str, ...], bounds: set[str]) -> None:
         """End the innermost open element of ``names``, with what is open in it."""
-        if any(opened[x] for x in names):
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in names or stack[k][0] in bounds), -1)
-            if k >= 0 and stack[k][0] in names:
-                while len(stack) > k:
-                    pop()
+        last = lambda ns: max((where[n][-1] for n in ns if where[n]), default=-1)
+        k = last(names)
+        if k > ((block[-1] if block else -1) if bounds is BLOCK else last(bounds)):
+            while len(stack) > k:
+                pop()
 
     at = 0
-    for m in TAG.finditer(page):
-        if not dropping and m.start() > at:
-            piece.append(page[at : m.start()])
-            linked += (opened["a"] > 0) * (m.start() - at)
-        at = m.end()
-        if (name := m["name"]) is None:
+    for start, stop, name, close, attrs in tags(page):
+        if not dropping and start > at:
+            piece.append(page[at:start])
+            linked += bool(where["a"]) * (start - at)
+        at = stop
+        if name is None:
             continue
-        name, close, attrs = name.lower(), bool(m["close"]), m["attrs"]
         if name == "br":
             piece.append(" ")
             continue
@@ -138,45 +189,60 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
             end(("a",), BLOCK)
         if name in VOID or name in ("html", "body") or attrs.endswith("/"):
             continue
-        number = 0
-        if not dropping and named_boilerplate(name, attrs):
+        kind, around = 0 if dropping else named_boilerplate(name, attrs), region
+        if kind:
             end_line()
-            numbers += 1
-            number = numbers
-            regions.append(number)
-        stack.append((name, number))
-        opened[name] += 1
+        if name in ("h1", "article", "main") and not kind and not never and not dropping:
+            holds[region] = True
+        if kind == 1:
+            parent.append(region)
+            holds.append(False)
+            region = len(parent) - 1
+        stack.append((name, kind, around))
+        where[name].append(len(stack) - 1)
+        if name in BLOCK:
+            block.append(len(stack) - 1)
         dropping += name in DROP
+        never += kind == 2
     if not dropping and at < len(page):
         piece.append(page[at:])
     end_line()
-    # A line of boilerplate is one empty line; blocks without text are none.
-    sizes: Counter[int] = Counter()
-    weights = [len(text) * (ARTICLE_WEIGHT if inside else 1) for text, inside, _, _ in out]
-    for (*_, of), n in zip(out, weights, strict=True):
-        for number in of:
-            sizes[number] += n
-    least = max(SURGE, sum(weights) / 2)
-    return [("" if any(sizes[x] <= least for x in of) else text, inside, links) for text, inside, links, of in out if text]
+    for r in range(len(parent) - 1, 0, -1):
+        holds[parent[r]] |= holds[r]
+    layout = [False]
+    for r in range(1, len(parent)):
+        layout.append(layout[parent[r]] or not holds[r])
+    return [(text, inside, links, layout[r]) for text, inside, links, r in out]
+
+
+def _surges(sizes: list[int]) -> tuple[list[int], float]:
+    """Sums of the windows that begin at each line, and the sum at which text surges."""
+    at = [0, *accumulate(sizes)]
+    sums = [at[min(i + WINDOW, len(sizes))] - at[i] for i in range(len(sizes))]
+    return sums, max(1.0, min(SURGE, SURGE_SHARE * max(sums, default=0)))
 
 
 def main_text(page: str) -> str:
     """The article of a page, its blocks joined by one line feed; "" where there is none.
 
     Mostly linked lines outside of an article, and lines of boilerplate, are empty lines. Text begins where a window's
-    sum surges and goes on until the windows dive to nothing; where it surges again there is more of it. Lines of an
-    article weigh ARTICLE_WEIGHT times as much, and short ones right before its surge stay.
+    sum surges, with the lines right before that, and goes on until the windows dive to nothing; where it surges again
+    there is more of it. Lines of an article weigh ARTICLE_WEIGHT times as much. Lines of layout are text only where no
+    other line's window reaches SURGE.
     """
-    lines = [("" if links and not inside else text, inside) for text, inside, links in page_lines(page)]
-    sizes = [len(text) * (ARTICLE_WEIGHT if inside else 1) for text, inside in lines]
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    least = max(1.0, min(SURGE, SURGE_SHARE * max(sums, default=0)))
+    found = page_lines(page)
+    weigh = lambda texts: [len(t) * (ARTICLE_WEIGHT if inside else 1) for t, (_, inside, _, _) in zip(texts, found, strict=True)]
+    texts = ["" if links and not inside else text for text, inside, links, _ in found]
+    plain = ["" if layout else t for t, (*_, layout) in zip(texts, found, strict=True)]
+    if max(_surges(weigh(plain))[0], default=0) >= SURGE or not any(texts):
+        texts = plain
+    sums, least = _surges(weigh(texts))
     kept, before, flowing = [], [], False
-    for (text, inside), x in zip(lines, sums, strict=True):
+    for text, x in zip(texts, sums, strict=True):
         flowing = x >= least or flowing and x > 0
         if flowing:
             kept += [t for t in (*before, text) if t]
-        before = [*before, text] if inside and x > 0 and not flowing else []
+        before = [*before, text] if text and not flowing else []
     return "\n".join(kept)
 
 

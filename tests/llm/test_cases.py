@@ -1,7 +1,9 @@
 """Defined results on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import datetime  # noqa: F401
+import time
 
+import duckdb
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +178,34 @@ def test_html_windows_decide_on_every_page():
     assert html_text.main_text(page) == "\n".join([line, "short", line, line, line])
     assert html_text.main_text(f"<body><p>skip</p>{links}<div><p>{long}</p><p>x</p></div>{links}<p>{long}</p>{links}<p>end</p></body>") == "\n".join([line, "x", line])
     assert html_text.main_text(f"<body><article><p>{long}</p></article><article class='comment'><p>one comment</p></article></body>") == line
+
+
+def test_html_of_readers_and_notices_is_never_the_article():
+    long = "A sentence of the page's own text that is long enough to count for a line of it. " * 2
+    body, want = f"<h1>Head</h1><p>{long}</p><p>{long}</p>", "\n".join(["Head", *[long.strip()] * 2])
+    said = f"<p>{long * 3}</p>" * 4
+    for name in ("reply", "user-reply", "comment-body", "discussion", "responses", "comments", "cookie-notice", "cookie-consent", "newsletter-signup"):
+        assert html_text.main_text(f"<body><div>{body}</div><div class='{name}'>{said}</div></body>") == want
+    # Names of layout: not around the article, and not where nothing else is.
+    assert html_text.main_text(f"<body><div class='page-widget'><article>{body}</article></div><div class='sidebar'>{said}</div></body>") == want
+    assert html_text.main_text(f"<body><div class='sidebar'>{body}</div><p>x</p></body>") == want + "\nx"
+    # Without an article element nothing changes, short lines before the surge included.
+    assert html_text.main_text(f"<body><nav>a menu</nav><div class='ad'>gone</div><div>{body}</div><footer>end</footer></body>") == want
+    assert html_text.main_text(f"<body><section id='discussion'>{body}</section></body>") == want
+
+
+def test_html_broken_markup_takes_no_more_time_than_its_length():
+    broken = [
+        "<a " * 300_000 + '"', '<a href="x' * 100_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<div class=ad>x" * 60_000, "<div class=sidebar>x" * 50_000, "<" * 1_000_000, "<p>" * 300_000,
+        "<div class=menu>" * 50_000 + "<h1>x" * 50_000, "<a =" + " " * 900_000 + "<b>", "<script>" * 100_000, "<!--" * 200_000, "</p" * 300_000, "<a title='" * 90_000 + ">" * 1000,
+    ]
+    for page in broken:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 8  # quadratic reading takes minutes
+    assert html_text.main_text("<p>" + "x" * 100 + '<a href="never ends>link</a> and on <b>bold</b>') == "x" * 100 + "link and on bold"
+
+
+def test_html_pages_without_their_article_elements():
+    pages = [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    assert all(html_text.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) == html_text.main_text(p) != "" for p in pages)
