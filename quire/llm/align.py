@@ -243,7 +243,7 @@ def pair_counts(links: DataFrame, b_size: int) -> DataFrame:
 
         memory("pairs")  # what the worker remembers of pieces goes
         parts, held = [], 0
-        for b in (b.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             parts.append((b.column("pairs").flatten().to_numpy(zero_copy_only=False), b.column("times").flatten().to_numpy(zero_copy_only=False)))
             held += len(parts[-1][0])
             if held > 2 * TASK_PAIRS:
