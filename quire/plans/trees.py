@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.strings import sanitize_drop
-from quire.operators import hierarchy, joins, paths, sync
+from quire.operators import forest, hierarchy, joins, paths, sync
 from quire.plans.base import Data, query
 from quire.plans.io import scratch
 from quire.plans.scans import _galleries
@@ -273,6 +273,28 @@ def select_subtree(d: Data) -> DataFrame:
     return hierarchy.toggle(chosen, tree, pick(6, 8))
 
 
+TOUR = f"""WITH RECURSIVE {CLOSURE}, r(folder_id, parent_id, depth, way) AS (SELECT folder_id, parent_id, 0, lpad(CAST(folder_id AS VARCHAR), 9, '0') FROM folders WHERE parent_id IS NULL
+  UNION ALL SELECT f.folder_id, f.parent_id, r.depth + 1, r.way || '/' || lpad(CAST(f.folder_id AS VARCHAR), 9, '0') FROM r JOIN folders f ON f.parent_id = r.folder_id),
+  t AS (SELECT folder_id, parent_id, CAST(depth AS BIGINT) AS depth, row_number() OVER (ORDER BY way) - 1 AS pre FROM r)"""
+
+
+@query(f"{TOUR} SELECT folder_id, depth, pre, pre + (SELECT count(*) FROM clo c WHERE c.ancestor_id = t.folder_id) - 1 AS last FROM t", "folders")
+def tree_intervals(d: Data) -> DataFrame:
+    return forest.tour(d.folders).drop("parent_id")
+
+
+@query(f"{ROLL} SELECT * FROM roll", "folders notes_star")
+def agg_folder_any_depth(d: Data) -> DataFrame:
+    """All three rollups without a closure."""
+    kept = {"total": forest.Carried(F.lit(1)), "latest": forest.Carried(F.col("modified"), "max"), "earliest": forest.Carried(F.col("created"), "min")}
+    return forest.totals(d.folders, d.notes_star, kept)
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT DISTINCT folder_id FROM clo WHERE ancestor_id IN (1, 6, 8, 12)", "folders")
+def select_subtree_intervals(d: Data) -> DataFrame:
+    return forest.subtrees(forest.tour(d.folders), d.folders.where("folder_id IN (1, 6, 8, 12)"))
+
+
 # Sync
 
 DIFF = """d AS (SELECT n.note_id, n.modified, m.path, CASE WHEN m.note_id IS NULL THEN 'new' WHEN epoch_us(n.modified) - epoch_us(m.modified) > 1000 THEN 'changed' ELSE 'unchanged' END AS status

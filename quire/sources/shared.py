@@ -30,3 +30,9 @@ def filesystem(spark: SparkSession, path: str):  # noqa: ANN201
     """The class of paths and the file system of one."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     return p, p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what nothing will read again."""
+    p, fs = filesystem(spark, path)
+    fs.delete(p(path), True)
