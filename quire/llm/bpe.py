@@ -5,7 +5,7 @@ The commonest, up to a fixed number, are split into pre-tokens and replayed once
 hash partition: an inverted index leads from the rank of a token pair to the positions in words where the pair stands,
 ranks are taken in rising order, every position of a rank is merged, and only the two touched neighbours enter the index
 again. Their encodings are broadcast. A second pass puts the documents together from them; the pre-tokens left over, rare
-ones, are replayed where they stand, so that nothing is dropped. Documents never leave their partition, and a hot source
+ones, are replayed where they stand, over an index of their block's, so that nothing is dropped. Documents never leave their partition, and a hot source
 costs no more than any other.
 """
 
@@ -35,8 +35,8 @@ from quire.llm.worker import blocks, memory
 COMMON_CHUNKS, COMMON_BYTES = 150_000, 8 << 20
 #: Bound on chunks of text, and their characters, that a Python worker remembers between batches.
 CACHE_CHUNKS, CACHE_CHARS = 150_000, 16 << 20
-#: Longer chunks are taken pre-token by pre-token; words of more bytes are replayed by the index, shorter ones in rounds.
-LONG_CHUNK, LONG_WORD = 64, 48
+#: Longer chunks are taken pre-token by pre-token; words of one index.
+LONG_CHUNK, INDEX_WORDS = 64, 20_000
 #: No pre-token goes on past a space between two other characters: it begins there, and a space with letters, or a run of
 #: marks, is one. True of the byte-level patterns in use.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -45,7 +45,6 @@ EDGE = re.compile(r" \s|\s ")
 #: The same for Spark's functions; white space as Python's ``\s`` has it.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 MARKS = ".,;:!?)]"
-NONE = 1 << 30
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -67,9 +66,6 @@ class MergeReplay:
             if t[:i] in ranks and t[i:] in ranks
         }
         self.text_of = {r: str(r) for r in self.bytes_of}
-        order = sorted(self.pairs)
-        self.keys, self.merged = np.array(order, np.int64), np.array([self.pairs[k] for k in order], np.int64)
-        self.byte_ranks = np.array(self.byte_rank, np.int64)
 
     def replay(self, words: Iterable[bytes]) -> list[list[int]]:
         """Ids of words by the inverted index over all of them."""
@@ -169,60 +165,10 @@ class MergeReplay:
             if prv[at] >= 0:
                 pair[prv[at]] = self.pairs.get(tok[prv[at]] << 32 | best, -1)
 
-    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Ranks of token pairs, NONE for those that never merge."""
-        if not len(self.keys):
-            return np.full(len(left), NONE, np.int64)
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], NONE)
-
-    def in_rounds(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of short words that are not empty. Words never touch one another, so each round applies to every word
-        its own next merge in the order of ranks, the leftmost first, and looks up the pairs of the two neighbours."""
-        out: list[list[int]] = [[]] * len(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        tok = self.byte_ranks[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
-        rank = np.full(len(tok), NONE, np.int64)
-        inner = np.flatnonzero(word[1:] == word[:-1])
-        rank[inner] = self._ranks_of(tok[inner], tok[inner + 1])
-        while len(tok):
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), first)
-            done = least >> 32 == NONE
-            if done.any():
-                ends = np.append(first[1:], len(tok))
-                flat = tok.tolist()
-                for k in np.flatnonzero(done).tolist():
-                    out[word[first[k]]] = flat[first[k] : ends[k]]
-            keep = np.repeat(~done, np.diff(np.append(first, len(tok))))
-            at = least[~done] & 0xFFFFFFFF
-            tok[at] = rank[at]
-            keep[at + 1] = False
-            new = np.cumsum(keep) - 1
-            tok, word, rank = tok[keep], word[keep], rank[keep]
-            at = new[at]
-            rank[at] = NONE
-            left, right = at[at > 0] - 1, at[at + 1 < len(tok)]
-            touched = np.concatenate([left[word[left] == word[left + 1]], right[word[right] == word[right + 1]]])
-            rank[touched] = self._ranks_of(tok[touched], tok[touched + 1])
-        return out
-
     def encode_words(self, words: Iterable[bytes]) -> list[list[int]]:
+        """Ids of any number of words: an index over INDEX_WORDS of them at a time."""
         words = list(words)
-        out: list[list[int]] = [[]] * len(words)
-        short, long = [], []
-        for i, w in enumerate(words):
-            whole = self.ranks.get(w)
-            if whole is not None:  # a word of the vocabulary is its own encoding
-                out[i] = [whole]
-            elif w:
-                (short if len(w) <= LONG_WORD else long).append(i)
-        for at, ids in ((short, self.in_rounds([words[i] for i in short])), (long, self.replay(words[i] for i in long))):
-            for i, x in zip(at, ids, strict=True):
-                out[i] = x
-        return out
+        return list(chain.from_iterable(self.replay(words[i : i + INDEX_WORDS]) for i in range(0, len(words), INDEX_WORDS)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -242,11 +188,12 @@ def chunks_of(text: str) -> list[str]:
 
 
 def chunk_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(chunk, n) of the distinct chunks of all texts."""
+    """(chunk, n) of the distinct chunks of all texts, but for long ones, which go pre-token by pre-token."""
     text = F.col(text_col)
     parts = F.when(text.rlike(f" {SPACE}|{SPACE} "), F.split(text, f"(?<!{SPACE}|^) (?!{SPACE}|$)")).otherwise(F.split(text, " "))
     rows = df.select(F.posexplode(parts).alias("at", "part"))
-    return rows.groupBy(F.when(F.col("at") == 0, F.col("part")).otherwise(F.concat(F.lit(" "), "part")).alias("chunk")).agg(F.count("*").alias("n"))
+    chunk = F.when(F.col("at") == 0, F.col("part")).otherwise(F.concat(F.lit(" "), "part"))
+    return rows.where(F.length("part") <= LONG_CHUNK).groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n"))
 
 
 def common_chunks(counts: DataFrame, most: int = COMMON_CHUNKS, most_bytes: int = COMMON_BYTES) -> DataFrame:
