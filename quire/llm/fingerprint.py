@@ -118,26 +118,30 @@ def with_next(df: DataFrame, id_col: str, cols: list[str], per_group: int = 400)
     Ids (whole numbers) are dealt into groups of about ``per_group`` consecutive ones and each group is one window: first
     by approximate quantiles of all ids, at most QUANTILES, then by equal widths between two of them. The row after a
     group's last one comes along as a guest from the next group; which group that is follows from the groups' largest ids
-    alone, a table ``per_group`` times shorter. Null ids stand at the end; repeated ids in the order of ``cols``, one
-    group for all rows of an id.
+    alone, a table ``per_group`` times shorter. Repeated ids stand in the order of ``cols``, one group for all rows of an id.
+    Null ids stand at the end, by a hash of ``cols`` and then those: as many groups of hashes as of ids.
     """
-    n, lo, hi = df.agg(F.count(id_col), F.min(id_col), F.max(id_col)).first()
+    n, lo, rows_in_all = df.agg(F.count(id_col), F.min(id_col), F.count("*")).first()
     if not n and not df.head(1):
         return df.select("*", *[F.lit(None).cast(df.schema[c].dataType).alias(f"next_{c}") for c in cols])
     ranges = max(1, min(QUANTILES, n // per_group))
     cuts = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(ranges)], 10 * QUANTILES)).first()[0] if n and ranges > 1 else []
     bounds = sorted({lo or 0, *(cuts or [])})
     parts = max(1, -(-n // (per_group * len(bounds))))
-    rows = df.withColumn("_g", F.coalesce(_group(F.col(id_col), bounds, parts), F.lit(-1).cast("long")))  # null ids: below all others
-    guests = _followers(rows.groupBy("_g").agg(F.max(id_col).alias("_top")))
-    groups = len(bounds) * parts + 1
+    # Where an id is null, a hash takes its place, in groups below all others.
+    low_groups = max(1, -(-(rows_in_all - n) // per_group))
+    rows = df.withColumn("_h", F.when(F.col(id_col).isNull(), F.xxhash64(*cols)))
+    low = F.least(F.floor((F.col("_h") / float(1 << 64) + 0.5) * low_groups), F.lit(low_groups - 1)).cast("long") - low_groups
+    rows = rows.withColumn("_g", F.coalesce(_group(F.col(id_col), bounds, parts), low)).withColumn("_place", F.struct(id_col, "_h"))
+    guests = _followers(rows.groupBy("_g").agg(F.max("_place").alias("_top")))
+    groups = len(bounds) * parts + low_groups
     marked = rows.join(F.broadcast(guests) if groups <= BROADCAST_GROUPS else guests, "_g")
     # The largest row of a group is the guest of the group above; the largest of all is the guest of the lowest group.
     own, guest = F.struct(F.col("_g").alias("g"), F.lit(0).alias("guest")), F.struct(F.col("_to").alias("g"), F.lit(1).alias("guest"))
-    dealt = marked.select(*df.columns, F.explode(F.when(F.col(id_col).eqNullSafe(F.col("_top")), F.array(own, guest)).otherwise(F.array(own))).alias("_d"))
-    order = Window.partitionBy("_d.g").orderBy(F.col("_d.guest"), F.col(id_col).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in cols])
+    dealt = marked.select(*df.columns, "_h", F.explode(F.when(F.col("_place").eqNullSafe(F.col("_top")), F.array(own, guest)).otherwise(F.array(own))).alias("_d"))
+    order = Window.partitionBy("_d.g").orderBy(F.col("_d.guest"), F.col(id_col).desc_nulls_last(), F.col("_h").desc(), *[F.col(c).asc_nulls_last() for c in cols])
     nexts = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in cols])
-    return nexts.where("_d.guest = 0").drop("_d")
+    return nexts.where("_d.guest = 0").drop("_d", "_h")
 
 
 def edited(text: Column, following: Column) -> Column:

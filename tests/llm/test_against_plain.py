@@ -441,3 +441,17 @@ def test_rollup_of_token_counts(spark, tmp_path):
         want[source, lang, "bpe" if i % 2 == 0 else "words"] += len(enc.encode_ordinary(text or "")) if i % 2 == 0 else len((text or "").split())
     got = {(r.source, r.lang, r.version): r.tokens for r in totals.totals().collect()}
     assert got == dict(want)
+
+
+def test_next_of_many_null_ids(spark):
+    """Rows without an id are dealt out, each follows another, and all rows are one ring."""
+    rows = [(None, f"t{i}") for i in range(200)] + [(i, f"u{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.text: r.next_text for r in fingerprint.with_next(df, "doc_id", ["text"], per_group=7).collect()}
+    at, ring = "u39", []
+    for _ in rows:
+        ring.append(at)
+        at = got[at]
+    assert at == "u39" and ring[:40] == [f"u{i}" for i in range(39, -1, -1)] and sorted(ring[40:]) == sorted(t for i, t in rows if i is None)
+    groups = fingerprint.with_next(df, "doc_id", ["text"], per_group=7)
+    assert groups.columns == ["doc_id", "text", "next_text"]
