@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import align, ann, bpe, fingerprint, html_text, mixing, neardup, personal, phrases, rollup, secrets, toxicity, warc
-from quire.llm.common import shared_dir, table
+from quire.llm.common import materialize, shared_dir, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 A_TOKENS, B_TOKENS = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -92,6 +92,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in, long ones are counted anew by another tokenizer version, short Spanish ones go; the
     second batch is delivered twice."""
     docs = table(spark, sf_dir, "documents").select("source", "lang", "n_chars", rollup.word_count(F.col("text")).alias("words"), rollup.byte_count(F.col("text")).alias("quads"))
+    docs = materialize(docs, "counts")  # texts are counted once, whatever number of batches takes part of them
     change = lambda op, version, tokens: [F.lit(op).alias("op"), F.lit(version).alias("version"), tokens.alias("tokens")]
     old = [F.lit("words-1").alias("old_version"), F.col("words").alias("old_tokens")]
     none = F.lit(None).cast("long")
