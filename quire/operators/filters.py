@@ -22,6 +22,12 @@ def by_exact_name(notes: DataFrame, dim: DataFrame, key: str, text: str) -> Data
     return notes if not text else notes.join(dim.where(F.lower("name") == text.lower()).select(key), key, "left_semi")
 
 
+def by_collated_name(notes: DataFrame, dim: DataFrame, key: str, text: str) -> DataFrame:
+    """The same by the letters of any language (Unicode, without case). The condition is not pushed to the scan of ``dim``,
+    which is the small side."""
+    return notes if not text else notes.join(dim.where(F.collate("name", "UNICODE_CI") == F.lit(text)).select(key), key, "left_semi")
+
+
 def by_title(notes: DataFrame, text: str) -> DataFrame:
     return notes.where(F.lower("title").contains(text.lower()))
 

@@ -115,6 +115,7 @@ def run_offsets(runs: DataFrame, text_length: str | None = None, hot: bool | Non
 
 
 def sorted_notes(notes: DataFrame, by: str = "modified") -> DataFrame:
-    """By name (any case), last change (newest first) or creation (newest first); the id decides ties."""
-    order = {"name": F.lower("title").asc_nulls_last(), "modified": F.col("modified").desc_nulls_last(), "created": F.col("created").desc_nulls_last()}[by]
+    """By name (any case; ``collated``: in the order of dictionaries), last change (newest first) or creation (newest first);
+    the id decides ties."""
+    order = {"name": F.lower("title").asc_nulls_last(), "collated": F.collate("title", "UNICODE_CI").asc_nulls_last(), "modified": F.col("modified").desc_nulls_last(), "created": F.col("created").desc_nulls_last()}[by]
     return notes.orderBy(order, "note_id")

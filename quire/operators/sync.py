@@ -6,7 +6,7 @@ current ids, not against a filtered selection, and a path once given is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE_MICROS = 1000
@@ -82,10 +82,13 @@ def status(manifest: DataFrame) -> DataFrame:
     return manifest.agg((F.count("*") > 0).alias("found"), F.max("modified").alias("last_sync"), F.count("*").alias("tracked"))
 
 
+def stat_columns() -> dict[str, Column]:
+    """Aggregates of an export log of (status, failed_attachments): counts and success."""
+    n = lambda status: F.count_if(F.col("status") == status)
+    failed = F.coalesce(F.sum("failed_attachments"), F.lit(0))
+    return {"exported": n("completed"), "failed": n("failed"), "skipped": n("skipped"), "failed_attachments": failed, "success": n("failed") == 0}
+
+
 def run_stats(log: DataFrame) -> DataFrame:
-    """One row from an export log of (status, failed_attachments): counts and success."""
-    return log.agg(
-        F.count_if(F.col("status") == "completed").alias("exported"), F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count_if(F.col("status") == "skipped").alias("skipped"), F.coalesce(F.sum("failed_attachments"), F.lit(0)).alias("failed_attachments"),
-        (F.count_if(F.col("status") == "failed") == 0).alias("success"),
-    )
+    """One row of ``stat_columns``."""
+    return log.agg(*[c.alias(k) for k, c in stat_columns().items()])

@@ -207,6 +207,22 @@ def filter_title(d: Data) -> DataFrame:
     return X.by_title(d.notes, "THE").select("note_id", "title")
 
 
+@query("SELECT note_id, title FROM notes WHERE contains(lower(title), 'ther')", "notes")
+def filter_title_indexed(d: Data) -> DataFrame:
+    """The same kind of search through an index of three letters each."""
+    from quire.plans.io import scratch
+    from quire.sources import stored
+
+    path = scratch(d.spark, "titles")
+    stored.index_titles(d.notes, path)
+    return stored.search_titles(d.notes, path, "THER").select("note_id", "title")
+
+
+@query("SELECT n.note_id, n.account_id FROM notes n JOIN accounts a ON a.account_id = n.account_id WHERE lower(a.name) = 'europe'", "notes accounts")
+def filter_name_collated(d: Data) -> DataFrame:
+    return X.by_collated_name(d.notes, d.accounts, "account_id", "Europe").select("note_id", "account_id")
+
+
 @query("SELECT note_id, modified FROM notes WHERE modified > TIMESTAMP '2024-01-01 02:00:00' AND modified < TIMESTAMP '2024-01-01 20:00:00'", "notes")
 def filter_modified(d: Data) -> DataFrame:
     return X.between_strictly(d.notes, "modified", ts("2024-01-01 02:00:00"), ts("2024-01-01 20:00:00")).select("note_id", "modified")
@@ -318,6 +334,15 @@ def join_attachment_owner(d: Data) -> DataFrame:
     return joins.owned(_refs(d), d.attachments)
 
 
+@query(f"WITH {REFS} SELECT r.attachment_id, r.note_id FROM refs r WHERE EXISTS (SELECT 1 FROM attachments a WHERE a.attachment_id = r.attachment_id AND a.note_id = r.note_id AND NOT a.deleted)", "attachments")
+def join_attachment_owner_stored(d: Data) -> DataFrame:
+    """Both sides stored by attachment, and joined as they lie."""
+    from quire.sources import stored
+
+    refs = stored.store(_refs(d), "attachment_id", 8)
+    return stored.owned(refs, stored.store(d.attachments.select("attachment_id", "note_id", "deleted"), "attachment_id", 8))
+
+
 META = f"WITH {REFS} SELECT r.attachment_id, a.type, coalesce(m.filename, a.filename) AS filename FROM refs r LEFT JOIN attachments a ON a.attachment_id = r.attachment_id LEFT JOIN media m ON m.media_id = a.media_id"
 
 

@@ -68,6 +68,19 @@ def agg_dir_times(d: Data) -> DataFrame:
     return rows.groupingSets(sets, "account", "folder_path").agg(F.min("created").alias("created"), F.max("modified").alias("modified")).select("account", "folder_path", "created", "modified")
 
 
+@query(
+    """SELECT count(*) FILTER (status = 'completed') AS exported, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, CAST(sum(failed_attachments) AS BIGINT) AS failed_attachments,
+    count(*) FILTER (status = 'failed') = 0 AS success FROM export_log""",
+    "export_log",
+)
+def agg_export_stats_observed(d: Data) -> DataFrame:
+    """The same, taken while the log is written."""
+    from quire.sources.sinks import write_observed
+
+    seen = write_observed(d.export_log, scratch(d.spark, "log"), **sync.stat_columns())
+    return d.spark.createDataFrame([tuple(seen[k] for k in sync.stat_columns())], "exported long, failed long, skipped long, failed_attachments long, success boolean")
+
+
 @query(
     """SELECT count(*) FILTER (status = 'completed') AS exported, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, CAST(sum(failed_attachments) AS BIGINT) AS failed_attachments,
     count(*) FILTER (status = 'failed') = 0 AS success FROM export_log""",

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,14 @@ def write_partitioned(planned: DataFrame, path: str, parts: int | None = None) -
     rows.write.mode("overwrite").partitionBy("account", "folder_path").parquet(path)
 
 
+def write_observed(rows: DataFrame, path: str, **metrics: Column) -> dict:
+    """Write ``rows`` and take ``metrics`` (aggregates) of what is written, in one pass over them. A write that fails raises,
+    and has no metrics: none of its rows count."""
+    seen = Observation()
+    rows.observe(seen, *[m.alias(k) for k, m in metrics.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def concatenated(notes: DataFrame, separator: str = SEPARATOR) -> DataFrame:
     """(account, folder_path, content, notes): the texts of each folder in the order of their paths, failed ones (null) left out."""
     rows = F.sort_array(F.collect_list(F.struct("rel_path", "content")))

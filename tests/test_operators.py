@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire import plans, registry  # noqa: F401  plans fill the registry
-from quire.operators import hierarchy, links, paths, richtext, sync, tables
-from quire.sources import sinks, stores
+from quire.operators import filters, hierarchy, links, paths, richtext, sync, tables
+from quire.sources import sinks, stored, stores
 from quire.streaming import feed
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -299,3 +299,57 @@ def test_concatenated_texts_are_never_one_row(spark, capsys, monkeypatch):
         assert all(got[k] == digest(t) for k, t in whole.items() if digest(t)) and got.keys() == whole.keys()
     registry.QUERIES["sink_concat"](spark, "/root/testdata/sf0.001").explain()
     assert "MapInArrow" not in capsys.readouterr().out
+
+
+def test_stored_tables_are_joined_as_they_lie(spark, capsys):
+    refs = spark.range(2000).select(F.col("id").alias("attachment_id"), (F.col("id") % 7).alias("note_id"))
+    atts = spark.range(2000).select(F.col("id").alias("attachment_id"), (F.col("id") % 5).alias("note_id"), (F.col("id") % 11 == 0).alias("deleted"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = stored.store(refs, "attachment_id", 4), stored.store(atts, "attachment_id", 4)
+        got, meta = stored.owned(a, b), a.join(b.select("attachment_id", "deleted"), "attachment_id", "left")
+        for df in (got, meta):
+            df.explain()
+            plan = capsys.readouterr().out
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+        assert sorted(map(tuple, got.collect())) == sorted((i, i % 7) for i in range(2000) if i % 7 == i % 5 and i % 11)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_title_index(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["The cat", "ÄRGER", "the", "漢字かな", "é😀x", "", "ab", "abc", "Othello"]
+    rows = [(i, rng.choice([None, *[" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(8)]])) for i in range(500)]
+    notes = spark.createDataFrame(rows, "note_id long, title string").repartition(3)
+    path = f"file://{tmp_path}/i"
+    stored.index_titles(notes, path)
+    for text in ("the", "THE CAT", "ärger", "漢字か", "😀x", "zzz", "a", "", "hell", "thethe", "cat ab"):
+        got = {r.note_id for r in stored.search_titles(notes, path, text).collect()}
+        assert got == {i for i, t in rows if t is not None and text.lower() in t.lower()}, text
+    held, every = stored.files_read(spark, path, "zzz")
+    assert held == 0 and every >= 1 and stored.files_read(spark, path, "the")[0] >= 1
+
+
+def test_names_by_collation(spark):
+    dim = spark.createDataFrame([(1, "ÄRGER"), (2, "arger"), (3, "Straße"), (4, None)], "account_id long, name string")
+    notes = spark.createDataFrame([(i, i) for i in range(1, 5)], "note_id long, account_id long")
+    ids = lambda text: {r.note_id for r in filters.by_collated_name(notes, dim, "account_id", text).collect()}
+    assert ids("ärger") == {1} and ids("Arger") == {2} and ids("") == {1, 2, 3, 4} and ids("STRASSE") == filters_expected(spark)
+    named = spark.createDataFrame([(1, "zebra"), (2, "Äpfel"), (3, "apfel"), (4, None), (5, "Birne")], "note_id long, title string")
+    assert [r.note_id for r in paths.sorted_notes(named, "collated").collect()] == [3, 2, 5, 1, 4]
+
+
+def filters_expected(spark):
+    """What the collation itself says of a letter that grows in upper case."""
+    same = spark.sql("SELECT collate('Straße', 'UNICODE_CI') = 'STRASSE'").first()[0]
+    return {3} if same else set()
+
+
+def test_observed_writes(spark, tmp_path):
+    log = spark.createDataFrame([("completed", 1), ("failed", 2), ("skipped", None)], "status string, failed_attachments long")
+    seen = sinks.write_observed(log, f"file://{tmp_path}/log", **sync.stat_columns())
+    assert seen == sync.run_stats(log).first().asDict() and spark.read.parquet(f"file://{tmp_path}/log").count() == 3
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_observed(log.withColumn("x", F.raise_error(F.lit("broken"))), f"file://{tmp_path}/bad", n=F.count("*"))
