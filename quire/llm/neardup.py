@@ -44,6 +44,8 @@ ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 #: Cells in which occurrences of shingles are counted; cells of at most RARE count as equal. They only order shingles.
 CELLS, RARE = 1 << 20, 4
+#: Of the shingles that a text is met by, how many of the rarest each row brings along.
+SEEN = 64
 
 #: Bound on words that a Python worker remembers.
 MEMORY_WORDS = 150_000
@@ -276,20 +278,24 @@ def rest_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRE
     """Distinct pairs (a, b), a < b, of (id, codes) that can reach ``threshold`` and are not in one class of ``labels``.
 
     A key whose texts are all in one class is done. Elsewhere the texts outside of the key's largest class meet all texts
-    of the key, and thereby each pair of classes meets.
+    of the key, and thereby each pair of classes meets. A pair need only be made at the first key, in the order of rarity,
+    that both have: from there on there must be as many shingles in either as they need in common, and at a later key, where
+    one of the rarest (SEEN) of both stands before, it is not made again.
     """
     rows = rare_shingles(texts, threshold).join(labels, "id")
     rows = materialize(rows, "rare-shingles")
-    keyed = rows.select("id", "label", "n", "short", F.posexplode("keys").alias("at", "key"))
+    keyed = rows.select("id", "label", "n", "short", F.posexplode("keys").alias("at", "key"), F.slice("keys", 1, SEEN).alias("first"))
     parts = keyed.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.expr("at < short")).alias("opens"))
     several = parts.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels"), F.max("opens").alias("opens"))
-    met = materialize(keyed.join(several.where("labels > 1 AND opens").select("key", "main"), "key"), "met")
-    outside = met.where("label <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "short", "at")])
-    both = outside.join(met, "key").where("x_label <> label")
+    met = keyed.join(several.where("labels > 1 AND opens").select("key", "main"), "key")
+    met = materialize(met.withColumn("first", F.slice("first", 1, F.least("at", F.lit(SEEN)))), "met")
+    outside = met.where("label <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "short", "at", "first")])
+    # Where both are outside, one of the two is the one that meets.
+    both = outside.join(met, "key").where("x_label <> label AND (label = main OR x_id < id)")
     both = both.where(F.expr("IF(x_n <= n, x_at < x_short, true) AND IF(n <= x_n, at < short, true)"))
-    # Shingles from the shared one on, at most, must be as many as the two texts need in common.
     need = threshold / (1 + threshold) * (F.col("n") + F.col("x_n")) - 1e-6
-    both = both.where((F.least("n", "x_n") >= threshold * F.greatest("n", "x_n") - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) + F.least("at", "x_at") >= need))
+    both = both.where((F.least("n", "x_n") >= threshold * F.greatest("n", "x_n") - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) >= need))
+    both = both.where(~F.arrays_overlap("first", "x_first"))
     return both.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
 
 
