@@ -464,7 +464,21 @@ def render_runs(d: Data) -> DataFrame:
     return richtext.render(_rich(d)).select("note_id", F.length("html").cast("long").alias("n"), F.md5("html").alias("digest"))
 
 
-@query()
+LIST_TAGS = """CASE {} WHEN 100 THEN '<ul>' WHEN 101 THEN '<ul style=''list-style-type: square;''>' WHEN 102 THEN '<ol>' WHEN 103 THEN '<ul style=''list-style-type: none;''>' END"""
+STAYS = "(l.style_type >= 100 AND (e.indent < l.indent OR e.indent = l.indent AND e.kind = l.style_type))"
+LEVELS = f"""WITH RECURSIVE lines AS MATERIALIZED (SELECT note_id, i - 1 AS i, CASE WHEN i = 1 THEN 0 ELSE [100, 101, 102, 103, -1, -1, 4][(i - 1 + length(x)) % 7 + 1] END AS style_type, length(x) % 3 AS indent
+  FROM (SELECT doc_id AS note_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+  steps(note_id, seq, stack, closes, opens) AS (
+    SELECT DISTINCT note_id, CAST(-1 AS BIGINT), CAST([] AS STRUCT(kind BIGINT, indent BIGINT)[]), '', '' FROM lines
+    UNION ALL SELECT note_id, i, list_concat(stays, list_transform(range(low, indent + 1), lambda k: {{'kind': style_type, 'indent': k}})),
+      array_to_string(list_transform(list_reverse(gone), lambda e: CASE e.kind WHEN 102 THEN '</ol>' ELSE '</ul>' END), ''), coalesce(repeat({LIST_TAGS.format("style_type")}, greatest(0, indent + 1 - low)), '')
+    FROM (SELECT *, CASE WHEN style_type < 100 THEN indent + 1 WHEN len(stays) = 0 THEN 0 ELSE stays[-1].indent + 1 END AS low FROM (
+      SELECT l.note_id, l.i, CAST(l.style_type AS BIGINT) AS style_type, CAST(l.indent AS BIGINT) AS indent, list_filter(s.stack, lambda e: {STAYS}) AS stays, list_filter(s.stack, lambda e: NOT {STAYS}) AS gone
+      FROM steps s JOIN lines l ON l.note_id = s.note_id AND l.i = s.seq + 1)))
+  SELECT note_id, CAST(seq AS INTEGER) AS seq, CAST(len(stack) AS INTEGER) AS depth, closes, opens FROM steps WHERE seq >= 0"""
+
+
+@query(LEVELS)
 def list_levels(d: Data) -> DataFrame:
     return richtext.list_levels(_rich(d)).select("note_id", F.posexplode("levels").alias("seq", "l")).select("note_id", "seq", "l.depth", "l.closes", "l.opens")
 
