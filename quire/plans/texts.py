@@ -459,11 +459,6 @@ def _rich(d: Data) -> DataFrame:
     return d.documents.select(F.col("doc_id").alias("note_id"), "text", F.transform(lines, run).alias("runs"))
 
 
-@query()
-def render_runs(d: Data) -> DataFrame:
-    return richtext.render(_rich(d)).select("note_id", F.length("html").cast("long").alias("n"), F.md5("html").alias("digest"))
-
-
 LIST_TAGS = """CASE {} WHEN 100 THEN '<ul>' WHEN 101 THEN '<ul style=''list-style-type: square;''>' WHEN 102 THEN '<ol>' WHEN 103 THEN '<ul style=''list-style-type: none;''>' END"""
 STAYS = "(l.style_type >= 100 AND (e.indent < l.indent OR e.indent = l.indent AND e.kind = l.style_type))"
 LEVELS = f"""WITH RECURSIVE lines AS MATERIALIZED (SELECT note_id, i - 1 AS i, CASE WHEN i = 1 THEN 0 ELSE [100, 101, 102, 103, -1, -1, 4][(i - 1 + length(x)) % 7 + 1] END AS style_type, length(x) % 3 AS indent
@@ -478,6 +473,43 @@ LEVELS = f"""WITH RECURSIVE lines AS MATERIALIZED (SELECT note_id, i - 1 AS i, C
   SELECT note_id, CAST(seq AS INTEGER) AS seq, CAST(len(stack) AS INTEGER) AS depth, closes, opens FROM steps WHERE seq >= 0"""
 
 
+_ESCAPED = "replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+_FLUSHED = "CASE WHEN open AND length(regexp_replace(item, '^\\s+|\\s+$', '', 'g')) > 2 THEN html || '<li>' || item || '</li>' ELSE html END"
+_CLOSING = "array_to_string(list_transform(list_reverse({}), lambda e: CASE e.kind WHEN 102 THEN '</ol>' ELSE '</ul>' END), '')"
+_PRE = richtext.PRE.replace("'", "''")
+#: Runs are merged by islands, then a recursive walk carries the page, the open lists and the open item from run to run.
+RENDERED = f"""WITH RECURSIVE lines AS (SELECT note_id, i - 1 AS i, x || CASE WHEN i < n THEN chr(10) ELSE '' END AS t, CASE WHEN i = 1 THEN 0 ELSE [100, 101, 102, 103, -1, -1, 4][(i - 1 + length(x)) % 7 + 1] END AS style_type,
+    length(x) % 3 AS indent, length(x) % 2 AS done, (i - 1) % 4 AS weight, length(x) % 5 = 0 AS strike, length(x) % 11 = 0 AS link, length(x) % 17 = 0 AS att
+  FROM (SELECT doc_id AS note_id, unnest(l) AS x, generate_subscripts(l, 1) AS i, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+  marked AS (SELECT *, CASE WHEN NOT att AND NOT lag(att) OVER w AND (style_type, indent, done, weight, strike, link) = (lag(style_type) OVER w, lag(indent) OVER w, lag(done) OVER w, lag(weight) OVER w, lag(strike) OVER w, lag(link) OVER w)
+    THEN 0 ELSE 1 END AS new FROM lines WINDOW w AS (PARTITION BY note_id ORDER BY i)),
+  islands AS (SELECT *, sum(new) OVER (PARTITION BY note_id ORDER BY i) AS g FROM marked),
+  raw AS (SELECT note_id, g, string_agg(t, '' ORDER BY i) AS t, min(i) AS i, any_value(style_type) AS style_type, any_value(indent) AS indent, any_value(done) AS done, any_value(weight) AS weight, any_value(strike) AS strike,
+    any_value(link) AS link, bool_or(att) AS att FROM islands GROUP BY note_id, g),
+  runs AS MATERIALIZED (SELECT note_id, CAST(g AS BIGINT) AS g, CAST(style_type AS BIGINT) AS style_type, CAST(indent AS BIGINT) AS indent, CASE WHEN att THEN '<span data-attachment-id="id-' || i || '" data-attachment-type="public.jpeg">&#xFFFC;</span>' ELSE {_ESCAPED} END AS text,
+    CASE WHEN weight IN (1, 3) THEN '<b>' ELSE '' END || CASE WHEN weight IN (2, 3) THEN '<i>' ELSE '' END || CASE WHEN strike THEN '<s>' ELSE '' END || CASE WHEN link THEN '<a href=''https://example.com/a?b=1&amp;c''>' ELSE '' END AS before,
+    CASE WHEN link THEN '</a>' ELSE '' END || CASE WHEN strike THEN '</s>' ELSE '' END || CASE WHEN weight IN (2, 3) THEN '</i>' ELSE '' END || CASE WHEN weight IN (1, 3) THEN '</b>' ELSE '' END AS behind,
+    CASE WHEN style_type <> 103 THEN '' WHEN done <> 0 THEN '☑ ' ELSE '☐ ' END AS mark FROM raw),
+  walk(note_id, g, html, stack, item, open) AS (
+    SELECT DISTINCT note_id, CAST(0 AS BIGINT), '<html><body>', CAST([] AS STRUCT(kind BIGINT, indent BIGINT)[]), '', false FROM runs
+    UNION ALL SELECT note_id, g,
+      CASE WHEN style_type >= 100 THEN CASE WHEN closes <> '' THEN {_FLUSHED} ELSE html END || closes || opens || array_to_string(list_transform(parts[:-2], lambda p, k: '<li>' || CASE WHEN k = 1 THEN begun ELSE mark END || CASE WHEN p <> '' THEN before || p || behind ELSE '' END || '</li>'), '')
+        ELSE {_FLUSHED} || closes || CASE style_type WHEN 0 THEN '<h1>' WHEN 4 THEN '{_PRE}' ELSE '' END || before || replace(text, chr(10), '<br>') || behind || CASE style_type WHEN 0 THEN '</h1>' WHEN 4 THEN '</pre>' ELSE '' END END,
+      list_concat(stays, list_transform(range(low, indent + 1), lambda k: {{'kind': style_type, 'indent': k}})),
+      CASE WHEN style_type < 100 THEN '' WHEN parts[-1] <> '' THEN CASE WHEN len(parts) > 1 THEN mark ELSE begun END || before || parts[-1] || behind WHEN len(parts) > 1 THEN '' ELSE item END,
+      CASE WHEN style_type < 100 THEN false WHEN parts[-1] <> '' THEN true WHEN len(parts) > 1 THEN false ELSE open END
+    FROM (SELECT *, {_CLOSING.format("gone")} AS closes, coalesce(repeat({LIST_TAGS.format("style_type")}, greatest(0, indent + 1 - low)), '') AS opens, string_split(text, chr(10)) AS parts, CASE WHEN open THEN item ELSE mark END AS begun FROM (
+      SELECT *, CASE WHEN style_type < 100 THEN indent + 1 WHEN len(stays) = 0 THEN 0 ELSE stays[-1].indent + 1 END AS low FROM (
+        SELECT l.*, w.html, w.item, w.open, list_filter(w.stack, lambda e: {STAYS}) AS stays, list_filter(w.stack, lambda e: NOT {STAYS}) AS gone FROM walk w JOIN runs l ON l.note_id = w.note_id AND l.g = w.g + 1)))),
+  done AS (SELECT note_id, {_FLUSHED} || {_CLOSING.format("stack")} || '</body></html>' AS page FROM walk QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY g DESC) = 1)
+  SELECT note_id, CAST(length(page) AS BIGINT) AS n, md5(page) AS digest FROM done"""
+
+
+@query(RENDERED)
+def render_runs(d: Data) -> DataFrame:
+    return richtext.render(_rich(d)).select("note_id", F.length("html").cast("long").alias("n"), F.md5("html").alias("digest"))
+
+
 @query(LEVELS)
 def list_levels(d: Data) -> DataFrame:
     return richtext.list_levels(_rich(d)).select("note_id", F.posexplode("levels").alias("seq", "l")).select("note_id", "seq", "l.depth", "l.closes", "l.opens")
