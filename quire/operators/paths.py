@@ -64,12 +64,12 @@ def allocate(notes: DataFrame, ext: str = "md", reserved: DataFrame | None = Non
     islands = running.Ordered(numbers, keys, ["_k"], hot).before("_i", F.lit(1)).done().select(*keys, (F.col("_k") - F.col("_i") - 2).alias("_j"))
     islands = islands.groupBy(*keys, "_j").agg(F.count("*").alias("_n"))
     row = F.struct(*[F.col(c) for c in cols])
-    events = ranked.where("_j > 0").select(*keys, "_j", F.lit(0).alias("_type"), F.lit(0).cast("long").alias("_n"), F.col("note_id").alias("_id"), row.alias("_row"))
+    events = ranked.select(*keys, "_j", F.lit(0).alias("_type"), F.lit(0).cast("long").alias("_n"), row.alias("_row"))
     events = events.unionByName(islands.withColumn("_type", F.lit(1)), allowMissingColumns=True)
-    passed = running.Ordered(events, keys, ["_j", "_type"], hot).before("_skip", F.col("_n")).done().where("_type = 0")
-    suffixed = passed.select("_row.*", "_f", F.concat("_base", F.lit(" ("), (F.col("_j") + 1 + F.col("_skip")).cast("string"), F.lit(f"){end}")).alias("filename"))
-    plain = ranked.where("_j = 0").select(*cols, "_f", F.concat("_base", F.lit(end)).alias("filename"))
-    out = plain.unionByName(suffixed).select(*cols, "filename", F.when(F.col("_f") == "", F.col("filename")).otherwise(F.concat_ws("/", "_f", "filename")).alias("rel_path"))
+    placed = running.Ordered(events, keys, ["_j", "_type"], hot).before("_skip", F.col("_n")).done().where("_type = 0")
+    number = F.when(F.col("_j") == 0, "").otherwise(F.concat(F.lit(" ("), (F.col("_j") + 1 + F.col("_skip")).cast("string"), F.lit(")")))
+    out = placed.select("_row.*", "_f", F.concat("_base", number, F.lit(end)).alias("filename"))
+    out = out.select(*cols, "filename", F.when(F.col("_f") == "", F.col("filename")).otherwise(F.concat_ws("/", "_f", "filename")).alias("rel_path"))
     if kept is not None:
         out = out.unionByName(kept.select(*cols, F.regexp_extract("_path", PARTS, 2).alias("filename"), F.col("_path").alias("rel_path")))
     return out
