@@ -30,7 +30,7 @@ from quire.llm.common import discard, materialize, written
 from quire.llm.worker import blocks, memory
 
 #: Pieces, and their characters, that a worker remembers between blocks of text.
-CACHE_PIECES, CACHE_CHARS = 300_000, 12 << 20
+CACHE_PIECES, CACHE_CHARS = 400_000, 16 << 20
 #: Different pairs up to which their counts are broadcast (17 bytes each), and that a task sums up before it hands them on.
 BROADCAST_PAIRS, TASK_PAIRS = 4_000_000, 500_000
 #: Rows of links that are looked at in one go.
@@ -64,8 +64,10 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.b_size = len(pieces)
-        #: Whether no token of B goes on into a new word, and A has its words begin at spaces: then texts can be cut there.
         way = json.loads(a_json)["pre_tokenizer"] or {}
+        #: With a token for every byte and nothing rewritten, A gives back any text.
+        self.lossless = way.get("type") == "ByteLevel" and not way.get("add_prefix_space") and self.a.normalizer is None and len({t for t in self.a_bytes if len(t) == 1}) == 256
+        #: Whether no token of B goes on into a new word, and A has its words begin at spaces: then texts can be cut there.
         self.cuts = way.get("type") == "ByteLevel" and way.get("use_regex", True) and not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
     def pieces(self, text: str) -> list[str]:
@@ -82,7 +84,7 @@ class Aligner:
         same = []
         for p, x, y in zip(pieces, a, b, strict=True):
             raw = p.encode()
-            same.append(b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y)))
+            same.append(b"".join(map(self.b_bytes.__getitem__, y)) == raw and (self.lossless or b"".join(map(self.a_bytes.__getitem__, x)) == raw))
         return a, b, same
 
     def align(self, pieces: list[str]) -> Aligned:
