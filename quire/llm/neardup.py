@@ -167,21 +167,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (id, sketches): distinct pairs (a, b), a < b, to be tried, and (key, id) of the members of large buckets."""
+    """Of (id, sketches): distinct pairs (a, b), a < b, to be tried, and (id, keys) of the members of large buckets: a row for
+    each text, with the keys of its large buckets (SKETCHES at most)."""
     keyed = firsts.select("id", F.inline(F.transform("sketches", lambda s, j: F.struct(F.xxhash64(j, s).alias("key")))))
     sizes = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = keyed.join(sizes, "key")
     star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     few = members.where(f"n > 2 AND n <= {SMALL}").select("key", "id")
     pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
-    return star.unionByName(pairs).distinct(), members.where(f"n > {SMALL}").select("key", "id")
+    return star.unionByName(pairs).distinct(), members.where(f"n > {SMALL}").groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
 def hub_candidates(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """Distinct pairs (a, b), a < b: each member of a large bucket outside of its largest class with one of that class.
     After the first turn only in buckets that one class holds a good part of: members of others have a frequent passage
     in common and little else."""
-    rows = members.join(labels, "id")
+    # A text meets its label once, not once for each bucket; what comes of it is read twice.
+    rows = materialize(members.join(labels, "id").select("id", "label", F.explode("keys").alias("key")), "bucket-labels")
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("hub"))
     mains = parts.groupBy("key").agg(F.max(F.struct("n", "label", "hub")).alias("main"), F.sum("n").alias("n")).where(f"main.n < n AND main.n >= {HUB_SHARE if turn else 0} * n")
     apart = rows.join(mains.select("key", "main.label", "main.hub").toDF("key", "main", "hub"), "key").where("label <> main")

@@ -407,6 +407,21 @@ def test_pairs_that_share_a_passage(spark):
     assert all(got[i] == i == got[1000 + i] for i in range(200))
 
 
+def test_a_text_meets_its_label_once(spark):
+    """Members of large buckets are a row a text, however many buckets it is in; hub pairs are those of every bucket."""
+    n = neardup.SMALL + 14
+    rows = [(i, [j if i < n - j else -1 - i for j in range(neardup.SKETCHES)]) for i in range(n)]  # bucket j holds the first n - j
+    _, large = neardup.candidates(spark.createDataFrame(rows, "id long, sketches array<long>"))
+    got = {r.id: r["keys"] for r in large.collect()}
+    assert large.count() == len(got) == n
+    assert {i: len(set(k)) for i, k in got.items()} == {i: len(k) for i, k in got.items()} == {i: min(neardup.SKETCHES, n - i) for i in range(n)}
+    label = {i: 0 if i < 12 else i for i in range(n)}
+    pairs = neardup.hub_candidates(large, spark.createDataFrame(list(label.items()), "id long, label long"), 0)
+    assert pairs.columns == ["a", "b"]
+    met = [(r.a, r.b) for r in pairs.collect()]
+    assert len(set(met)) == len(met) and {b for _, b in met} == set(range(12, n)) and {a for a, _ in met} <= set(range(12))
+
+
 def test_shards_depend_on_the_rows_alone(spark, tmp_path, monkeypatch):
     """Many shards, rows in other partitions, a hot payload and skewed ids: the same files, and every row comes back."""
     monkeypatch.setattr(warc, "SHARD_BYTES", 500)
