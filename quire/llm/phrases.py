@@ -10,7 +10,10 @@ pruned work follows the frequent phrases, and the counts are those of all texts.
 
 from __future__ import annotations
 
+import gc
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ UNKNOWN_LANG = "und"
 MAX_WORDS, LEAST, COVERED_PERCENT, TOP = 3, 10, 50, 2000
 #: Entries of a container before it bursts, of a trie before subtrees leave it, and words that a task remembers.
 BURST, MOST_ENTRIES, MOST_WORDS = 4_096, 1_200_000, 500_000
+#: Occurrences that a task gathers before it adds them to its trie in one go.
+GATHERED = 500_000
 #: Parts that the phrases of one prefix are dealt out to; bits of a filter for each phrase in it, and bits at most.
 SPLITS, FILTER_BITS, MOST_FILTER_BITS = 64, 16, 1 << 27
 #: Bytes to themselves but for letters to lower case, separators to a full stop, and the tab to a space.
@@ -65,15 +70,17 @@ class HatTrie:
         for a, b in zip(starts, [*starts[1:], len(keys)], strict=False):
             first = int(firsts[a])
             at = self.root.get(first)
-            if at is None:
-                at = self.root[first] = {}
             if isinstance(at, list):
                 self._add_below(at[0], rest[a:b], n[a:b])
                 continue
-            before = len(at)
-            for k, c in zip(rest[a:b], n[a:b], strict=True):
-                at[k] = at.get(k, 0) + c
-            self.entries += len(at) - before
+            if at is None:
+                at = self.root[first] = dict(zip(rest[a:b], n[a:b], strict=True))
+                self.entries += len(at)
+            else:
+                before = len(at)
+                for k, c in zip(rest[a:b], n[a:b], strict=True):
+                    at[k] = at.get(k, 0) + c
+                self.entries += len(at) - before
             if len(at) > BURST and self.words > 2:
                 self.root[first] = [self._burst(at)]
 
@@ -120,28 +127,31 @@ class HatTrie:
             self.flat, self.entries = np.zeros(0, np.int64), 0
             return keys, counts
         shift, low = ID_BITS * (self.words - 1), ID_BITS * (self.words - 2)
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        heads, parts = [], []
         for f in list(self.root) if firsts is None else firsts:
             at = self.root.pop(f)
             for w, part in [(0, at)] if isinstance(at, dict) else at[0].items():
-                keys.append(np.fromiter(part, np.int64, len(part)) | (f << shift | w << low))
-                counts.append(np.fromiter(part.values(), np.int64, len(part)))
-                self.entries -= len(part)
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *keys]), np.concatenate([none, *counts])
+                heads.append(f << shift | w << low)
+                parts.append(part)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        total = int(sizes.sum())
+        self.entries -= total
+        keys = np.fromiter(chain.from_iterable(parts), np.int64, total) | np.repeat(np.array(heads, np.int64), sizes)
+        return keys, np.fromiter(chain.from_iterable(map(dict.values, parts)), np.int64, total)
 
 
 class _Words(dict):
     """Ids of one language's words; 0 for a break and for words that the filter does not have."""
 
-    def __init__(self, lang: str, names: list, hashes: list[int], bits: np.ndarray | None):
-        self.lang, self.names, self.hashes, self.bits = lang, names, hashes, bits
+    def __init__(self, lang: str, names: list, hashes: array, bits: np.ndarray | None):
+        self.lang, self.names, self.hashes = lang, names, hashes
+        #: By bytes, of which plain Python takes one out faster.
+        self.bits = None if bits is None else bits.astype("<u8", copy=False).tobytes()
         self[BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(self.lang, word)
-        if self.bits is not None and not self.bits[(h % (len(self.bits) * 64)) >> 6] >> np.uint64(h & 63) & np.uint64(1):
+        if self.bits is not None and not self.bits[(h % (len(self.bits) * 8)) >> 3] >> (h & 7) & 1:
             self[word] = 0
             return 0
         self[word] = n = len(self.names)
@@ -174,8 +184,16 @@ def counted(df: DataFrame, n: int, words: Broadcast | None = None, parts: Broadc
     names = ["cell", "lang", "phrase", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here refers to itself, and a search of all containers for what does takes a quarter of the time
+        try:
+            yield from task(batches)
+        finally:
+            gc.enable()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, part_bits = (None if b is None else b.value for b in (words, parts))
-        trie, ids, known, hashes = HatTrie(n), {}, [(None, b"")], [0]
+        trie, ids, known, hashes = HatTrie(n), {}, [(None, b"")], array("Q", [0])
+        gathered: list[np.ndarray] = []
 
         def runs(firsts: list[int] | None = None) -> Iterator[pa.RecordBatch]:
             """A sorted run: by language, then word by word. ``cell`` is the prefix's partition, and the part of it."""
@@ -189,7 +207,7 @@ def counted(df: DataFrame, n: int, words: Broadcast | None = None, parts: Broadc
             lang_rank = langs.dictionary_encode()
             code = np.argsort(np.argsort(np.array(lang_rank.dictionary.to_pylist(), object)))[lang_rank.indices.fill_null(0).to_numpy(zero_copy_only=False)]
             order = np.lexsort([*[rank[c] for c in reversed(cols)], code[cols[0]]])
-            h = np.array(hashes, np.uint64)
+            h = np.frombuffer(hashes, np.uint64).copy()
             for at in range(0, len(order), 50_000):
                 part = order[at : at + 50_000]
                 ws = [texts.take(pa.array(c[part])) for c in cols]
@@ -205,14 +223,20 @@ def counted(df: DataFrame, n: int, words: Broadcast | None = None, parts: Broadc
             whole = np.logical_and.reduce([c > 0 for c in cols])
             cols = [c[whole] for c in cols]
             if part_bits is not None and len(cols[0]):
-                h = np.array(hashes, np.uint64)
+                h = np.frombuffer(hashes, np.uint64).copy()
                 hs = [h[c] for c in cols]
                 good = _has(part_bits, phrase_hash(hs[:-1])) & _has(part_bits, phrase_hash(hs[1:]))
                 cols = [c[good] for c in cols]
             key = cols[0]
             for c in cols[1:]:
                 key = key << ID_BITS | c
-            trie.add(*np.unique(key, return_counts=True))
+            gathered.append(key)
+
+        def settle() -> None:
+            """What was gathered goes to the trie, in which a first word of many texts is looked up once."""
+            if gathered:
+                trie.add(*np.unique(np.concatenate(gathered), return_counts=True))
+                gathered.clear()
 
         for big in batches:
             for batch in blocks(big, "text", BLOCK_BYTES):
@@ -228,11 +252,16 @@ def counted(df: DataFrame, n: int, words: Broadcast | None = None, parts: Broadc
                             table = ids[lang] = _Words(lang, known, hashes, bits)
                         add(table, tokens[start : start + SLICE + n - 1])
                         if len(known) > MOST_WORDS or sum(map(len, ids.values())) > 2 * MOST_WORDS:
+                            settle()
                             yield from runs()
-                            ids.clear(), known.clear(), hashes.clear()
-                            known.append((None, b"")), hashes.append(0)
-                        elif trie.entries > MOST_ENTRIES:
-                            yield from runs(trie.coldest(trie.entries // 2))
+                            ids.clear(), known.clear()
+                            known.append((None, b""))
+                            del hashes[1:]
+                        elif sum(map(len, gathered)) > GATHERED:
+                            settle()
+                            if trie.entries > MOST_ENTRIES:
+                                yield from runs(trie.coldest(trie.entries // 2))
+        settle()
         yield from runs()
 
     merged = rows.mapInArrow(run, "cell int, lang string, phrase string, n long").repartition("cell")

@@ -1,10 +1,12 @@
 """Collocations against a plain count, and the trie against a dictionary."""
 
 import collections
+import gc
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import phrases
@@ -68,3 +70,29 @@ def test_trie(monkeypatch):
     assert len(got) >= len(want) // 2 and trie.entries == len(want) - len(got)
     got |= packed(*trie.spill())
     assert got == dict(want) and not trie.entries
+
+
+def test_a_task_adds_to_its_trie_in_one_go(spark, monkeypatch):
+    """Blocks and languages are gathered before they meet the trie; small bounds give the same counts in more runs."""
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *args: setattr(self, "run", args[0]) or self if name == "mapInArrow" else self
+
+    texts = [("de" if i % 2 else "en", " ".join(f"w{(i * k) % 17}" for k in range(1, 60)).encode()) for i in range(80)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([g for g, _ in part]), pa.array([t for _, t in part], pa.binary())], names=["lang", "text"]) for part in (texts[:30], texts[30:])]
+    adds, add, bounds = [], phrases.HatTrie.add, ((phrases.GATHERED, phrases.MOST_ENTRIES), (100, 50))
+    monkeypatch.setattr(phrases.HatTrie, "add", lambda self, keys, counts: adds.append(len(keys)) or add(self, keys, counts))
+    for n in (1, 2, 3):
+        want = collections.Counter((g, " ".join(w)) for g, t in texts for w in zip(*[t.decode().split()[k:] for k in range(n)], strict=False))
+        for gathered, entries in bounds:
+            monkeypatch.setattr(phrases, "GATHERED", gathered)
+            monkeypatch.setattr(phrases, "MOST_ENTRIES", entries)
+            frame, got = Frame(), collections.Counter()
+            adds.clear()
+            phrases.counted(frame, n)
+            for b in frame.run(iter(batches)):
+                for g, p, c in zip(*(b.column(x).to_pylist() for x in ("lang", "phrase", "n")), strict=True):
+                    got[g, p] += c
+            assert got == want and gc.isenabled()
+            assert len(adds) == 1 if gathered > 100 else len(adds) > 1
