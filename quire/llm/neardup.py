@@ -12,7 +12,8 @@ bucket's largest class, drawn anew each time, so that a large class gathers what
 the bucket and not with its square. Those that are still apart go through an exact join on their shingles, the rarest
 first: as many of each text as any text that is alike must share one of (a prefix filter). Pairs within a class are not
 tried, and candidates are verified a few for each text at a time, so that most of a class is joined before the rest of
-its pairs come up, and need not.
+its pairs come up, and need not. Neither these pairs nor those of hubs are made where the texts' parity bits differ in more
+places than texts alike may differ in shingles (an exact filter: two texts differ in at least as many shingles as bits).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import string
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 #: Cells in which occurrences of shingles are counted; cells of at most RARE count as equal. They only order shingles.
 CELLS, RARE = 1 << 20, 4
+#: Parity bits of a text, a multiple of 64; where texts are so long that most bits say nothing, the filter lets them pass.
+BITS = 1024
 #: Of the shingles that a text is met by, how many of the rarest each row brings along.
 SEEN = 64
 
@@ -111,6 +116,19 @@ def sketches(codes: np.ndarray) -> list[int]:
     return out
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit numbers: each is one where an odd number of labelled shingles fall."""
+    return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_be_alike(a: tuple[str, str], b: tuple[str, str], threshold: float) -> Column:
+    """Whether texts can reach ``threshold`` by the columns of their numbers of shingles and parity bits. Each shingle that only one
+    of them has turns one bit, so they have as many of these as bits that differ at least."""
+    (n, x), (m, y) = ((F.col(k), F.col(bits)) for k, bits in (a, b))
+    differ = reduce(add, (F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(BITS // 64)))
+    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-6) & (differ <= (n + m) * (1 - 2 * threshold / (1 + threshold)) + 1e-6)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Labelled shingles that the alignment of two texts has in common, over those of either; 0 if below ``threshold``.
 
@@ -178,16 +196,20 @@ def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return star.unionByName(pairs).distinct(), members.where(f"n > {SMALL}").groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
-def hub_candidates(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def hub_candidates(members: DataFrame, labels: DataFrame, turn: int, threshold: float | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b: each member of a large bucket outside of its largest class with one of that class.
     After the first turn only in buckets that one class holds a good part of: members of others have a frequent passage
-    in common and little else."""
+    in common and little else. With ``threshold``, members have ``n`` and ``bits`` too (see ``tried_texts``), and pairs that
+    cannot reach it are left out."""
+    text = F.struct("id", *(["n", "bits"] if threshold is not None else [])).alias("text")
     # A text meets its label once, not once for each bucket; what comes of it is read twice.
-    rows = materialize(members.join(labels, "id").select("id", "label", F.explode("keys").alias("key")), "bucket-labels")
-    parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("hub"))
+    rows = materialize(members.join(labels, "id").select(text, "label", F.explode("keys").alias("key")), "bucket-labels")
+    parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("text", F.xxhash64(F.lit(turn), "text.id")).alias("hub"))
     mains = parts.groupBy("key").agg(F.max(F.struct("n", "label", "hub")).alias("main"), F.sum("n").alias("n")).where(f"main.n < n AND main.n >= {HUB_SHARE if turn else 0} * n")
     apart = rows.join(mains.select("key", "main.label", "main.hub").toDF("key", "main", "hub"), "key").where("label <> main")
-    return apart.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    if threshold is not None:
+        apart = apart.where(may_be_alike(("text.n", "text.bits"), ("hub.n", "hub.bits"), threshold))
+    return apart.select(F.least("text.id", "hub.id").alias("a"), F.greatest("text.id", "hub.id").alias("b")).distinct()
 
 
 def packed(text: str | None) -> bytes:
@@ -201,7 +223,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def tried_texts(pairs: DataFrame, large: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, codes, large) of the texts in pairs; ``large`` for those in large buckets, which are in pairs all."""
+    """(id, large, n, bits, codes) of the texts in pairs: ``large`` for those in large buckets, which are in pairs all; number and
+    parity bits of shingles."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("large")).unionByName(large.select("id", F.lit(True).alias("large")))
     # The ids grow with the corpus, so they are never broadcast, also where they are few.
     all_texts = keyed_texts(docs, id_col, text_col).select("id", "text").hint("shuffle_merge")
@@ -209,10 +232,14 @@ def tried_texts(pairs: DataFrame, large: DataFrame, docs: DataFrame, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in blocks(whole, "text")):
-            codes = pa.array([packed(t) for t in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("large"), codes], names=["id", "large", "codes"])
+            codes = [packed(t) for t in b.column("text").to_pylist()]
+            # Only members of large buckets are asked for their bits.
+            found = [labelled(unpacked(c)) if wanted else None for c, wanted in zip(codes, b.column("large").to_pylist(), strict=True)]
+            n = pa.array([None if s is None else len(s) for s in found], pa.int64())
+            bits = pa.array([None if s is None else parity(s) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("large"), n, bits, pa.array(codes, pa.binary())], names=["id", "large", "n", "bits", "codes"])
 
-    return materialize(tried.mapInArrow(run, "id long, large boolean, codes binary"), "texts")
+    return materialize(tried.mapInArrow(run, "id long, large boolean, n long, bits array<long>, codes binary"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -254,7 +281,8 @@ def least_sizes(n: int, threshold: float) -> tuple[int, int]:
 
 
 def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
-    """(id, n: shingles of the text, short: rarest ones to meet texts that are not shorter, keys: the rarest in order)."""
+    """(id, n: shingles of the text, bits: their parity, short: rarest ones to meet texts that are not shorter, keys: the rarest in
+    order)."""
     shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))  # CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,12 +296,12 @@ def rare_shingles(texts: DataFrame, threshold: float) -> DataFrame:
                 s = labelled(codes)
                 short, most = least_sizes(len(s), threshold)
                 order = np.lexsort((s, counts[(s % np.uint64(CELLS)).astype(np.int64)]))[:most]
-                rows.append((i, len(s), short, s[order].view(np.int64)))
-            ids, sizes, shorts, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
-            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shorts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "short", "keys"])
+                rows.append((i, len(s), parity(s), short, s[order].view(np.int64)))
+            ids, sizes, bits, shorts, keys = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(shorts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "bits", "short", "keys"])
 
-    return texts.select("id", "codes").mapInArrow(run, "id long, n long, short long, keys array<long>")
+    return texts.select("id", "codes").mapInArrow(run, "id long, n long, bits array<long>, short long, keys array<long>")
 
 
 def rest_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -286,17 +314,18 @@ def rest_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRE
     """
     rows = rare_shingles(texts, threshold).join(labels, "id")
     rows = materialize(rows, "rare-shingles")
-    keyed = rows.select("id", "label", "n", "short", F.posexplode("keys").alias("at", "key"), F.slice("keys", 1, SEEN).alias("first"))
+    keyed = rows.select("id", "label", "n", "bits", "short", F.posexplode("keys").alias("at", "key"), F.slice("keys", 1, SEEN).alias("first"))
     parts = keyed.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.expr("at < short")).alias("opens"))
     several = parts.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels"), F.max("opens").alias("opens"))
     met = keyed.join(several.where("labels > 1 AND opens").select("key", "main"), "key")
     met = materialize(met.withColumn("first", F.slice("first", 1, F.least("at", F.lit(SEEN)))), "met")
-    outside = met.where("label <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "short", "at", "first")])
+    outside = met.where("label <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "bits", "short", "at", "first")])
     # Where both are outside, one of the two is the one that meets.
     both = outside.join(met, "key").where("x_label <> label AND (label = main OR x_id < id)")
     both = both.where(F.expr("IF(x_n <= n, x_at < x_short, true) AND IF(n <= x_n, at < short, true)"))
     need = threshold / (1 + threshold) * (F.col("n") + F.col("x_n")) - 1e-6
-    both = both.where((F.least("n", "x_n") >= threshold * F.greatest("n", "x_n") - 1e-6) & (F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) >= need))
+    both = both.where(F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) >= need)
+    both = both.where(may_be_alike(("n", "bits"), ("x_n", "x_bits"), threshold))
     both = both.where(~F.arrays_overlap("first", "x_first"))
     return both.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
 
@@ -374,8 +403,9 @@ def with_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = found
     if large.head(1):
         labels = materialize(texts.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+        members = materialize(large.join(texts.where("large").select("id", "n", "bits"), "id"), "members")
         for turn in range(HUB_ROUNDS):
-            before, labels = labels, merged(labels, verified(hub_candidates(large, labels, turn), texts, threshold))
+            before, labels = labels, merged(labels, verified(hub_candidates(members, labels, turn, threshold), texts, threshold))
             if labels is before:  # nobody found its class
                 break
         rest = materialize(rest_candidates(texts.where("large"), labels, threshold), "rest")

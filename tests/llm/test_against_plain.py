@@ -16,6 +16,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import ann, bpe, fingerprint, mixing, neardup, queries, rollup, secrets, toxicity, warc
@@ -214,6 +215,65 @@ def test_large_groups_stay_whole(spark):
     assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == plain_classes(texts)
 
 
+def edited_copies(n, edits, seed=11):
+    """Copies of one text of 104 words, each with words of its own at some places: most copies are alike the text, not each other."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(104)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for j, at in enumerate(rng.sample(range(8, 96, 8), edits)):
+            t[at] = f"own{i}x{j}"
+        out.append(neardup.word_codes(" ".join(t)))
+    return out
+
+
+def test_pairs_that_cannot_be_alike_are_not_made(spark):
+    codes = [neardup.unpacked((c ^ (c >> np.uint64(32))).astype(np.uint32).tobytes()) for c in edited_copies(120, 2)]
+    alike = {(a, b) for a in range(120) for b in range(a + 1, 120) if neardup.similarity(codes[a], codes[b])}
+    texts = spark.createDataFrame([(i, bytearray(c.astype(np.uint32).tobytes())) for i, c in enumerate(codes)], "id long, codes binary")
+    made = {(r.a, r.b) for r in neardup.rest_candidates(texts, texts.select("id", F.col("id").alias("label"))).collect()}
+    assert alike <= made and 0 < len(alike) < 1_000 and len(made) <= 1.05 * len(alike)  # of 7,140 pairs
+
+
+def test_pairs_with_hubs_that_cannot_be_alike_are_not_made(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {i: f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for i in range(300)}
+    tried = []
+
+    def counted(pairs, *rest):
+        pairs = neardup.materialize(pairs, "tried")
+        tried.append(pairs.count())
+        return verified(pairs, *rest)
+
+    verified, neardup.verified = neardup.verified, counted
+    try:
+        got = neardup.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    finally:
+        neardup.verified = verified
+    assert {r.doc_id: r.class_id for r in got} == {i: i for i in texts} and tried[0] > 300 and sum(tried[1:]) == 0
+
+
+def test_parity_lets_every_pair_pass_that_is_alike(spark):
+    rng = random.Random(13)
+    rows, alike = [], []
+    for k in range(400):
+        n = rng.choice((1, 4, 5, 6, 9, 30, 120, 900, 4_000))
+        a = [rng.choice("abc") if rng.random() < 0.2 else f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, n // 30))):
+            at = rng.randrange(len(b) or 1)
+            b[at : at + rng.randint(0, 2)] = [f"n{rng.randrange(5)}"] * rng.randint(0, 2)
+        x, y = (neardup.unpacked(neardup.packed(" ".join(t))) for t in (a, b or ["c"]))
+        alike.append(neardup.similarity(x, y) > 0)
+        x, y = neardup.labelled(x), neardup.labelled(y)
+        rows.append((k, len(x), neardup.parity(x).tolist(), len(y), neardup.parity(y).tolist()))
+    pairs = spark.createDataFrame(rows, "k long, n long, bits array<long>, m long, other array<long>")
+    passed = {r.k for r in pairs.where(neardup.may_be_alike(("n", "bits"), ("m", "other"), 0.8)).collect()}
+    assert {k for k, x in enumerate(alike) if x} <= passed and 50 < sum(alike) < 350 and len(passed) < 400
+
+
 def test_similarity_is_the_longest_chain_of_labelled_shingles():
     rng = random.Random(8)
     for _ in range(300):
