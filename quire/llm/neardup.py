@@ -330,26 +330,28 @@ def rest_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRE
     return both.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every node of (a, b): the least id of its component.
 
-    Labels take the least of their neighbours' and then that label's own label, until nothing changes; each round is a
-    written table, which goes when the next one is there.
+    Each round a node hears its neighbours' labels, and all nodes of a label go on to the least that any of them, or the node
+    that the label is named after, has heard; so chains take about as many rounds as their length has binary digits. Labels
+    only fall, so this ends: when no node hears of a lesser one. Each round is written, and goes when the next one is there.
     """
     spark = edges.sparkSession
     both, edges_at = written(edges.union(edges.select("b", "a")).toDF("id", "other").distinct(), "edges")
     labels, at = written(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels.toDF("other", "m"), "other").groupBy("id").agg(F.min("m").alias("m"))
-        least = labels.join(heard, "id").select("id", "label", F.least("label", "m").alias("next"))
-        jumps = labels.toDF("next", "further")
-        new, new_at = written(least.join(jumps, "next").select("id", F.col("label").alias("old"), F.least("next", "further").alias("label")), "labels")
-        discard(spark, at)
-        labels, at = new.select("id", "label"), new_at
-        if not new.where("old <> label").head(1):
+        near, near_at = written(labels.join(heard, "id").select("id", "label", F.least("label", "m").alias("next")), "heard")
+        if not near.where("next <> label").head(1):
             discard(spark, edges_at)
+            discard(spark, near_at)
             return labels
-    raise RuntimeError(f"no end after {rounds} rounds")
+        tops = near.select("label", "next").union(near.select("id", "next")).toDF("next", "top").groupBy("next").agg(F.min("top").alias("top"))
+        new, new_at = written(near.join(tops, "next").select("id", F.col("top").alias("label")), "labels")
+        discard(spark, at)
+        discard(spark, near_at)
+        labels, at = new, new_at
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:

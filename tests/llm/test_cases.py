@@ -1,6 +1,7 @@
 """Defined results on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import datetime  # noqa: F401
+import random
 import time
 
 import duckdb
@@ -71,6 +72,16 @@ def test_near_dup(table, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_long_chains_are_one_class(spark):
+    """Each version is like the next only: components of any diameter."""
+    ids = random.Random(3).sample(range(1 << 40), 1_100)
+    chains = [ids[:800], ids[800:1_000], ids[1_000:]]
+    edges = [tuple(sorted(pair)) for chain in chains for pair in zip(chain, chain[1:], strict=False)]
+    got = {r.id: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(chain) for chain in chains for i in chain}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_fingerprint(spark, table, empty):
     got = by_id(fingerprint.fingerprint(table, "text", "score"))
     assert got[1].score == got[2].score == got[6].score == "" and got[4].score == got[5].score and len(got[3].score) == fingerprint.BINS
