@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,11 +156,12 @@ def path_encode(x: Column | str) -> Column:
 
 
 def template(text: Column | str, body: Column | str, **values: Column) -> Column:
-    """Fill ``{name}`` placeholders of a user's template; the body last, so that its braces stay."""
-    t = c(text)
-    for k, v in values.items():
-        t = F.replace(t, F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("")))
-    return F.replace(t, F.lit("{body}"), F.coalesce(c(body), F.lit("")))
+    """Fill the ``{name}`` and ``{body}`` placeholders of a user's template in one pass: braces in what is filled in stay."""
+    filled = {"{" + k + "}": F.coalesce(v.cast("string"), F.lit("")) for k, v in [*values.items(), ("body", c(body))]}
+    pieces = F.regexp_extract_all(c(text), F.lit("|".join([*map(re.escape, filled), r"[^{]+", r"\{"])), F.lit(0))
+    # An array of one, so that what is filled in is worked out once and not for each piece.
+    once = F.array(F.struct(pieces.alias("pieces"), F.create_map(*[x for k, v in filled.items() for x in (F.lit(k), v)]).alias("table")))
+    return F.get(F.transform(once, lambda t: F.array_join(F.transform(t["pieces"], lambda p: F.coalesce(F.element_at(t["table"], p), p)), "")), 0)
 
 
 def bare_url(entries: Column | str) -> Column:

@@ -58,6 +58,8 @@ BINDINGS = {
     "allocated": "SELECT note_id, 'new/' || note_id || '.md' AS path FROM notes",
     "change_feed": "SELECT event_id, user_id AS note_id, ts AS modified, event_type = 'error' AS tombstone FROM events",
 }
+#: What DuckDB's trim takes away: spaces of any width. Spark's own takes U+0020 alone.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -75,7 +77,7 @@ class Data:
             if name in TABLES:
                 self._seen[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
-                sql = BINDINGS[name].replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace("\\n", "\\\\n")
+                sql = BINDINGS[name].replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace("\\n", "\\\\n").replace("trim(", f"trim(BOTH '{SPACES}' FROM ")
                 words = set(sql.replace("(", " ").replace(")", " ").split())
                 uses = [t for t in [*TABLES, *BINDINGS] if t in words and t != name]
                 for t in uses:
