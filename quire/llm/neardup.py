@@ -184,15 +184,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, "doc long, id long, words binary, sketches array<long>")
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: neither is broadcast, also where few bytes lie on disk (there, repeated bits
+    and shingles are packed many times as small as in memory)."""
+    return df.hint("shuffle_merge")
+
+
 def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of (id, sketches): distinct pairs (a, b), a < b, to be tried, and (id, keys) of the members of large buckets: a row for
     each text, with the keys of its large buckets (SKETCHES at most)."""
     keyed = firsts.select("id", F.inline(F.transform("sketches", lambda s, j: F.struct(F.xxhash64(j, s).alias("key")))))
     sizes = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(sizes, "key")
+    members = keyed.join(grows(sizes), "key")
     star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     few = members.where(f"n > 2 AND n <= {SMALL}").select("key", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
+    pairs = few.withColumnRenamed("id", "a").join(grows(few.withColumnRenamed("id", "b")), "key").where("a < b").select("a", "b")
     return star.unionByName(pairs).distinct(), members.where(f"n > {SMALL}").groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
@@ -203,10 +209,10 @@ def hub_candidates(members: DataFrame, labels: DataFrame, turn: int, threshold:
     cannot reach it are left out."""
     text = F.struct("id", *(["n", "bits"] if threshold is not None else [])).alias("text")
     # A text meets its label once, not once for each bucket; what comes of it is read twice.
-    rows = materialize(members.join(labels, "id").select(text, "label", F.explode("keys").alias("key")), "bucket-labels")
+    rows = materialize(members.join(grows(labels), "id").select(text, "label", F.explode("keys").alias("key")), "bucket-labels")
     parts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("text", F.xxhash64(F.lit(turn), "text.id")).alias("hub"))
     mains = parts.groupBy("key").agg(F.max(F.struct("n", "label", "hub")).alias("main"), F.sum("n").alias("n")).where(f"main.n < n AND main.n >= {HUB_SHARE if turn else 0} * n")
-    apart = rows.join(mains.select("key", "main.label", "main.hub").toDF("key", "main", "hub"), "key").where("label <> main")
+    apart = rows.join(grows(mains.select("key", "main.label", "main.hub").toDF("key", "main", "hub")), "key").where("label <> main")
     if threshold is not None:
         apart = apart.where(may_be_alike(("text.n", "text.bits"), ("hub.n", "hub.bits"), threshold))
     return apart.select(F.least("text.id", "hub.id").alias("a"), F.greatest("text.id", "hub.id").alias("b")).distinct()
@@ -226,8 +232,7 @@ def tried_texts(pairs: DataFrame, large: DataFrame, docs: DataFrame, id_col: str
     """(id, large, n, bits, codes) of the texts in pairs: ``large`` for those in large buckets, which are in pairs all; number and
     parity bits of shingles."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.lit(False).alias("large")).unionByName(large.select("id", F.lit(True).alias("large")))
-    # The ids grow with the corpus, so they are never broadcast, also where they are few.
-    all_texts = keyed_texts(docs, id_col, text_col).select("id", "text").hint("shuffle_merge")
+    all_texts = grows(keyed_texts(docs, id_col, text_col).select("id", "text"))
     tried = all_texts.join(ids.groupBy("id").agg(F.max("large").alias("large")), "id").dropDuplicates(["id"]).select("id", "large", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,16 +317,16 @@ def rest_candidates(texts: DataFrame, labels: DataFrame, threshold: float = THRE
     that both have: from there on there must be as many shingles in either as they need in common, and at a later key, where
     one of the rarest (SEEN) of both stands before, it is not made again.
     """
-    rows = rare_shingles(texts, threshold).join(labels, "id")
+    rows = rare_shingles(texts, threshold).join(grows(labels), "id")
     rows = materialize(rows, "rare-shingles")
     keyed = rows.select("id", "label", "n", "bits", "short", F.posexplode("keys").alias("at", "key"), F.slice("keys", 1, SEEN).alias("first"))
     parts = keyed.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.expr("at < short")).alias("opens"))
     several = parts.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels"), F.max("opens").alias("opens"))
-    met = keyed.join(several.where("labels > 1 AND opens").select("key", "main"), "key")
+    met = keyed.join(grows(several.where("labels > 1 AND opens").select("key", "main")), "key")
     met = materialize(met.withColumn("first", F.slice("first", 1, F.least("at", F.lit(SEEN)))), "met")
     outside = met.where("label <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "label", "n", "bits", "short", "at", "first")])
     # Where both are outside, one of the two is the one that meets.
-    both = outside.join(met, "key").where("x_label <> label AND (label = main OR x_id < id)")
+    both = outside.join(grows(met), "key").where("x_label <> label AND (label = main OR x_id < id)")
     both = both.where(F.expr("IF(x_n <= n, x_at < x_short, true) AND IF(n <= x_n, at < short, true)"))
     need = threshold / (1 + threshold) * (F.col("n") + F.col("x_n")) - 1e-6
     both = both.where(F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) >= need)

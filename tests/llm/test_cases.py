@@ -82,6 +82,13 @@ def test_long_chains_are_one_class(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rare_shingles_are_not_broadcast(spark):
+    """Few bytes on disk can be many in memory, and grow with the corpus."""
+    texts = spark.createDataFrame([(i, neardup.packed(" ".join(f"w{j}" for j in range(40)) + f" end{i}")) for i in range(6)], "id long, codes binary")
+    found = neardup.rest_candidates(texts, texts.select("id", F.col("id").alias("label")))
+    assert found.count() == 15 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fingerprint(spark, table, empty):
     got = by_id(fingerprint.fingerprint(table, "text", "score"))
     assert got[1].score == got[2].score == got[6].score == "" and got[4].score == got[5].score and len(got[3].score) == fingerprint.BINS
